@@ -1,0 +1,29 @@
+"""Join helpers: broadcast only behind a size check, with the shuffle join as the fallback."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows we are willing to ship to every executor.  Small dimension tables (prices, scenarios,
+# per-(model, task) matrices, benchmark n-gram sets) stay far below this.
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_rows(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.  Scans at most ``max_rows + 1`` rows, so
+    the check is cheap even when the answer is 'no'."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                    checked: bool | None = None) -> DataFrame:
+    """Broadcast hint only when the size bound is proven; otherwise leave the join to
+    AQE / sort-merge.  ``checked`` lets a caller that knows the bound skip the count job."""
+    ok = bounded_rows(small, max_rows) if checked is None else checked
+    return F.broadcast(small) if ok else small
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = DEFAULT_BROADCAST_ROWS, checked: bool | None = None) -> DataFrame:
+    return big.join(maybe_broadcast(small, max_rows, checked), on, how)
