@@ -68,3 +68,19 @@ def clean_code(raw, prompt) -> Column:
     return (F.when(body.contains("def "), body)
             .when(sig.isNotNull(), F.concat(sig, F.lit("\n"), body))
             .otherwise(body))
+
+
+def ngram_strings(tokens, n: int) -> Column:
+    """Word n-grams of a token array as blank-joined strings (empty when fewer than ``n``).
+
+    Built from ``n`` shifted slices zipped together, so the token array is referenced a fixed
+    ``n`` times - never once per element inside a lambda, which would re-evaluate an inlined
+    tokeniser for every position (quadratic in document length)."""
+    t = _c(tokens)
+    if n == 1:
+        return t
+    m = F.size(t) - n + 1
+    parts = [F.slice(t, k + 1, F.greatest(m, F.lit(1))).alias(f"w{k}") for k in range(n)]
+    z = F.arrays_zip(*parts)
+    grams = F.transform(z, lambda s: F.concat_ws(" ", *[s[f"w{k}"] for k in range(n)]))
+    return F.when(m >= 1, grams).otherwise(F.array().cast("array<string>"))
