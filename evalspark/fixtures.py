@@ -179,3 +179,38 @@ def scenarios(spark: SparkSession, sf: str | None = None) -> DataFrame:
 # Fixture settings for the run-log matrix: the wide runs' prefixes stand for two APIs.
 API_PREFIXES = {"a": "gpt-4o", "b": "gemini-2.5-flash"}
 API_TASK_METRIC = "accuracy"
+
+
+# --- deterministic predictor for I1 / ST1 tests ------------------------------------------------
+
+def _h32_py(s: str) -> int:
+    import hashlib
+
+    return int(hashlib.md5(s.encode("utf-8")).hexdigest()[:8], 16)
+
+
+def flaky_first_word_predictor():
+    """Factory: ``predict(prompts) -> first whitespace token of each prompt``.  A prompt whose
+    md5-prefix hash is divisible by 17 fails on every odd-numbered call for that prompt, so each
+    row scored one prompt at a time (duplicates included) succeeds on its second attempt."""
+    calls: dict = {}
+
+    def predict(prompts):
+        out = []
+        for p in prompts:
+            if _h32_py(p) % 17 == 0:
+                calls[p] = calls.get(p, 0) + 1
+                if calls[p] % 2 == 1:
+                    raise RuntimeError("transient failure")
+            parts = p.split()
+            out.append(parts[0] if parts else "")
+        return out
+
+    return predict
+
+
+def always_failing_predictor():
+    def predict(prompts):
+        raise TimeoutError("model unavailable")
+
+    return predict

@@ -48,8 +48,7 @@ def token_set(text) -> Column:
 def word_tokens(text, pattern: str = r"[^a-z0-9]+") -> Column:
     """Lower-case, replace every run matching ``pattern`` by a blank, split, drop empties
     (the ROUGE tokeniser with the default pattern)."""
-    cleaned = F.trim(F.regexp_replace(F.lower(_c(text)), pattern, " "))
-    return F.filter(F.split(cleaned, " "), lambda t: t != "")
+    return F.filter(F.split(F.lower(_c(text)), pattern), lambda t: t != "")
 
 
 def cut_at_stop(text, stops=STOP_SEQUENCES) -> Column:

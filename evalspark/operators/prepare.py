@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.hashing import h32, hash_bucket
 from evalspark.functions.text import join_tokens, render_prompt
 from evalspark.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_rows
+from evalspark.session import spread
 
 
 def _c(x) -> Column:
@@ -127,8 +128,7 @@ WORD_PATTERN = r"[^\p{L}\p{N}]+"
 
 def words(text, pattern: str = WORD_PATTERN) -> Column:
     """Lower-case words: runs of letters/digits (any script)."""
-    cleaned = F.trim(F.regexp_replace(F.lower(_c(text)), pattern, " "))
-    return F.filter(F.split(cleaned, " "), lambda t: t != "")
+    return F.filter(F.split(F.lower(_c(text)), pattern), lambda t: t != "")
 
 
 def word_ngrams(ws, n: int) -> Column:
@@ -141,7 +141,10 @@ def word_ngrams(ws, n: int) -> Column:
 def _gram_keys(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, k1, k2) per distinct n-gram: two independent 64/32-bit hashes of the n-gram
     stand in for the string, so the shuffle / broadcast carries 12 bytes per gram."""
-    g = df.select(id_col, F.explode(F.array_distinct(word_ngrams(words(text_col), n))).alias("g"))
+    # words are projected once; the n-gram builder references them n times, so Catalyst keeps
+    # this projection instead of inlining the tokeniser into every slice
+    w = spread(df.select(id_col, text_col)).select(id_col, words(text_col).alias("_w"))
+    g = w.select(id_col, F.explode(F.array_distinct(word_ngrams(F.col("_w"), n))).alias("g"))
     return g.select(id_col, F.xxhash64("g").alias("k1"), F.hash("g").alias("k2"))
 
 

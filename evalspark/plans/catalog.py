@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 
 # importing the sections fills the two dicts
-from evalspark.plans import q_core, q_text  # noqa: E402,F401
+from evalspark.plans import q_core, q_io, q_text  # noqa: E402,F401

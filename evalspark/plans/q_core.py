@@ -391,3 +391,61 @@ def d10_cost_chart(spark, sf):
     FROM matrix"""))
 def d11_breakeven_verdict(spark, sf):
     return D.breakeven_verdict(fixture_matrix(spark, sf))
+
+
+# ---------------------------------------------------------------- M14-M16 standalone
+@register("m14_roi_breakeven", with_fixtures(
+    """SELECT b.model, b.task,
+        CASE WHEN 10.0 - b.cost_per_1m_tokens <= 0 THEN 'inf'::double
+             ELSE round(t.training_hours * 2.5 / (10.0 - b.cost_per_1m_tokens) * 1e6, 0) END AS roi_vs_gpt4o,
+        CASE WHEN 1.4 - b.cost_per_1m_tokens <= 0 THEN 'inf'::double
+             ELSE round(t.training_hours * 2.5 / (1.4 - b.cost_per_1m_tokens) * 1e6, 0) END AS roi_vs_gemini
+    FROM bench b JOIN train t ON t.model_short = regexp_replace(b.model, '^.*/', '') AND t.task = b.task""",
+    "runs", extra=[("bench", _BENCH), ("train", _TRAIN)]))
+def m14_roi_breakeven(spark, sf):
+    from evalspark.functions.text import short_model
+    from evalspark.operators.economics import api_price
+
+    r = fx.runs(spark, sf)
+    b = B.latest_benchmark(r).withColumn("model_short", short_model("model"))
+    t = B.training_info(r)
+    j = b.join(t.select("model_short", "task", "training_hours").withColumnRenamed("training_hours", "t_hours"),
+               ["model_short", "task"])
+    ft = training_cost("t_hours", decimals=None)
+    return j.select("model", "task",
+                    roi_breakeven(ft, api_price(F.lit("gpt-4o")), F.col("cost_per_1m_tokens")).alias("roi_vs_gpt4o"),
+                    roi_breakeven(ft, api_price(F.lit("gemini-2.5-flash")), F.col("cost_per_1m_tokens"))
+                    .alias("roi_vs_gemini"))
+
+
+_DEPLOY = {"m0": "api", "m1": "api", "m2": "on_premise", "m3": "on_premise", "m4": "private_cloud", "m5": "edge"}
+_DEPLOY_SQL = "CASE regexp_replace(model, '^.*/', '') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _DEPLOY.items()) + " END"
+
+
+@register("m15_privacy_risk", with_fixtures(
+    f"""SELECT model, task, {_DEPLOY_SQL} AS deployment,
+        coalesce(CASE {_DEPLOY_SQL} WHEN 'api' THEN 'high' WHEN 'on_premise' THEN 'low' WHEN 'private_cloud' THEN 'medium' END,
+                 'unknown') AS privacy_risk
+    FROM bench""", "runs", extra=[("bench", _BENCH)]))
+def m15_privacy_risk(spark, sf):
+    from evalspark.functions.text import short_model
+    from evalspark.operators.economics import privacy_risk
+
+    dep = F.try_element_at(F.create_map(*[x for k, v in _DEPLOY.items() for x in (F.lit(k), F.lit(v))]),
+                           short_model("model"))
+    b = B.latest_benchmark(fx.runs(spark, sf))
+    return b.select("model", "task", dep.alias("deployment"), privacy_risk(dep).alias("privacy_risk"))
+
+
+@register("m16_api_price", matrix_sql(
+    """SELECT model, task, CASE model WHEN 'gpt-4o' THEN 5.0 WHEN 'claude-haiku-4-5' THEN 1.0 WHEN 'gemini-2.5-flash' THEN 0.3 END AS input_price,
+        CASE model WHEN 'gpt-4o' THEN 15.0 WHEN 'claude-haiku-4-5' THEN 5.0 WHEN 'gemini-2.5-flash' THEN 2.5 END AS output_price,
+        CASE model WHEN 'gpt-4o' THEN 10.0 WHEN 'claude-haiku-4-5' THEN 3.0 WHEN 'gemini-2.5-flash' THEN 1.4 END AS blended_price
+    FROM matrix"""))
+def m16_api_price(spark, sf):
+    from evalspark.operators.economics import api_price
+
+    m = fixture_matrix(spark, sf)
+    return m.select("model", "task", api_price("model", "input").alias("input_price"),
+                    api_price("model", "output").alias("output_price"),
+                    api_price("model", "blended").alias("blended_price"))

@@ -1,0 +1,178 @@
+"""Catalog section: sources and sinks (S*), scoring jobs (I*) and incremental scoring (ST1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalspark import fixtures as fx
+from evalspark.functions.text import short_model
+from evalspark.operators import matrix as B
+from evalspark.operators import scoring as I
+from evalspark.oracle import H, with_fixtures
+from evalspark.plans.benchmark import fixture_matrix
+from evalspark.plans.catalog import register
+from evalspark.plans.q_core import MATRIX_CTES
+from evalspark.schemas import MATRIX_SCHEMA
+from evalspark.session import read_table, scratch_path, spread
+from evalspark.sources import datasets as S3
+from evalspark.sources import results_csv as CSV
+from evalspark.sources import runs as RS
+from evalspark.sources import text_label as S2
+
+
+# ---------------------------------------------------------------- S1 / S8
+@register("s1_s8_matrix_csv_roundtrip", with_fixtures("SELECT * FROM matrix", "runs", extra=MATRIX_CTES))
+def s1_s8_matrix_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "matrix-csv")
+    CSV.write_results_csv(fixture_matrix(spark, sf), path)
+    return CSV.read_results_csv(spark, path, MATRIX_SCHEMA)
+
+
+# ---------------------------------------------------------------- S2
+_PH = [("ph", r"SELECT doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS l FROM phrase"),
+       ("sp", r"""SELECT regexp_extract(l, '(?s)^(.*)@([^@]*)$', 1) AS sentence,
+            lower(regexp_replace(regexp_extract(l, '(?s)^(.*)@([^@]*)$', 2), '^\s+|\s+$', '', 'g')) AS sentiment
+            FROM ph WHERE l <> '' AND contains(l, '@')""")]
+
+
+@register("s2_labelled_text_file", with_fixtures(
+    """SELECT sentence, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END AS label
+    FROM sp WHERE sentiment IN ('negative', 'neutral', 'positive')""", "phrase", extra=_PH))
+def s2_labelled_text_file(spark, sf):
+    path = scratch_path(spark, "phrase-latin1")
+    S2.write_lines(fx.phrase(spark, sf), "line", path, encoding="ISO-8859-1", line_sep="\r\n")
+    return S2.read_labelled_text(spark, path)
+
+
+# ---------------------------------------------------------------- S3
+def _registry(sf):
+    return {"doc_language": {"path": f"{sf}/documents.parquet", "input_col": "text", "label_col": "lang",
+                             "id_col": "doc_id"}}
+
+
+@register("s3_load_task_dataset", "SELECT doc_id, lang, length(text) AS n_chars FROM documents")
+def s3_load_task_dataset(spark, sf):
+    df, cfg = S3.load_task_dataset(spark, "doc_language", _registry(sf))
+    return df.select("doc_id", F.col(cfg["label_col"]).alias("lang"), F.length(cfg["input_col"]).alias("n_chars"))
+
+
+# ---------------------------------------------------------------- S4-S7: run store
+def _write_store(spark, sf):
+    r = fx.runs(spark, sf)
+    rec = RS.run_records(r, "task", "run_id", "start_time",
+                         tags={"model": "model", "task": "task", "phase": "phase", "privacy_risk": "privacy_risk",
+                               "method": "method"},
+                         metrics={"accuracy": "accuracy", "latency_ms": "latency_ms",
+                                  "cost_per_1m_tokens": "cost_per_1m_tokens", "training_hours": "training_hours"},
+                         params={"store": F.col("store")})
+    path = scratch_path(spark, "runs")
+    # two appends (one per store) into one table: S6 / S7 batch one write per logging call
+    RS.append_runs(rec.filter(F.col("params")["store"] == "0"), path)
+    RS.append_runs(rec.filter(F.col("params")["store"] == "1"), path)
+    return path
+
+
+@register("s6_s7_append_runs", with_fixtures(
+    "SELECT run_id, task AS experiment, phase, model, accuracy, training_hours FROM runs", "runs"))
+def s6_s7_append_runs(spark, sf):
+    path = _write_store(spark, sf)
+    r = spark.read.parquet(path)
+    return r.select("run_id", "experiment", "phase", F.col("tags")["model"].alias("model"),
+                    F.col("metrics")["accuracy"].alias("accuracy"),
+                    F.col("metrics")["training_hours"].alias("training_hours"))
+
+
+@register("s4_search_runs", with_fixtures(
+    """SELECT run_id, task AS experiment, model, accuracy FROM runs
+    WHERE task IN ('click', 'view') AND phase = 'phase2_benchmark'""", "runs"))
+def s4_search_runs(spark, sf):
+    path = _write_store(spark, sf)
+    r = RS.read_runs(spark, path)
+    r = r.filter(F.col("experiment").isin("click", "view") & (F.col("phase") == "phase2_benchmark"))
+    return r.select("run_id", "experiment", F.col("tags")["model"].alias("model"),
+                    F.col("metrics")["accuracy"].alias("accuracy"))
+
+
+@register("s5_union_stores", with_fixtures(
+    "SELECT run_id, store, model, CASE WHEN store = 0 THEN NULL ELSE privacy_risk END AS privacy_risk FROM runs",
+    "runs"))
+def s5_union_stores(spark, sf):
+    r = fx.runs(spark, sf)
+    old = r.filter(F.col("store") == 0).select("run_id", "store", "model")  # older schema generation
+    new = r.filter(F.col("store") == 1).select("run_id", "store", "model", "privacy_risk")
+    return RS.union_stores(old, new)
+
+
+# ---------------------------------------------------------------- I1-I4
+def _prompts(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("prompt"))
+    return spread(d)
+
+
+_FIRST = r"string_split_regex(regexp_replace(prompt, '^\s+', ''), '\s+')[1]"
+_I1 = f"""SELECT doc_id, {_FIRST} AS prediction,
+        CASE WHEN {H('prompt')} % 17 = 0 THEN 2 ELSE 1 END AS attempts, 'ok' AS status
+    FROM (SELECT doc_id, substr(text, 1, 400) AS prompt FROM documents) q"""
+
+
+@register("i1_score", _I1)
+def i1_score(spark, sf):
+    s = I.score(_prompts(spark, sf), fx.flaky_first_word_predictor, keep=["doc_id"])
+    return s.select("doc_id", "prediction", "attempts", "status")
+
+
+@register("i1_score_failures", """SELECT doc_id, 'error' AS prediction, 3 AS attempts, 'error' AS status,
+    'TimeoutError: model unavailable' AS error FROM documents""")
+def i1_score_failures(spark, sf):
+    s = I.score(_prompts(spark, sf), fx.always_failing_predictor, keep=["doc_id"], batch_mode=True)
+    return s.select("doc_id", "prediction", "attempts", "status", "error")
+
+
+@register("i2_resume", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = d.doc_id AND x.doc_id % 2 = 0)")
+def i2_resume(spark, sf):
+    prompts = _prompts(spark, sf)
+    done = read_table(spark, sf, "documents").select("doc_id").filter(F.col("doc_id") % 2 == 0)
+    return I.resume(prompts, done, "doc_id").select("doc_id")
+
+
+_GRID_MODELS = [f"m{i}" for i in range(7)]
+_GRID_TASKS = ["click", "error", "purchase", "signup", "view", "train"]
+
+
+def _vals(xs):
+    return ", ".join(f"('{x}')" for x in xs)
+
+
+@register("i3_pending_grid", with_fixtures(
+    f"""SELECT gm.model, gt.task FROM (VALUES {_vals(_GRID_MODELS)}) AS gm(model), (VALUES {_vals(_GRID_TASKS)}) AS gt(task)
+    WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE regexp_replace(r.model, '^.*/', '') = gm.model AND r.task = gt.task
+                      AND r.phase = 'phase2_benchmark')""", "runs"))
+def i3_pending_grid(spark, sf):
+    done = fx.runs(spark, sf).filter(F.col("phase") == "phase2_benchmark") \
+        .select(short_model("model").alias("model"), "task")
+    return B.missing_cells(done, _GRID_MODELS, _GRID_TASKS)
+
+
+@register("i4_failure_summary", with_fixtures(
+    """SELECT model, task, count(*) AS n, sum(CASE WHEN prediction IN ('error', 'Error', 'Unknown', 'unknown', '{}', '')
+        THEN 1 ELSE 0 END) AS n_failed,
+        sum(CASE WHEN prediction IN ('error', 'Error', 'Unknown', 'unknown', '{}', '') THEN 1 ELSE 0 END) / count(*) AS failure_rate
+    FROM predictions GROUP BY model, task""", "predictions"))
+def i4_failure_summary(spark, sf):
+    return I.failure_summary(I.with_status(fx.predictions(spark, sf)))
+
+
+# ---------------------------------------------------------------- ST1
+@register("st1_incremental_scoring", _I1)
+def st1_incremental_scoring(spark, sf):
+    from evalspark.streaming.incremental import read_scored, run_incremental
+
+    src, sink, ckpt = (scratch_path(spark, x) for x in ("st1-src", "st1-sink", "st1-ckpt"))
+    prompts = read_table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("prompt"))
+    schema = prompts.schema
+    # first delivery: even ids; run; second delivery: odd ids; run again (only new files scored)
+    prompts.filter(F.col("doc_id") % 2 == 0).write.mode("append").parquet(src)
+    run_incremental(spark, src, schema, sink, ckpt, fx.flaky_first_word_predictor, keep=["doc_id"])
+    prompts.filter(F.col("doc_id") % 2 == 1).write.mode("append").parquet(src)
+    run_incremental(spark, src, schema, sink, ckpt, fx.flaky_first_word_predictor, keep=["doc_id"])
+    return read_scored(spark, sink).select("doc_id", "prediction", "attempts", "status")
