@@ -438,9 +438,9 @@ def m15_privacy_risk(spark, sf):
 
 
 @register("m16_api_price", matrix_sql(
-    """SELECT model, task, CASE model WHEN 'gpt-4o' THEN 5.0 WHEN 'claude-haiku-4-5' THEN 1.0 WHEN 'gemini-2.5-flash' THEN 0.3 END AS input_price,
-        CASE model WHEN 'gpt-4o' THEN 15.0 WHEN 'claude-haiku-4-5' THEN 5.0 WHEN 'gemini-2.5-flash' THEN 2.5 END AS output_price,
-        CASE model WHEN 'gpt-4o' THEN 10.0 WHEN 'claude-haiku-4-5' THEN 3.0 WHEN 'gemini-2.5-flash' THEN 1.4 END AS blended_price
+    """SELECT model, task, CASE model WHEN 'gpt-4o' THEN 5.0 WHEN 'claude-haiku-4-5' THEN 1.0 WHEN 'gemini-2.5-flash' THEN 0.3 END::double AS input_price,
+        CASE model WHEN 'gpt-4o' THEN 15.0 WHEN 'claude-haiku-4-5' THEN 5.0 WHEN 'gemini-2.5-flash' THEN 2.5 END::double AS output_price,
+        CASE model WHEN 'gpt-4o' THEN 10.0 WHEN 'claude-haiku-4-5' THEN 3.0 WHEN 'gemini-2.5-flash' THEN 1.4 END::double AS blended_price
     FROM matrix"""))
 def m16_api_price(spark, sf):
     from evalspark.operators.economics import api_price
