@@ -137,8 +137,9 @@ def ner_pred(spark: SparkSession, sf: str) -> DataFrame:
     """Model answers for the ner view: kept span surfaces as ``{"PER": [...]}`` JSON, fenced for
     turn % 4 = 1, cut to 10 characters (invalid) for turn % 4 = 3."""
     from evalspark.functions.entities import bio_spans
+    from evalspark.session import spread
 
-    t = ner_tokens(spark, sf)
+    t = spread(ner_tokens(spark, sf))
     sp = t.select("conv_id", "turn", F.explode(bio_spans("tokens", "tags")).alias("s")) \
         .select("conv_id", "turn", F.col("s.pos").alias("pos"), F.col("s.surface").alias("surface")) \
         .filter(F.col("surface").rlike("^[A-Za-z ]+$"))

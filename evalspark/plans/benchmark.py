@@ -13,5 +13,9 @@ def fixture_matrix(spark: SparkSession, sf: str, per_store: bool = False) -> Dat
     stands for the API baselines (prefix ``a`` -> gpt-4o, ``b`` -> gemini-2.5-flash)."""
     runs = fx.runs(spark, sf)
     wide = fx.runs_wide(spark, sf, experiment_cols=("task",))
-    return compile_matrix(runs, wide, fx.API_PREFIXES, experiment_cols=("task",),
-                          accuracy_key=fx.API_TASK_METRIC, per_store=per_store)
+    m = compile_matrix(runs, wide, fx.API_PREFIXES, experiment_cols=("task",),
+                       accuracy_key=fx.API_TASK_METRIC, per_store=per_store)
+    # one row per (model, task): tiny whatever the run log's size, and every decision plan reads
+    # it several times (size check, scalar subquery, joins) - build it once per plan.  A lost
+    # cached block is recomputed from lineage.
+    return m.cache()

@@ -16,7 +16,7 @@ from evalspark.operators import rouge as R
 from evalspark.operators import stats as T
 from evalspark.oracle import H, with_fixtures
 from evalspark.plans.catalog import register
-from evalspark.session import read_table
+from evalspark.session import read_table, spread
 
 NL = "\n"
 WS = r"'^\s+|\s+$'"
@@ -240,8 +240,9 @@ def n6_bio_spans_rowwise(spark, sf):
 
 def _truth_sets(spark, sf):
     """Per turn: N6 spans -> entity dict {type: [surface]} -> N7 flat set."""
-    t = fx.ner_tokens(spark, sf)
-    spans = bio_spans("tokens", "tags")
+    t = spread(fx.ner_tokens(spark, sf)).select("conv_id", "turn", bio_spans("tokens", "tags").alias("spans"))
+    spans = F.col("spans")  # projected once: referenced once per entity type below
+
     def of_type(k):
         return F.transform(F.filter(spans, lambda s: s["type_id"] == k), lambda s: s["surface"])
 
