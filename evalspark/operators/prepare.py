@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import h32, hash_bucket
 from evalspark.functions.text import join_tokens, render_prompt
-from evalspark.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_rows
+from evalspark.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_rows, join_small
 from evalspark.session import spread
 
 
@@ -174,10 +174,11 @@ def normalized_text_key(text) -> Column:
 def exact_overlap(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
                   text: str = "text") -> DataFrame:
     """P11 (exact copies): (doc, item) pairs whose normalised texts are identical; an equi-join
-    on a 256-bit key."""
+    on a 256-bit key.  The benchmark side is broadcast behind a size check, so the documents
+    are never shuffled by key - a text copied into a third of all documents is no hot spot."""
     d = docs.select(doc_id, normalized_text_key(text).alias("key"))
     b = bench.select(item_id, normalized_text_key(text).alias("key"))
-    return d.join(b, "key").select(doc_id, item_id)
+    return join_small(d, b, "key").select(doc_id, item_id)
 
 
 # --- P12: chat formatting -------------------------------------------------------------------
