@@ -63,7 +63,7 @@ _ERR = "('error', 'Error', 'Unknown', 'unknown', '{}', '')"
     f"""SELECT model, task,
         avg(CASE WHEN {_PL} = true_label THEN 1.0 ELSE 0.0 END) AS accuracy_wrong,
         avg(CASE WHEN prediction IN {_ERR} THEN NULL WHEN {_PL} = true_label THEN 1.0 ELSE 0.0 END) AS accuracy_exclude,
-        sum(CASE WHEN prediction IN {_ERR} THEN 1 ELSE 0 END) AS n_errors
+        sum(CASE WHEN prediction IN {_ERR} THEN 1 ELSE 0 END)::bigint AS n_errors
     FROM predictions GROUP BY model, task""", "predictions"))
 def i5_error_sentinels(spark, sf):
     s = classification_scores(fx.predictions(spark, sf), LABELS)
@@ -301,7 +301,7 @@ def d1_recommend(spark, sf):
 
 @register("d2_fallback", decision_sql(
     """SELECT scenario, rank, model, method, accuracy, cost_per_1m_tokens, privacy_risk FROM (
-        SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY accuracy DESC NULLS LAST, model) AS rank
+        SELECT *, (row_number() OVER (PARTITION BY scenario ORDER BY accuracy DESC NULLS LAST, model))::int AS rank
         FROM cand WHERE scenario NOT IN (SELECT scenario FROM rec)) q WHERE rank <= 3"""))
 def d2_fallback(spark, sf):
     return D.fallback(fixture_matrix(spark, sf), fx.scenarios(spark))
@@ -370,7 +370,7 @@ def d8_cost_curves(spark, sf):
 
 @register("d9_ranked_candidates", matrix_sql(
     """SELECT task, model, method, accuracy, cost_per_1m_tokens, latency_ms, privacy_risk,
-        row_number() OVER (PARTITION BY task ORDER BY accuracy DESC NULLS LAST, model) AS rank FROM matrix"""))
+        (row_number() OVER (PARTITION BY task ORDER BY accuracy DESC NULLS LAST, model))::int AS rank FROM matrix"""))
 def d9_ranked_candidates(spark, sf):
     return D.ranked_candidates(fixture_matrix(spark, sf))
 
@@ -378,7 +378,7 @@ def d9_ranked_candidates(spark, sf):
 @register("d10_cost_chart", decision_sql(
     """SELECT scenario, model, cost_per_1m_tokens / 1e6 * monthly_volume AS projected_monthly_cost,
         CASE WHEN privacy_risk = 'low' THEN 'on_premise' ELSE 'api' END AS deployment,
-        row_number() OVER (PARTITION BY scenario ORDER BY cost_per_1m_tokens / 1e6 * monthly_volume ASC NULLS LAST, model) AS rank
+        (row_number() OVER (PARTITION BY scenario ORDER BY cost_per_1m_tokens / 1e6 * monthly_volume ASC NULLS LAST, model))::int AS rank
     FROM cand"""))
 def d10_cost_chart(spark, sf):
     return D.cost_chart(fixture_matrix(spark, sf), fx.scenarios(spark))

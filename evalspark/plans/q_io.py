@@ -50,7 +50,7 @@ def _registry(sf):
                              "id_col": "doc_id"}}
 
 
-@register("s3_load_task_dataset", "SELECT doc_id, lang, length(text) AS n_chars FROM documents")
+@register("s3_load_task_dataset", "SELECT doc_id, lang, length(text)::int AS n_chars FROM documents")
 def s3_load_task_dataset(spark, sf):
     df, cfg = S3.load_task_dataset(spark, "doc_language", _registry(sf))
     return df.select("doc_id", F.col(cfg["label_col"]).alias("lang"), F.length(cfg["input_col"]).alias("n_chars"))
@@ -155,7 +155,7 @@ def i3_pending_grid(spark, sf):
 
 @register("i4_failure_summary", with_fixtures(
     """SELECT model, task, count(*) AS n, sum(CASE WHEN prediction IN ('error', 'Error', 'Unknown', 'unknown', '{}', '')
-        THEN 1 ELSE 0 END) AS n_failed,
+        THEN 1 ELSE 0 END)::bigint AS n_failed,
         sum(CASE WHEN prediction IN ('error', 'Error', 'Unknown', 'unknown', '{}', '') THEN 1 ELSE 0 END) / count(*) AS failure_rate
     FROM predictions GROUP BY model, task""", "predictions"))
 def i4_failure_summary(spark, sf):

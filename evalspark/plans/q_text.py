@@ -130,7 +130,7 @@ def _ids_sql(x: str) -> str:
 @register("p9_training_examples", with_fixtures(
     """SELECT doc_id, array_to_string(ids, ',') AS input_ids,
         array_to_string(list_transform(generate_series(1, len(ids)), lambda i: CASE WHEN i <= plen THEN -100 ELSE ids[i] END), ',') AS labels,
-        len(ids) AS n_tokens, least(plen, len(ids)) AS n_masked
+        len(ids)::int AS n_tokens, least(plen, len(ids))::int AS n_masked
     FROM (SELECT doc_id, len(p) AS plen, (p || c)[1:128] AS ids FROM pc) q""", extra=[
         ("fmt", _FMT), ("pc", f"SELECT doc_id, {_ids_sql('prompt')} AS p, {_ids_sql('completion')} AS c FROM fmt")]))
 def p9_training_examples(spark, sf):
@@ -162,7 +162,7 @@ def p11_exact_copies(spark, sf):
 
 
 @register("p12_chat_format", """SELECT conv_id, string_agg(concat('<|', role, '|>', text, '<|end|>'), '' ORDER BY turn) AS chat,
-        count(*) AS n_turns FROM conversations GROUP BY conv_id""")
+        count(*)::int AS n_turns FROM conversations GROUP BY conv_id""")
 def p12_chat_format(spark, sf):
     return P.chat_format(read_table(spark, sf, "conversations"))
 
@@ -258,7 +258,7 @@ _TRUTH_SQL = """SELECT c.conv_id, c.turn, coalesce(s.truth, []) AS truth FROM co
 
 
 @register("n7_entity_set", with_fixtures(
-    "SELECT conv_id, turn, array_to_string(list_sort(truth), '|') AS entities, len(truth) AS n_entities FROM truth",
+    "SELECT conv_id, turn, array_to_string(list_sort(truth), '|') AS entities, len(truth)::int AS n_entities FROM truth",
     "ner_spans", extra=[("truth", _TRUTH_SQL)]))
 def n7_entity_set(spark, sf):
     t = _truth_sets(spark, sf)
@@ -273,7 +273,7 @@ _PARSE_SQL = f"""SELECT conv_id, turn, CASE WHEN json_valid(cj) AND json_type(cj
 
 
 @register("n5_parse_entities", with_fixtures(
-    "SELECT conv_id, turn, array_to_string(list_sort(pred), '|') AS entities, len(pred) AS n_entities FROM parsed",
+    "SELECT conv_id, turn, array_to_string(list_sort(pred), '|') AS entities, len(pred)::int AS n_entities FROM parsed",
     "ner_pred", extra=[("parsed", _PARSE_SQL)]))
 def n5_parse_entities(spark, sf):
     p = fx.ner_pred(spark, sf)
@@ -329,7 +329,7 @@ _TS = r"list_distinct(list_filter(string_split_regex(lower({x}), '\s+'), lambda
 
 
 @register("n9_token_set", with_fixtures(
-    f"SELECT conv_id, turn, array_to_string(list_sort(s), '|') AS tokens, len(s) AS n_tokens FROM (SELECT conv_id, turn, {_TS.format(x='prediction')} AS s FROM pairs) q",
+    f"SELECT conv_id, turn, array_to_string(list_sort(s), '|') AS tokens, len(s)::int AS n_tokens FROM (SELECT conv_id, turn, {_TS.format(x='prediction')} AS s FROM pairs) q",
     "pairs"))
 def n9_token_set(spark, sf):
     s = token_set("prediction")
