@@ -138,14 +138,24 @@ def word_ngrams(ws, n: int) -> Column:
     return ngram_strings(ws, n)
 
 
+def ngram_windows(ws, n: int) -> Column:
+    """Array of ``struct(w0..w{n-1})``: every run of n consecutive words, built from n shifted
+    slices zipped together (no lambda: lambdas are interpreted, zips and slices are not)."""
+    t = _c(ws)
+    m = F.greatest(F.size(t) - n + 1, F.lit(0))
+    return F.arrays_zip(*[F.slice(t, k + 1, m).alias(f"w{k}") for k in range(n)])
+
+
 def _gram_keys(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, k1, k2) per distinct n-gram: two independent 64/32-bit hashes of the n-gram
-    stand in for the string, so the shuffle / broadcast carries 12 bytes per gram."""
-    # words are projected once; the n-gram builder references them n times, so Catalyst keeps
+    """(id, k1, k2) per n-gram occurrence: two independent hashes (xxhash64, murmur3) of the n
+    words, computed in a code-generated projection after the explode; no n-gram string is
+    built and only 12 bytes per gram cross the shuffle or the broadcast."""
+    # words are projected once; the window builder references them n times, so Catalyst keeps
     # this projection instead of inlining the tokeniser into every slice
     w = spread(df.select(id_col, text_col)).select(id_col, words(text_col).alias("_w"))
-    g = w.select(id_col, F.explode(F.array_distinct(word_ngrams(F.col("_w"), n))).alias("g"))
-    return g.select(id_col, F.xxhash64("g").alias("k1"), F.hash("g").alias("k2"))
+    g = w.select(id_col, F.explode(ngram_windows(F.col("_w"), n)).alias("g"))
+    cols = [F.col(f"g.w{k}") for k in range(n)]
+    return g.select(id_col, F.xxhash64(*cols).alias("k1"), F.hash(*cols).alias("k2"))
 
 
 def ngram_overlap(docs: DataFrame, bench: DataFrame, n: int = 8, doc_id: str = "doc_id",

@@ -41,6 +41,21 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return ngram_strings(tokens, n)
 
 
+def _gram_rows(base: DataFrame, keys, col: str, n: int, side: str) -> DataFrame:
+    """(keys, gram hash, side) per n-gram occurrence; the hash is computed after the explode,
+    in generated code, from the n words (no lambda, no n-gram string)."""
+    from evalspark.operators.prepare import ngram_windows
+
+    if n == 1:
+        g = base.select(*keys, F.explode(col).alias("w0"))
+        cols = [F.col("w0")]
+    else:
+        g = base.select(*keys, F.explode(ngram_windows(F.col(col), n)).alias("g"))
+        cols = [F.col(f"g.w{k}") for k in range(n)]
+    return g.select(*keys, F.xxhash64(*cols).alias("h"), F.lit(1 if side == "r" else 0).alias("r"),
+                    F.lit(0 if side == "r" else 1).alias("p"))
+
+
 def rouge_n(df: DataFrame, keys, reference: str = "reference", prediction: str = "prediction",
             n: int = 1, tokens=None) -> DataFrame:
     """ROUGE-N precision / recall / F per row of ``df`` (identified by ``keys``).
@@ -51,11 +66,8 @@ def rouge_n(df: DataFrame, keys, reference: str = "reference", prediction: str =
     base = df.select(*keys, rt.alias("_rt"), pt.alias("_pt"))
     tot = base.select(*keys, F.greatest(F.size("_rt") - n + 1, F.lit(0)).alias("n_ref"),
                       F.greatest(F.size("_pt") - n + 1, F.lit(0)).alias("n_pred"))
-    sides = base.select(*keys, F.explode(F.concat(
-        F.transform(_ngrams(F.col("_rt"), n), lambda g: F.struct(F.xxhash64(g).alias("g"), F.lit(1).alias("r"), F.lit(0).alias("p"))),
-        F.transform(_ngrams(F.col("_pt"), n), lambda g: F.struct(F.xxhash64(g).alias("g"), F.lit(0).alias("r"), F.lit(1).alias("p"))),
-    )).alias("x"))
-    per_gram = sides.groupBy(*keys, F.col("x.g").alias("g")).agg(F.sum("x.r").alias("cr"), F.sum("x.p").alias("cp"))
+    sides = _gram_rows(base, keys, "_rt", n, "r").unionByName(_gram_rows(base, keys, "_pt", n, "p"))
+    per_gram = sides.groupBy(*keys, "h").agg(F.sum("r").alias("cr"), F.sum("p").alias("cp"))
     overlap = per_gram.groupBy(*keys).agg(F.sum(F.least("cr", "cp")).alias("overlap"))
     j = tot.join(overlap, keys, "left").fillna({"overlap": 0})
     p = F.col("overlap") / F.greatest(F.col("n_pred"), F.lit(1))
