@@ -4,8 +4,10 @@ top-N, P10's count, P11's join and P12's per-conversation assembly."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from evalspark.functions.hashing import h32, hash_bucket
 from evalspark.functions.text import join_tokens, render_prompt
@@ -110,10 +112,6 @@ def training_examples(df: DataFrame, prompt: str = "prompt", completion: str = "
 def tokenizer_udf(fn):
     """Wrap ``fn(list[str]) -> list[list[int]]`` as an Arrow ``pandas_udf`` usable as
     ``training_examples(tokenize=...)``.  Runs once per Arrow batch, not per row."""
-    import pandas as pd
-
-    from pyspark.sql.types import ArrayType, IntegerType
-
     @F.pandas_udf(ArrayType(IntegerType()))
     def _tok(s: pd.Series) -> pd.Series:
         return pd.Series(fn(s.fillna("").tolist()))

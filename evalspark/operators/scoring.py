@@ -28,6 +28,7 @@ SCORE_FIELDS = [
     StructField("prediction", StringType()),
     StructField("latency_s", DoubleType()),
     StructField("attempts", IntegerType()),
+    StructField("batch_size", IntegerType()),
     StructField("status", StringType()),
     StructField("error", StringType()),
 ]
@@ -41,6 +42,7 @@ def _score_batches(predictor_factory: Callable[[], Callable[[list], list]], prom
             prompts = pdf[prompt_col].fillna("").tolist()
             n = len(prompts)
             preds, lats, atts, stats, errs = [None] * n, [0.0] * n, [0] * n, ["ok"] * n, [None] * n
+            sizes = [1] * n
             todo = list(range(n))
             if batch_mode and n:
                 t0 = time.perf_counter()
@@ -48,7 +50,7 @@ def _score_batches(predictor_factory: Callable[[], Callable[[list], list]], prom
                     out = predict(prompts)
                     per = (time.perf_counter() - t0) / n  # amortised: a batch call has one timer
                     for i in range(n):
-                        preds[i], lats[i], atts[i] = out[i], per, 1
+                        preds[i], lats[i], atts[i], sizes[i] = out[i], per, 1, n
                     todo = []
                 except Exception:  # noqa: BLE001 - fall back to per-row attempts
                     todo = list(range(n))
@@ -64,6 +66,7 @@ def _score_batches(predictor_factory: Callable[[], Callable[[list], list]], prom
                         errs[i], preds[i] = f"{type(e).__name__}: {e}"[:500], sentinel
             out = pdf[keep].copy()
             out["prediction"], out["latency_s"], out["attempts"] = preds, lats, atts
+            out["batch_size"] = sizes
             out["status"], out["error"] = stats, errs
             yield out
     return run
@@ -72,7 +75,7 @@ def _score_batches(predictor_factory: Callable[[], Callable[[list], list]], prom
 def score(df: DataFrame, predictor_factory: Callable[[], Callable[[list], list]], prompt_col: str = "prompt",
           keep=None, max_attempts: int = 3, sentinel: str = "error", batch_mode: bool = False,
           num_partitions: int | None = None) -> DataFrame:
-    """``(keep..., prediction, latency_s, attempts, status, error)`` for every row.
+    """``(keep..., prediction, latency_s, attempts, batch_size, status, error)`` per row.
 
     ``predictor_factory()`` returns ``predict(list[str]) -> list[str]``; it is called once per
     partition on the executors.  ``batch_mode`` sends a whole Arrow batch per call (latency

@@ -483,3 +483,59 @@ def t1_paired_t(spark, sf):
 @register("t2_t3_p_values")
 def t2_t3_p_values(spark, sf):
     return T.paired_t(fx.paired(spark, sf), _is_cand(), with_p=True)
+
+
+# ---------------------------------------------------------------- M17 across tasks
+def _lat(model_col, id_col):
+    """Fixture latency in seconds for rows that carry none: 0.1 .. 12.1 s from a hash."""
+    from evalspark.functions.hashing import h32
+
+    return (F.lit(100) + h32(F.concat(F.lit("lat"), model_col, id_col.cast("string"))) % 12000).cast("double") / 1000
+
+
+def _lat_sql(model_sql, id_sql):
+    return f"cast(100 + {H(f'concat(' + chr(39) + 'lat' + chr(39) + f', {model_sql}, cast({id_sql} AS varchar))')} % 12000 AS double) / 1000"
+
+
+_MT_ROWS = f"""SELECT model, 'classification' AS task,
+        CASE WHEN coalesce(list_filter(['bad', 'good'], lambda l: contains(lower(prediction), lower(l)))[1], 'bad') = true_label
+             THEN 1.0 ELSE 0.0 END AS score, latency_s FROM predictions
+    UNION ALL SELECT concat('fmt', cast(turn % 4 AS varchar)) AS model, 'ner' AS task, f1 AS score,
+        {_lat_sql("concat('fmt', cast(turn % 4 AS varchar))", "conv_id * 100 + turn")} AS latency_s FROM scored
+    UNION ALL SELECT concat('m', cast(conv_id % 3 AS varchar)) AS model, 'summarization' AS task, f AS score,
+        {_lat_sql("concat('m', cast(conv_id % 3 AS varchar))", "conv_id * 100 + turn")} AS latency_s FROM rs
+    UNION ALL SELECT model, 'code_generation' AS task, passed::double AS score,
+        {_lat_sql("model", "sample_id")} AS latency_s FROM generations WHERE config = 'greedy'"""
+_MT_SC = [
+    ("allrows", _MT_ROWS),
+    ("g", """SELECT model, task, count(*) AS n_samples, round(avg(score), 4) AS accuracy,
+        round(avg(latency_s) * 1000, 2) AS latency_ms FROM allrows GROUP BY model, task"""),
+    ("t", """SELECT *, CASE task WHEN 'classification' THEN 32 WHEN 'financial_sentiment' THEN 32 WHEN 'ner' THEN 64
+        WHEN 'summarization' THEN 128 WHEN 'code_generation' THEN 256 END / (latency_ms / 1000) AS tokens_per_second FROM g"""),
+    ("c", "SELECT *, round(2.5 / (tokens_per_second * 3600) * 1e6, 4) AS cost_per_1m_tokens FROM t"),
+]
+
+
+@register("m17_multitask_scorecard", with_fixtures(
+    """SELECT model, task, n_samples, accuracy, latency_ms, tokens_per_second, cost_per_1m_tokens, 'low' AS privacy_risk,
+        CASE WHEN 10.0 - cost_per_1m_tokens <= 0 THEN 'inf'::double
+             ELSE round(0.0 / (10.0 - cost_per_1m_tokens) * 1e6, 0) END AS roi_breakeven_tokens
+    FROM c""", "predictions", "generations", "pairs", "ner_pred", extra=_rouge_sql(1) + _ENT_CTES + _MT_SC))
+def m17_multitask_scorecard(spark, sf):
+    """One plan, every task scored by its own metric, then one scorecard."""
+    from evalspark.plans.scorecard import classification_scores, scorecard
+
+    cls = classification_scores(fx.predictions(spark, sf), fx.PRED_LABELS) \
+        .select("model", "task", "score", "latency_s")
+    ner_model = F.concat(F.lit("fmt"), (F.col("turn") % 4).cast("string"))
+    ner = _entity_scores(spark, sf).select(ner_model.alias("model"), F.lit("ner").alias("task"),
+                                           F.col("f1").alias("score"),
+                                           _lat(ner_model, F.col("conv_id") * 100 + F.col("turn")).alias("latency_s"))
+    sm_model = F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"))
+    summ = R.rouge_n(fx.pairs(spark, sf), ["conv_id", "turn"], n=1).select(
+        sm_model.alias("model"), F.lit("summarization").alias("task"), F.col("f").alias("score"),
+        _lat(sm_model, F.col("conv_id") * 100 + F.col("turn")).alias("latency_s"))
+    code = fx.generations(spark, sf).filter(F.col("config") == "greedy").select(
+        "model", F.lit("code_generation").alias("task"), F.col("passed").cast("double").alias("score"),
+        _lat(F.col("model"), F.col("sample_id")).alias("latency_s"))
+    return scorecard(cls.unionByName(ner).unionByName(summ).unionByName(code))

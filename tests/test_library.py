@@ -1,0 +1,67 @@
+"""Library paths not exercised by the registered queries."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from evalspark import fixtures as fx
+from evalspark.operators import prepare as P
+from evalspark.operators import scoring as I
+from evalspark.session import read_table, scratch_path
+from evalspark.sources import datasets as S3
+from evalspark.sources import text_label as S2
+
+
+def test_pluggable_tokenizer_udf(spark):
+    tok = P.tokenizer_udf(lambda texts: [[len(w) for w in t.split()] for t in texts])
+    df = spark.createDataFrame([("ab cde", "f")], "prompt string, completion string")
+    r = P.training_examples(df, tokenize=tok, eos_id=0).collect()[0]
+    assert r.input_ids == [2, 3, 1, 0]
+    assert r.labels == [-100, -100, 1, 0]
+    assert r.attention_mask == [1, 1, 1, 1]
+
+
+def test_training_examples_cap(spark):
+    df = spark.createDataFrame([("a b c", "d e")], "prompt string, completion string")
+    r = P.training_examples(df, max_length=4).collect()[0]
+    assert len(r.input_ids) == 4 and r.labels[:3] == [-100] * 3 and r.labels[3] != -100
+
+
+def test_chat_format_order_and_generation_prompt(spark):
+    conv = spark.createDataFrame([(1, 1, "assistant", "hi"), (1, 0, "user", "hello"), (2, 0, "system", "s")],
+                                 "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.chat for r in P.chat_format(conv, add_generation_prompt=True).collect()}
+    assert got[1] == "<|user|>hello<|end|><|assistant|>hi<|end|><|assistant|>"
+    assert got[2] == "<|system|>s<|end|><|assistant|>"
+
+
+def test_labelled_text_variants(spark):
+    path = scratch_path(spark, "lines")
+    df = spark.createDataFrame([("Café up @ Positive ",), ("no label line",), ("x@y@neutral",), ("bad@mixed",),
+                                ("   ",)], "line string")
+    S2.write_lines(df, "line", path)
+    strict = sorted(tuple(r) for r in S2.read_labelled_text(spark, path).collect())
+    assert strict == [("Café up ", 2), ("x@y", 1)]
+    loose = sorted(tuple(r) for r in S2.read_labelled_text(spark, path, keep_unknown=True).collect())
+    assert ("bad", "mixed") in loose and len(loose) == 3
+
+
+def test_load_task_dataset_errors(spark, sf):
+    reg = {"t": {"path": f"{sf}/documents.parquet", "input_col": "text", "label_col": "nope"}}
+    with pytest.raises(S3.UnknownTask):
+        S3.load_task_dataset(spark, "other", reg)
+    with pytest.raises(ValueError):
+        S3.load_task_dataset(spark, "t", reg)
+    ok = {"t": {"path": f"{sf}/documents.parquet", "input_col": "text", "label_col": "lang", "id_col": "doc_id"}}
+    df, _ = S3.load_task_dataset(spark, "t", ok, max_samples=5)
+    assert [r.doc_id for r in df.collect()] == [0, 1, 2, 3, 4]
+
+
+def test_batch_mode_amortises_latency(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 30).alias("prompt"))
+
+    def factory():
+        return lambda prompts: [p[:3] for p in prompts]
+
+    s = I.score(d, factory, keep=["doc_id"], batch_mode=True)
+    r = s.agg(F.min("batch_size"), F.max("attempts"), F.count_if(F.col("status") == "ok"), F.count("*")).collect()[0]
+    assert r[0] >= 1 and r[1] == 1 and r[2] == r[3]
