@@ -22,5 +22,13 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_report(df: DataFrame, cols, digits: int = 6) -> DataFrame:
+    """Round reported float aggregates (report edge): sums of doubles are order-dependent, so
+    the last bits differ between engines and partitionings; the SQL rounds the same columns."""
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 # importing the sections fills the two dicts
 from evalspark.plans import q_core, q_io, q_text  # noqa: E402,F401

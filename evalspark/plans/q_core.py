@@ -12,7 +12,7 @@ from evalspark.operators import metrics as M
 from evalspark.operators.economics import roi_breakeven, slm_cost_per_1m, throughput, training_cost
 from evalspark.oracle import with_fixtures
 from evalspark.plans.benchmark import fixture_matrix
-from evalspark.plans.catalog import register
+from evalspark.plans.catalog import register, round_report
 from evalspark.plans.scorecard import classification_scores, scorecard
 
 LABELS = fx.PRED_LABELS  # label-map order for N1: ['bad', 'good']
@@ -76,12 +76,12 @@ def i5_error_sentinels(spark, sf):
 
 # ---------------------------------------------------------------- M8 / M9
 @register("m8_latency_profile", with_fixtures(
-    """SELECT model, avg(latency_s) AS mean_latency, stddev_samp(latency_s) AS std_latency,
+    """SELECT model, round(avg(latency_s), 6) AS mean_latency, round(stddev_samp(latency_s), 6) AS std_latency,
         max(latency_s) AS max_latency, arg_max(sample_id, (latency_s, -sample_id)) AS max_latency_sample,
         min(latency_s) AS min_latency, count(*) AS n
     FROM predictions GROUP BY model""", "predictions"))
 def m8_latency_profile(spark, sf):
-    return M.latency_profile(fx.predictions(spark, sf))
+    return round_report(M.latency_profile(fx.predictions(spark, sf)), ["mean_latency", "std_latency"])
 
 
 @register("m9_latency_outliers", with_fixtures(

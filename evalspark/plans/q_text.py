@@ -15,7 +15,7 @@ from evalspark.operators import prepare as P
 from evalspark.operators import rouge as R
 from evalspark.operators import stats as T
 from evalspark.oracle import H, with_fixtures
-from evalspark.plans.catalog import register
+from evalspark.plans.catalog import register, round_report
 from evalspark.session import read_table, spread
 
 NL = "\n"
@@ -316,12 +316,14 @@ def m5b_entity_correct(spark, sf):
 
 
 @register("m5c_entity_means", with_fixtures(
-    """SELECT concat('fmt', cast(turn % 4 AS varchar)) AS model, avg(precision) AS precision, avg(recall) AS recall,
-        avg(f1) AS f1, avg(CAST(f1 >= 0.5 AS int)) AS accuracy FROM scored GROUP BY 1""", "ner_pred", extra=_ENT_CTES))
+    """SELECT concat('fmt', cast(turn % 4 AS varchar)) AS model, round(avg(precision), 6) AS precision,
+        round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(CAST(f1 >= 0.5 AS int)), 6) AS accuracy
+    FROM scored GROUP BY 1""", "ner_pred", extra=_ENT_CTES))
 def m5c_entity_means(spark, sf):
     s = _entity_scores(spark, sf).withColumn("model", F.concat(F.lit("fmt"), (F.col("turn") % 4).cast("string")))
-    return s.groupBy("model").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                                  F.avg("f1").alias("f1"), F.avg(M.entity_correct("f1")).alias("accuracy"))
+    g = s.groupBy("model").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+                               F.avg("f1").alias("f1"), F.avg(M.entity_correct("f1")).alias("accuracy"))
+    return round_report(g, ["precision", "recall", "f1", "accuracy"])
 
 
 # ---------------------------------------------------------------- N9, M4 (token sets), M3 (ROUGE)
@@ -393,11 +395,12 @@ def m3a_rouge2(spark, sf):
 
 
 @register("m3c_rouge1_mean", with_fixtures(
-    "SELECT concat('m', cast(conv_id % 3 AS varchar)) AS model, avg(f) AS mean_f, count(*) AS n FROM rs GROUP BY 1",
+    "SELECT concat('m', cast(conv_id % 3 AS varchar)) AS model, round(avg(f), 6) AS mean_f, count(*) AS n FROM rs GROUP BY 1",
     "pairs", extra=_rouge_sql(1)))
 def m3c_rouge1_mean(spark, sf):
     s = R.rouge_n(fx.pairs(spark, sf), ["conv_id", "turn"], n=1)
-    return R.mean_scores(s.withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"))), ["model"])
+    g = R.mean_scores(s.withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"))), ["model"])
+    return round_report(g, ["mean_f"])
 
 
 @register("m3b_rouge_l")
@@ -418,7 +421,7 @@ def m3d_stem_vocabulary(spark, sf):
 
 
 # ---------------------------------------------------------------- M6, M7, M10, M18 (generations)
-_PAK = """SELECT model, k, avg(pak) AS pass_at_k, count(pak) AS n_problems FROM (
+_PAK = """SELECT model, k, round(avg(pak), 6) AS pass_at_k, count(pak) AS n_problems FROM (
         SELECT model, k, CASE WHEN n < k THEN NULL WHEN n - c < k THEN 1.0
             ELSE 1.0 - list_reduce(list_transform(range(0, k), lambda i: (n - c - i)::double / (n - i)), lambda a, b: a * b) END AS pak
         FROM (SELECT model, problem_id, count(*) AS n, sum(passed) AS c FROM generations GROUP BY model, problem_id) g,
@@ -427,7 +430,7 @@ _PAK = """SELECT model, k, avg(pak) AS pass_at_k, count(pak) AS n_problems FROM
 
 @register("m6_pass_at_k", with_fixtures(_PAK, "generations"))
 def m6_pass_at_k(spark, sf):
-    return M.pass_at_k(fx.generations(spark, sf), ks=(1, 3, 10))
+    return round_report(M.pass_at_k(fx.generations(spark, sf), ks=(1, 3, 10)), ["pass_at_k"])
 
 
 @register("m7_greedy_pass", with_fixtures(
@@ -471,13 +474,14 @@ def t4_pair_grid(spark, sf):
 
 
 @register("t1_paired_t", with_fixtures(
-    """SELECT slm, llm_baseline, avg(slm_score) AS slm_mean_accuracy, avg(llm_score) AS llm_mean_accuracy,
-        avg(slm_score - llm_score) AS mean_difference, stddev_samp(slm_score - llm_score) AS sd_difference,
+    """SELECT slm, llm_baseline, round(avg(slm_score), 6) AS slm_mean_accuracy, round(avg(llm_score), 6) AS llm_mean_accuracy,
+        round(avg(slm_score - llm_score), 6) AS mean_difference, round(stddev_samp(slm_score - llm_score), 6) AS sd_difference,
         count(*) AS n_pairs,
-        avg(slm_score - llm_score) / (stddev_samp(slm_score - llm_score) / sqrt(count(*))) AS t_statistic
+        round(avg(slm_score - llm_score) / (stddev_samp(slm_score - llm_score) / sqrt(count(*))), 6) AS t_statistic
     FROM tp GROUP BY slm, llm_baseline""", "paired", extra=[("tp", _T_PAIRS)]))
 def t1_paired_t(spark, sf):
-    return T.paired_t(fx.paired(spark, sf), _is_cand(), with_p=False)
+    return round_report(T.paired_t(fx.paired(spark, sf), _is_cand(), with_p=False),
+                        ["slm_mean_accuracy", "llm_mean_accuracy", "mean_difference", "sd_difference", "t_statistic"])
 
 
 @register("t2_t3_p_values")
