@@ -5,7 +5,7 @@ top-N, P10's count, P11's join and P12's per-conversation assembly."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -208,3 +208,24 @@ def chat_format(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     if add_generation_prompt:
         chat = F.concat(chat, F.lit(generation_prompt))
     return g.select(conv_id, chat.alias("chat"), F.size("ps").alias("n_turns"))
+
+
+def chat_segments(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
+                  text: str = "text", block: int = 1024) -> DataFrame:
+    """P12 without collecting a conversation: each turn rendered (narrow) with its character
+    offset in the assembled chat string; concatenating segments in offset order gives
+    ``chat_format``'s string.  Offsets are a two-level prefix sum: per (conversation, block of
+    ``block`` turns) totals by partial aggregation, a running sum over a conversation's blocks,
+    and a running sum inside each block (at most ``block`` rows).  A conversation holding a
+    third of all turns is thereby split into many small window partitions."""
+    seg = conv.select(conv_id, turn, render_turn(role, text).alias("segment"))
+    seg = seg.withColumn("_len", F.length("segment").cast("bigint")) \
+        .withColumn("_blk", F.floor(F.col(turn) / F.lit(block)))
+    blk = seg.groupBy(conv_id, "_blk").agg(F.sum("_len").alias("_bl"))
+    before = Window.unboundedPreceding
+    wb = Window.partitionBy(conv_id).orderBy("_blk").rowsBetween(before, -1)
+    blk = blk.select(conv_id, "_blk", F.coalesce(F.sum("_bl").over(wb), F.lit(0).cast("bigint")).alias("_boff"))
+    wi = Window.partitionBy(conv_id, "_blk").orderBy(turn).rowsBetween(before, -1)
+    seg = seg.withColumn("_ioff", F.coalesce(F.sum("_len").over(wi), F.lit(0).cast("bigint")))
+    out = seg.join(blk, [conv_id, "_blk"])
+    return out.select(conv_id, turn, (F.col("_boff") + F.col("_ioff")).alias("offset"), "segment")

@@ -167,6 +167,14 @@ def p12_chat_format(spark, sf):
     return P.chat_format(read_table(spark, sf, "conversations"))
 
 
+@register("p12_chat_segments", """SELECT conv_id, turn,
+        coalesce(sum(length(seg)) OVER (PARTITION BY conv_id ORDER BY turn
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS offset, seg AS segment
+    FROM (SELECT conv_id, turn, concat('<|', role, '|>', text, '<|end|>') AS seg FROM conversations) q""")
+def p12_chat_segments(spark, sf):
+    return P.chat_segments(read_table(spark, sf, "conversations"))
+
+
 # ---------------------------------------------------------------- N3, N4 (generated code)
 _STOPS_SQL = "list_min([" + ", ".join(
     f"nullif(instr(code, {s}), 0)" for s in

@@ -65,3 +65,16 @@ def test_batch_mode_amortises_latency(spark, sf):
     s = I.score(d, factory, keep=["doc_id"], batch_mode=True)
     r = s.agg(F.min("batch_size"), F.max("attempts"), F.count_if(F.col("status") == "ok"), F.count("*")).collect()[0]
     assert r[0] >= 1 and r[1] == 1 and r[2] == r[3]
+
+
+def test_chat_segments_blocks_agree_and_rebuild_chat(spark, sf):
+    conv = read_table(spark, sf, "conversations")
+    small = sorted(tuple(r) for r in P.chat_segments(conv, block=2).collect())
+    big = sorted(tuple(r) for r in P.chat_segments(conv).collect())
+    assert small == big
+    chats = {r.conv_id: r.chat for r in P.chat_format(conv).collect()}
+    rebuilt = {}
+    for cid, _, off, seg in big:
+        assert len(rebuilt.get(cid, "")) == off
+        rebuilt[cid] = rebuilt.get(cid, "") + seg
+    assert rebuilt == chats
