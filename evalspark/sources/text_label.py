@@ -46,7 +46,7 @@ def parse_label_lines(df: DataFrame, col: str = "value", keep=()) -> DataFrame:
 def read_labelled_text(spark: SparkSession, path: str, table: dict = FINANCIAL_LABEL_TO_ID,
                        encoding: str = "ISO-8859-1", keep_unknown: bool = False) -> DataFrame:
     """S2 + P5: file -> (sentence, label); unknown labels dropped unless ``keep_unknown``
-    (the notebook variant keeps the label string and drops nothing)."""
+    (the lenient variant keeps the label string and drops nothing)."""
     parsed = parse_label_lines(read_lines(spark, path, encoding))
     if keep_unknown:
         return parsed
