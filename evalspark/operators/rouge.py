@@ -35,12 +35,6 @@ def _fmeasure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    from evalspark.functions.text import ngram_strings
-
-    return ngram_strings(tokens, n)
-
-
 def _gram_rows(base: DataFrame, keys, col: str, n: int, side: str) -> DataFrame:
     """(keys, gram hash, side) per n-gram occurrence; the hash is computed after the explode,
     in generated code, from the n words (no lambda, no n-gram string)."""
