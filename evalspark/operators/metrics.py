@@ -48,6 +48,37 @@ def token_f1(truth_set, pred_set) -> Column:
     return F.when(ok, F.struct(prec.alias("precision"), rec.alias("recall"), f1.alias("f1")))
 
 
+def token_f1_scores(df: DataFrame, truth_set, pred_set, keep=()) -> DataFrame:
+    """M4 as staged projections: sets, then counts, then ratios.  Each stage is a separate
+    projection whose columns are referenced several times, so Catalyst keeps it instead of
+    re-deriving the token sets inside every ratio.  Rows with an empty truth are dropped."""
+    keep = list(keep)
+    x = df.select(*keep, _c(truth_set).alias("_t"), _c(pred_set).alias("_p"))
+    x = x.select(*keep, F.size("_t").alias("_nt"), F.size("_p").alias("_np"),
+                 F.size(F.array_intersect("_t", "_p")).cast("double").alias("_tp")).filter(F.col("_nt") > 0)
+    x = x.select(*keep, F.when(F.col("_np") > 0, F.col("_tp") / F.col("_np")).otherwise(F.lit(0.0)).alias("precision"),
+                 (F.col("_tp") / F.col("_nt")).alias("recall"))
+    return x.select(*keep, "precision", "recall", _f1("precision", "recall").alias("f1"))
+
+
+def _f1(p, r) -> Column:
+    p, r = _c(p), _c(r)
+    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+
+
+def entity_prf_scores(df: DataFrame, truth_set, pred_set, keep=()) -> DataFrame:
+    """M5 as staged projections (see ``token_f1_scores``)."""
+    keep = list(keep)
+    x = df.select(*keep, _c(truth_set).alias("_t"), _c(pred_set).alias("_p"))
+    x = x.select(*keep, F.size("_t").alias("_nt"), F.size("_p").alias("_np"),
+                 F.size(F.array_intersect("_t", "_p")).cast("double").alias("_tp"))
+    both_empty = (F.col("_nt") == 0) & (F.col("_np") == 0)
+    prec = F.when(both_empty, F.lit(1.0)).when(F.col("_np") > 0, F.col("_tp") / F.col("_np")).otherwise(F.lit(0.0))
+    rec = F.when(both_empty, F.lit(1.0)).when(F.col("_nt") > 0, F.col("_tp") / F.col("_nt")).otherwise(F.lit(0.0))
+    x = x.select(*keep, prec.alias("precision"), rec.alias("recall"))
+    return x.select(*keep, "precision", "recall", _f1("precision", "recall").alias("f1"))
+
+
 def entity_prf(truth_set, pred_set) -> Column:
     """M5 per sample: struct(precision, recall, f1) of entity sets; both empty -> 1, 1, 1;
     zero denominators -> 0."""

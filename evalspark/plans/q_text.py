@@ -294,9 +294,7 @@ def _entity_scores(spark, sf):
     pred = fx.ner_pred(spark, sf).select("conv_id", "turn", parse_entities("response").alias("pred"))
     j = truth.join(pred, ["conv_id", "turn"], "left") \
         .withColumn("pred", F.coalesce("pred", F.array().cast("array<string>")))
-    prf = M.entity_prf("truth", "pred")
-    return j.select("conv_id", "turn", prf["precision"].alias("precision"), prf["recall"].alias("recall"),
-                    prf["f1"].alias("f1"))
+    return M.entity_prf_scores(j, "truth", "pred", keep=["conv_id", "turn"])
 
 
 _PRF_SQL = """SELECT t.conv_id, t.turn, t.truth, coalesce(p.pred, []) AS pred,
@@ -354,10 +352,8 @@ _TF3 = "SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
 
 
 def _token_f1(spark, sf):
-    p = fx.pairs(spark, sf)
-    s = M.token_f1(token_set("reference"), token_set("prediction"))
-    return p.select("conv_id", "turn", s.alias("s")).filter(F.col("s").isNotNull()) \
-        .select("conv_id", "turn", "s.precision", "s.recall", "s.f1")
+    p = spread(fx.pairs(spark, sf))
+    return M.token_f1_scores(p, token_set("reference"), token_set("prediction"), keep=["conv_id", "turn"])
 
 
 @register("m4_token_f1", with_fixtures("SELECT * FROM tf3", "pairs", extra=[("tf", _TF1), ("tf2", _TF2), ("tf3", _TF3)]))
