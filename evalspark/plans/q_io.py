@@ -176,3 +176,21 @@ def st1_incremental_scoring(spark, sf):
     prompts.filter(F.col("doc_id") % 2 == 1).write.mode("append").parquet(src)
     run_incremental(spark, src, schema, sink, ckpt, fx.flaky_first_word_predictor, keep=["doc_id"])
     return read_scored(spark, sink).select("doc_id", "prediction", "attempts", "status")
+
+
+# ---------------------------------------------------------------- S1 for wide prediction logs
+@register("s1_wide_prediction_log", with_fixtures(
+    "SELECT sample_id, true_label, model, prediction, latency_s FROM predictions", "predictions"))
+def s1_wide_prediction_log(spark, sf):
+    """A mixed-generation wide log (m2 in the older column naming) written as CSV, read back
+    by header and unpivoted to long predictions."""
+    from evalspark.sources import prediction_logs as PL
+
+    models = fx.PRED_MODELS
+    wide = PL.long_to_wide_log(fx.predictions(spark, sf), models, generation={"m2": "old"})
+    path = scratch_path(spark, "wide-log")
+    PL.write_wide_log(wide, path)
+    log = PL.read_wide_log(spark, path)
+    long = PL.wide_to_long_predictions(log, {m: m for m in models}, keep=("true_label",))
+    return long.select(F.col("sample_id").cast("bigint").alias("sample_id"), "true_label", "model",
+                       "prediction", "latency_s")

@@ -78,3 +78,18 @@ def test_chat_segments_blocks_agree_and_rebuild_chat(spark, sf):
         assert len(rebuilt.get(cid, "")) == off
         rebuilt[cid] = rebuilt.get(cid, "") + seg
     assert rebuilt == chats
+
+
+def test_wide_log_generations(spark, tmp_path):
+    from evalspark.sources import prediction_logs as PL
+
+    p = tmp_path / "log.csv"
+    p.write_text("text,true_label,openai_pred,openai_correct,openai_latency_s,gemini_pred,gemini_latency\n"
+                 "t1,World, World ,1,0.5,Sports,1.25\n")
+    log = PL.read_wide_log(spark, str(p))
+    rows = {r.model: r for r in PL.wide_to_long_predictions(
+        log, {"openai": "gpt-4o", "gemini": "gemini-2.5-flash", "anthropic": "claude-haiku-4-5"},
+        id_cols=("text",)).collect()}
+    assert set(rows) == {"gpt-4o", "gemini-2.5-flash"}
+    assert (rows["gpt-4o"].prediction, rows["gpt-4o"].correct, rows["gpt-4o"].latency_s) == (" World ", 1, 0.5)
+    assert (rows["gemini-2.5-flash"].correct, rows["gemini-2.5-flash"].latency_s) == (None, 1.25)
