@@ -34,8 +34,9 @@ def flatten_run_log(runs: DataFrame, tags=("model", "task", "phase", "privacy_ri
         return runs
     keep = [c for c in runs.columns if c not in ("tags", "params", "metrics")]
     cols = [F.col(c) for c in keep]
-    cols += [F.try_element_at("tags", F.lit(t)).alias(t) for t in tags]
-    cols += [F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics]
+    # a tag already promoted to a top-level column (e.g. ``phase`` for pushdown) is read from it
+    cols += [F.try_element_at("tags", F.lit(t)).alias(t) for t in tags if t not in keep]
+    cols += [F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics if m not in keep]
     return runs.select(*cols)
 
 

@@ -194,3 +194,14 @@ def s1_wide_prediction_log(spark, sf):
     long = PL.wide_to_long_predictions(log, {m: m for m in models}, keep=("true_label",))
     return long.select(F.col("sample_id").cast("bigint").alias("sample_id"), "true_label", "model",
                        "prediction", "latency_s")
+
+
+@register("b8_matrix_from_run_store", with_fixtures("SELECT * FROM matrix", "runs", extra=MATRIX_CTES))
+def b8_matrix_from_run_store(spark, sf):
+    """S6 -> S4 -> B8: the matrix compiled from the map-typed run store written by the logger
+    (tags / metrics maps, partitioned by experiment), not from flat columns."""
+    from evalspark.operators.matrix import compile_matrix
+
+    store = RS.read_runs(spark, _write_store(spark, sf)).drop("store")
+    wide = fx.runs_wide(spark, sf, experiment_cols=("task",))
+    return compile_matrix(store, wide, fx.API_PREFIXES, experiment_cols=("task",), accuracy_key=fx.API_TASK_METRIC)

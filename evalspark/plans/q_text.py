@@ -547,3 +547,28 @@ def m17_multitask_scorecard(spark, sf):
         "model", F.lit("code_generation").alias("task"), F.col("passed").cast("double").alias("score"),
         _lat(F.col("model"), F.col("sample_id")).alias("latency_s"))
     return scorecard(cls.unionByName(ner).unionByName(summ).unionByName(code))
+
+
+# ---------------------------------------------------------------- T1 at item level
+_ITEM = f"""SELECT c.model AS slm, b.model AS llm_baseline, c.score AS slm_score, b.score AS llm_score
+    FROM (SELECT model, sample_id, CASE WHEN coalesce(list_filter(['bad', 'good'], lambda l: contains(lower(prediction), lower(l)))[1], 'bad') = true_label THEN 1.0 ELSE 0.0 END AS score
+          FROM predictions) c
+    JOIN (SELECT model, sample_id, CASE WHEN coalesce(list_filter(['bad', 'good'], lambda l: contains(lower(prediction), lower(l)))[1], 'bad') = true_label THEN 1.0 ELSE 0.0 END AS score
+          FROM predictions) b ON b.sample_id = c.sample_id
+    WHERE c.model = 'm0' AND b.model <> 'm0'"""
+
+
+@register("t1_item_level_paired_t", with_fixtures(
+    """SELECT slm, llm_baseline, round(avg(slm_score), 6) AS slm_mean_accuracy, round(avg(llm_score), 6) AS llm_mean_accuracy,
+        round(avg(slm_score - llm_score), 6) AS mean_difference, round(stddev_samp(slm_score - llm_score), 6) AS sd_difference,
+        count(*) AS n_pairs,
+        round(avg(slm_score - llm_score) / (stddev_samp(slm_score - llm_score) / sqrt(count(*))), 6) AS t_statistic
+    FROM ip GROUP BY slm, llm_baseline""", "predictions", extra=[("ip", _ITEM)]))
+def t1_item_level_paired_t(spark, sf):
+    """T1 with the sample as pairing unit: every unit contributes #candidates x #baselines rows."""
+    from evalspark.plans.scorecard import classification_scores
+
+    s = classification_scores(fx.predictions(spark, sf), fx.PRED_LABELS) \
+        .select("model", F.col("sample_id").alias("unit"), "score")
+    out = T.paired_t(s, F.col("model") == "m0", with_p=False)
+    return round_report(out, ["slm_mean_accuracy", "llm_mean_accuracy", "mean_difference", "sd_difference", "t_statistic"])
