@@ -93,3 +93,38 @@ def test_wide_log_generations(spark, tmp_path):
     assert set(rows) == {"gpt-4o", "gemini-2.5-flash"}
     assert (rows["gpt-4o"].prediction, rows["gpt-4o"].correct, rows["gpt-4o"].latency_s) == (" World ", 1, 0.5)
     assert (rows["gemini-2.5-flash"].correct, rows["gemini-2.5-flash"].latency_s) == (None, 1.25)
+
+
+def test_exact_copies_normalise_case_and_whitespace(spark):
+    docs = spark.createDataFrame([(1, "The  Quick\nbrown fox"), (2, "the quick brown fox!"), (3, "other")],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " the quick brown   FOX ")], "item_id long, text string")
+    assert sorted(tuple(r) for r in P.exact_overlap(docs, bench).collect()) == [(1, 10)]
+
+
+def test_ngram_overlap_counts_items_and_grams(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x y z"), (3, "A, B. C d e f g h")],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "a b c d e f g h"), (11, "c d e f g h i j k")],
+                                  "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.n_shared_ngrams) for r in P.ngram_overlap(docs, bench, n=8).collect()}
+    assert got == {1: (2, 2), 3: (1, 1)}  # doc 1 shares a..h (item 10) and c..j (item 11)
+    # the shuffle-join fallback (size bound not met) gives the same answer
+    got2 = {r.doc_id: (r.n_items, r.n_shared_ngrams)
+            for r in P.ngram_overlap(docs, bench, n=8, max_broadcast_rows=1).collect()}
+    assert got2 == got
+
+
+def test_read_runs_several_stores(spark):
+    from evalspark.sources import runs as RS
+
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", "m", "click", "phase2_benchmark", 0.5)],
+                               "run_id long, ts string, model string, task string, phase string, acc double") \
+        .withColumn("ts", F.to_timestamp("ts"))
+    rec = RS.run_records(df, "task", "run_id", "ts", tags={"model": "model", "phase": "phase"},
+                         metrics={"accuracy": "acc"})
+    a, b = scratch_path(spark, "store-a"), scratch_path(spark, "store-b")
+    RS.append_runs(rec, a)
+    RS.append_runs(rec.withColumn("run_id", F.col("run_id") + 1), b)
+    got = sorted((r.run_id, r.store, r.experiment, r.phase) for r in RS.read_runs(spark, a, b, store_names=["x", "y"]).collect())
+    assert got == [(1, "x", "click", "phase2_benchmark"), (2, "y", "click", "phase2_benchmark")]
