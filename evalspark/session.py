@@ -72,11 +72,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input yields fewer partitions than the cluster
-    has task slots (e.g. a small file with one row group feeding a CPU-heavy text operator).
-    At scale the scan already produces thousands of splits and this is a no-op."""
+def spread(df: DataFrame, min_partitions: int | None = None, max_input_partitions: int = 8) -> DataFrame:
+    """Round-robin repartition a *small* input that arrives in very few partitions (e.g. one
+    file with one row group) before CPU-heavy per-row work, so one task is not the bottleneck.
+
+    Only inputs with at most ``max_input_partitions`` partitions are touched - a handful of
+    row groups, cheap to shuffle.  A table that already arrives in many splits is left alone
+    even when the cluster has more task slots: shuffling a large table only to raise
+    parallelism costs more than it saves."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    n = df.rdd.getNumPartitions()
+    if n <= max_input_partitions and n < want:
         return df.repartition(want)
     return df
