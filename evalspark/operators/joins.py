@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +12,23 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  Scans at most ``max_rows + 1`` rows, so
-    the check is cheap even when the answer is 'no'."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows.  A plain distributed ``count()``: each
+    task sends one number to the driver.  (``limit(n).count()`` would funnel up to n rows per
+    partition through a single task when the side is not small after all.)  Callers persist
+    ``df`` first when the join will read it again."""
+    return df.count() <= max_rows
 
 
 def maybe_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                     checked: bool | None = None) -> DataFrame:
     """Broadcast hint only when the size bound is proven; otherwise leave the join to
     AQE / sort-merge.  ``checked`` lets a caller that knows the bound skip the count job."""
-    ok = bounded_rows(small, max_rows) if checked is None else checked
-    return F.broadcast(small) if ok else small
+    if checked is None:
+        small = small.persist(StorageLevel.MEMORY_AND_DISK)  # the count materialises it for the join
+        checked = bounded_rows(small, max_rows)
+        if not checked:
+            small.unpersist(blocking=False)  # a large side is not kept; the shuffle join reads it once
+    return F.broadcast(small) if checked else small
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",

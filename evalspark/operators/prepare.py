@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from evalspark.functions.hashing import h32, hash_bucket
 from evalspark.functions.text import join_tokens, render_prompt
-from evalspark.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_rows, join_small
+from evalspark.operators.joins import DEFAULT_BROADCAST_ROWS, join_small, maybe_broadcast
 from evalspark.session import spread
 
 
@@ -168,8 +168,7 @@ def ngram_overlap(docs: DataFrame, bench: DataFrame, n: int = 8, doc_id: str = "
     shuffle join on the keys.  Only (id, key) pairs ever reach the exchange, never text."""
     bk = _gram_keys(bench, item_id, text, n).distinct()
     dk = _gram_keys(docs.select(doc_id, text), doc_id, text, n)
-    small = bounded_rows(bk, max_broadcast_rows)
-    j = dk.join(F.broadcast(bk) if small else bk, ["k1", "k2"])
+    j = dk.join(maybe_broadcast(bk, max_broadcast_rows), ["k1", "k2"])
     return j.groupBy(doc_id).agg(F.count_distinct(item_id).alias("n_items"),
                                  F.count_distinct("k1", "k2").alias("n_shared_ngrams"))
 
