@@ -106,15 +106,16 @@ def phrase(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     lab = F.element_at(F.create_map(*[x for k, v in PHRASE_LABEL.items() for x in (F.lit(k), F.lit(v))]),
                        (F.col("doc_id") % 5).cast("int"))
-    line = F.concat(F.regexp_replace(F.substring("text", 1, 60), NL, " "), F.lit("@"), lab)
+    line = F.concat(F.regexp_replace(F.col("text"), NL, " "), F.lit("@"), lab)
     return d.select("doc_id", line.alias("line"))
 
 
 def ner_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Array form: one row per turn with ``tokens`` and BIO ``tags``.  The tag of a token looks
-    at the previous token of the same array (no window, no shuffle)."""
+    """Array form: one row per turn with ``tokens`` (the blank-separated tokens of the whole
+    turn) and BIO ``tags``.  The tag of a token looks at the previous token of the same array
+    (no window, no shuffle)."""
     conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    toks = F.split(F.substring("text", 1, 400), " ")
+    toks = F.split(F.col("text"), " ")
     df = conv.select("conv_id", "turn", toks.alias("tokens"))
 
     def tag(t, i):
@@ -135,7 +136,7 @@ def nertok(spark: SparkSession, sf: str) -> DataFrame:
 
 def ner_pred(spark: SparkSession, sf: str) -> DataFrame:
     """Model answers for the ner view: kept span surfaces as ``{"PER": [...]}`` JSON, fenced for
-    turn % 4 = 1, cut to 10 characters (invalid) for turn % 4 = 3."""
+    turn % 4 = 1, cut to 10 characters (invalid JSON on purpose) for turn % 4 = 3."""
     from evalspark.functions.entities import bio_spans
     from evalspark.session import spread
 

@@ -51,13 +51,13 @@ SELECT u.conv_id AS conv_id, u.turn AS turn, u.text AS reference, a.text AS pred
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'""",
     "phrase": """
-SELECT doc_id, concat(replace(substr(text, 1, 60), chr(10), ' '), '@',
+SELECT doc_id, concat(replace(text, chr(10), ' '), '@',
        CASE doc_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN ' Neutral ' WHEN 2 THEN 'positive'
                        WHEN 3 THEN 'a@positive' ELSE 'mixed' END) AS line
 FROM documents""",
     "tokens": """
-SELECT conv_id, turn, unnest(string_split(substr(text, 1, 400), ' ')) AS tok,
-       generate_subscripts(string_split(substr(text, 1, 400), ' '), 1) - 1 AS pos
+SELECT conv_id, turn, unnest(string_split(text, ' ')) AS tok,
+       generate_subscripts(string_split(text, ' '), 1) - 1 AS pos
 FROM conversations""",
     "nertok": f"""
 SELECT conv_id, turn, pos, tok,

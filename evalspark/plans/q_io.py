@@ -105,14 +105,14 @@ def s5_union_stores(spark, sf):
 
 # ---------------------------------------------------------------- I1-I4
 def _prompts(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("prompt"))
+    d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     return spread(d)
 
 
 _FIRST = r"string_split_regex(regexp_replace(prompt, '^\s+', ''), '\s+')[1]"
 _I1 = f"""SELECT doc_id, {_FIRST} AS prediction,
         CASE WHEN {H('prompt')} % 17 = 0 THEN 2 ELSE 1 END AS attempts, 'ok' AS status
-    FROM (SELECT doc_id, substr(text, 1, 400) AS prompt FROM documents) q"""
+    FROM (SELECT doc_id, text AS prompt FROM documents) q"""
 
 
 @register("i1_score", _I1)
@@ -168,7 +168,7 @@ def st1_incremental_scoring(spark, sf):
     from evalspark.streaming.incremental import read_scored, run_incremental
 
     src, sink, ckpt = (scratch_path(spark, x) for x in ("st1-src", "st1-sink", "st1-ckpt"))
-    prompts = read_table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("prompt"))
+    prompts = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     schema = prompts.schema
     # first delivery: even ids; run; second delivery: odd ids; run again (only new files scored)
     prompts.filter(F.col("doc_id") % 2 == 0).write.mode("append").parquet(src)

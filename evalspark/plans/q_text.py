@@ -94,7 +94,7 @@ def p5_label_to_id(spark, sf):
 
 
 # ---------------------------------------------------------------- P6-P9
-@register("p6_join_tokens", "SELECT conv_id, turn, array_to_string(string_split(substr(text, 1, 400), ' '), ' ') AS text FROM conversations")
+@register("p6_join_tokens", "SELECT conv_id, turn, array_to_string(string_split(text, ' '), ' ') AS text FROM conversations")
 def p6_join_tokens(spark, sf):
     t = fx.ner_tokens(spark, sf)
     return P.tokens_to_text(t).select("conv_id", "turn", "text")
@@ -361,10 +361,10 @@ def m4_token_f1(spark, sf):
     return _token_f1(spark, sf)
 
 
-@register("m4_token_f1_mean", with_fixtures("SELECT avg(f1) AS f1, count(*) AS n FROM tf3", "pairs",
+@register("m4_token_f1_mean", with_fixtures("SELECT round(avg(f1), 6) AS f1, count(*) AS n FROM tf3", "pairs",
                                             extra=[("tf", _TF1), ("tf2", _TF2), ("tf3", _TF3)]))
 def m4_token_f1_mean(spark, sf):
-    return _token_f1(spark, sf).agg(F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("n"))
+    return round_report(_token_f1(spark, sf).agg(F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("n")), ["f1"])
 
 
 _RTOK = "list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
