@@ -50,10 +50,10 @@ def m1_accuracy(spark, sf):
 
 
 @register("m2_latency", with_fixtures(
-    "SELECT model, task, avg(latency_s) * 1000 AS latency_ms FROM predictions GROUP BY model, task",
+    "SELECT model, task, round(avg(latency_s) * 1000, 6) AS latency_ms FROM predictions GROUP BY model, task",
     "predictions"))
 def m2_latency(spark, sf):
-    return M.mean_latency_ms(fx.predictions(spark, sf))
+    return round_report(M.mean_latency_ms(fx.predictions(spark, sf)), ["latency_ms"])
 
 
 _ERR = "('error', 'Error', 'Unknown', 'unknown', '{}', '')"
