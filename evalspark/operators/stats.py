@@ -1,8 +1,8 @@
 """Paired significance tests.
 
-T1 is a Spark aggregation: candidate rows equi-join baseline rows on the pairing unit (each
-unit contributes #candidates x #baselines rows - a bound set by the model grid, not by the
-data), then ``avg`` / ``stddev_samp`` / ``count`` per pair with partial aggregation.
+T1 is a Spark aggregation: scores are pivoted to one row per pairing unit (one shuffle), and
+every (candidate, baseline) pair's mean, sample std and count of the paired difference are
+columns of one partial aggregate over the units - no pair rows are emitted per unit.
 T2 evaluates the Student-t tail on the *aggregated* rows only (one row per pair) with an
 Arrow ``pandas_udf``; no per-sample Python."""
 
@@ -72,27 +72,65 @@ def t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
                       for a, b in zip(t, df)], dtype="float64")
 
 
+def _roles(scores: DataFrame, is_candidate: Column, model: str, candidates, baselines):
+    """Candidate / baseline model lists; when not given, read from the data (one row per model:
+    a tiny list, like the value discovery of a pivot without explicit values)."""
+    if candidates is not None and baselines is not None:
+        return list(candidates), list(baselines)
+    roles = scores.select(F.col(model).alias("m"), is_candidate.alias("c")).distinct().collect()
+    cands = sorted({r.m for r in roles if r.c})
+    bases = sorted({r.m for r in roles if not r.c})
+    return cands, bases
+
+
+def pair_stats(scores: DataFrame, is_candidate: Column, model: str = "model", unit: str = "unit",
+               score: str = "score", candidates=None, baselines=None) -> DataFrame:
+    """Per (candidate, baseline): means over matched units, mean and sample std of the paired
+    difference, number of matched units.
+
+    One shuffle: ``groupBy(unit).pivot(model)`` gives one row per unit with a column per model;
+    every pair's statistics are then columns of a single partial (map-side) aggregate over the
+    units, unfolded into one row per pair at the end.  No per-unit pair rows are ever emitted,
+    so a unit shared by many models costs one row, not models^2 rows."""
+    cands, bases = _roles(scores, is_candidate, model, candidates, baselines)
+    models = cands + bases
+    if not cands or not bases:
+        schema = ("slm string, llm_baseline string, slm_mean_accuracy double, llm_mean_accuracy double, "
+                  "mean_difference double, sd_difference double, n_pairs bigint")
+        return scores.sparkSession.createDataFrame([], schema)
+    wide = scores.groupBy(unit).pivot(model, models).agg(F.avg(score))
+    wide = wide.toDF(unit, *[f"_m{k}" for k in range(len(models))])
+    aggs, rows = [], []
+    for i, c in enumerate(cands):
+        for j, b in enumerate(bases):
+            x, y = F.col(f"_m{i}"), F.col(f"_m{len(cands) + j}")
+            both = x.isNotNull() & y.isNotNull()
+            d = F.when(both, x - y)
+            tag = f"{i}_{j}"
+            aggs += [F.avg(F.when(both, x)).alias(f"sm_{tag}"), F.avg(F.when(both, y)).alias(f"lm_{tag}"),
+                     F.avg(d).alias(f"md_{tag}"), F.stddev_samp(d).alias(f"sd_{tag}"), F.count(d).alias(f"n_{tag}")]
+            rows.append(F.struct(F.lit(c).alias("slm"), F.lit(b).alias("llm_baseline"),
+                                 F.col(f"sm_{tag}").alias("slm_mean_accuracy"),
+                                 F.col(f"lm_{tag}").alias("llm_mean_accuracy"),
+                                 F.col(f"md_{tag}").alias("mean_difference"),
+                                 F.col(f"sd_{tag}").alias("sd_difference"),
+                                 F.col(f"n_{tag}").alias("n_pairs")))
+    g = wide.agg(*aggs)
+    return g.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.col("n_pairs") > 0)
+
+
 def pair_grid(scores: DataFrame, is_candidate: Column, model: str = "model", unit: str = "unit",
-              score: str = "score") -> DataFrame:
-    """T4: candidate x baseline pairs matched on the pairing unit (equi-join, never a bare
-    cross join): one row per (candidate, baseline, unit)."""
-    s = scores.select(F.col(model).alias("_m"), F.col(unit).alias("_u"), F.col(score).alias("_s"), is_candidate.alias("_c"))
-    cand = s.filter("_c").select(F.col("_m").alias("slm"), "_u", F.col("_s").alias("slm_score"))
-    base = s.filter(~F.col("_c")).select(F.col("_m").alias("llm_baseline"), "_u", F.col("_s").alias("llm_score"))
-    return cand.join(base, "_u").withColumnRenamed("_u", unit)
+              score: str = "score", candidates=None, baselines=None) -> DataFrame:
+    """T4: the candidate x baseline grid with the number of matched units per pair."""
+    return pair_stats(scores, is_candidate, model, unit, score, candidates, baselines) \
+        .select("slm", "llm_baseline", F.col("n_pairs").alias("n_units"))
 
 
 def paired_t(scores: DataFrame, is_candidate: Column, model: str = "model", unit: str = "unit",
-             score: str = "score", with_p: bool = True, alpha: float = 0.05) -> DataFrame:
+             score: str = "score", with_p: bool = True, alpha: float = 0.05, candidates=None,
+             baselines=None) -> DataFrame:
     """T1 (+T2, T3): paired t statistic per (candidate, baseline) over matched units."""
-    p = pair_grid(scores, is_candidate, model, unit, score)
-    d = F.col("slm_score") - F.col("llm_score")
-    g = p.groupBy("slm", "llm_baseline").agg(
-        F.avg("slm_score").alias("slm_mean_accuracy"),
-        F.avg("llm_score").alias("llm_mean_accuracy"),
-        F.avg(d).alias("mean_difference"),
-        F.stddev_samp(d).alias("sd_difference"),
-        F.count(F.lit(1)).alias("n_pairs"))
+    g = pair_stats(scores, is_candidate, model, unit, score, candidates, baselines)
     t = F.try_divide(F.col("mean_difference"), F.col("sd_difference") / F.sqrt(F.col("n_pairs").cast("double")))
     g = g.withColumn("t_statistic", t)
     if with_p:
