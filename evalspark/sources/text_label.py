@@ -45,11 +45,12 @@ def parse_label_lines(df: DataFrame, col: str = "value", keep=()) -> DataFrame:
 
 def read_labelled_text(spark: SparkSession, path: str, table: dict = FINANCIAL_LABEL_TO_ID,
                        encoding: str = "ISO-8859-1", keep_unknown: bool = False) -> DataFrame:
-    """S2 + P5: file -> (sentence, label); unknown labels dropped unless ``keep_unknown``
-    (the lenient variant keeps the label string and drops nothing)."""
+    """S2 + P5: file -> (sentence, label id); unknown labels are dropped.  ``keep_unknown``
+    gives the lenient variant: sentence stripped, label kept as its stripped lower-case word,
+    nothing dropped but blank or '@'-less lines."""
     parsed = parse_label_lines(read_lines(spark, path, encoding))
     if keep_unknown:
-        return parsed
+        return parsed.select(strip_ws("sentence").alias("sentence"), F.col("sentiment").alias("label"))
     m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
     return parsed.select("sentence", F.try_element_at(m, F.col("sentiment")).alias("label")) \
         .filter(F.col("label").isNotNull())
