@@ -50,9 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(scratch tables and streaming checkpoints are written there)")
         import tempfile
 
-        configured = tempfile.mkdtemp(prefix="evalspark-ckpt-")
+        configured = tempfile.mkdtemp(prefix="evalspark-ckpt-")  # local mode only (tests)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
