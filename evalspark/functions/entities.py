@@ -43,32 +43,20 @@ def bio_spans(tokens, tags) -> Column:
 
     B opens a span, I extends it only while one is open (its type is not compared), anything
     else closes it; an orphan I is dropped.  Tag ids: 0 = O, odd = B, even > 0 = I, type =
-    (tag - 1) div 2.  One pass of ``aggregate`` per row: no explode, no shuffle."""
-    zipped = F.arrays_zip(_c(tokens).alias("tok"), _c(tags).alias("tag"),
-                          F.sequence(F.lit(0), F.size(_c(tags)) - 1).alias("pos"))
-    init = F.struct(
-        F.array().cast(f"array<{_SPAN}>").alias("spans"),
-        F.lit(-1).alias("t"),
-        F.lit(-1).alias("p"),
-        F.array().cast("array<string>").alias("toks"),
-    )
-
-    def close(acc):
-        done = F.struct(acc["t"].alias("type_id"), acc["p"].alias("pos"),
-                        F.array_join(acc["toks"], " ").alias("surface")).cast(_SPAN)
-        return F.when(acc["t"] >= 0, F.concat(acc["spans"], F.array(done))).otherwise(acc["spans"])
-
-    def merge(acc, x):
-        tag = x["tag"]
-        is_b = (tag % 2) == 1
-        is_i = (tag > 0) & ((tag % 2) == 0)
-        extend = is_i & (acc["t"] >= 0)
-        spans = F.when(extend, acc["spans"]).otherwise(close(acc))
-        t = F.when(is_b, ((tag - 1) / 2).cast("int")).when(extend, acc["t"]).otherwise(F.lit(-1))
-        p = F.when(is_b, x["pos"]).when(extend, acc["p"]).otherwise(F.lit(-1))
-        toks = (F.when(is_b, F.array(x["tok"]))
-                .when(extend, F.concat(acc["toks"], F.array(x["tok"])))
-                .otherwise(F.array().cast("array<string>")))
-        return F.struct(spans.alias("spans"), t.alias("t"), p.alias("p"), toks.alias("toks"))
-
-    return F.aggregate(zipped, init, merge, close)
+    (tag - 1) div 2.
+
+    Linear in the number of tokens, no shuffle: take the positions of all non-I tokens, zip
+    each with the next such position (or the end), and keep the pairs that start at a B - each
+    is one span running up to the next non-I token.  I tokens after an O or at the start belong
+    to no such pair and vanish.  Both position arrays are top-level arguments, never read
+    inside a lambda, so nothing is recomputed per element."""
+    tk, tg = _c(tokens), _c(tags)
+    n = F.size(tg)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (tg[i] == 0) | (tg[i] % 2 == 1))
+    nexts = F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n))
+    pairs = F.arrays_zip(starts.alias("s"), nexts.alias("e"))
+    spans = F.transform(
+        F.filter(pairs, lambda x: tg[x["s"]] % 2 == 1),
+        lambda x: F.struct(((tg[x["s"]] - 1) / 2).cast("int").alias("type_id"), x["s"].alias("pos"),
+                           F.array_join(F.slice(tk, x["s"] + 1, x["e"] - x["s"]), " ").alias("surface")))
+    return F.when(n > 0, spans.cast(f"array<{_SPAN}>")).otherwise(F.array().cast(f"array<{_SPAN}>"))
