@@ -65,10 +65,63 @@ def recommend(matrix: DataFrame, scenarios: DataFrame) -> DataFrame:
     return g.select("scenario", "r.*", "n_eligible_candidates")
 
 
+_BEST_FIELDS = ["model", "method", "accuracy", "cost_per_1m_tokens", "privacy_risk", "roi_breakeven_tokens"]
+
+
+def staircase(matrix: DataFrame, low_level: str = "low") -> DataFrame:
+    """Per (task, privacy_required): the candidates sorted by accuracy (descending) folded into
+    one short array of steps ``struct(accuracy, n, pos, neg, zero, null)``.  ``n`` counts all
+    candidates at least this accurate; the other fields are the best of them under the
+    projected-cost order for a positive, negative, zero and NULL monthly volume (price x volume
+    ascending, NULL last, ties by model).  Built from the small matrix only: a running window
+    over each task's models, then one row per (task, privacy class)."""
+    m = _clean_matrix(matrix).select(*[c for c in MATRIX_COLS if c in matrix.columns]) \
+        .filter(F.col("accuracy").isNotNull())
+    m = m.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("privacy_required")) \
+        .filter(~F.col("privacy_required") | (F.col("privacy_risk") == low_level))
+    cost, row = F.col("cost_per_1m_tokens"), F.struct(*_BEST_FIELDS)
+    no_cost = cost.isNull()
+    keys = {  # sort keys equivalent to (projected cost asc nulls last, model) for each volume sign
+        "pos": F.struct(F.coalesce(cost, F.lit(INF)).alias("a"), no_cost.alias("b"), F.col("model").alias("c"), row.alias("r")),
+        "neg": F.struct(F.coalesce(-cost, F.lit(INF)).alias("a"), no_cost.alias("b"), F.col("model").alias("c"), row.alias("r")),
+        "zero": F.struct(no_cost.alias("b"), F.col("model").alias("c"), row.alias("r")),
+        "null": F.struct(F.col("model").alias("c"), row.alias("r")),
+    }
+    w = Window.partitionBy("task", "privacy_required").orderBy(F.col("accuracy").desc(), F.col("model")) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = m.select("task", "privacy_required", "accuracy", F.count(F.lit(1)).over(w).alias("n"),
+                   *[F.min(k).over(w)["r"].alias(name) for name, k in keys.items()])
+    # equal accuracies are one step: keep the last row of each (it has seen all of them)
+    step = run.groupBy("task", "privacy_required", "accuracy").agg(
+        F.max_by(F.struct("pos", "neg", "zero", "null"), "n").alias("b"), F.max("n").alias("n"))
+    return step.groupBy("task", "privacy_required").agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("accuracy")).alias("neg_accuracy"), "accuracy", "n", "b.pos", "b.neg", "b.zero", "b.null")
+    )).alias("steps"))
+
+
+def recommend_asof(matrix: DataFrame, scenarios: DataFrame, low_level: str = "low") -> DataFrame:
+    """D1 + D4 as an as-of lookup: each scenario joins its (task, privacy class) staircase (one
+    broadcast row) and takes the last step whose accuracy still meets its threshold, then the
+    best model for the sign of its volume.  No scenario x model rows exist at all, and scenarios
+    are never shuffled or grouped, so a task holding most of the scenarios is no hot spot.
+    Same output as ``recommend``."""
+    st = maybe_broadcast(staircase(matrix, low_level))
+    j = scenarios.join(st, ["task", "privacy_required"])
+    hit = F.try_element_at(F.filter("steps", lambda x: x["accuracy"] >= F.col("min_accuracy")), F.lit(-1))
+    x = j.select("scenario", "monthly_volume", hit.alias("h")).filter(F.col("h").isNotNull())
+    v = F.col("monthly_volume")
+    best = (F.when(v > 0, F.col("h.pos")).when(v < 0, F.col("h.neg")).when(v == 0, F.col("h.zero"))
+            .otherwise(F.col("h.null")))
+    x = x.select("scenario", "monthly_volume", best.alias("b"), F.col("h.n").alias("n_eligible_candidates"))
+    return x.select("scenario", *[F.col(f"b.{c}").alias(c) for c in _BEST_FIELDS],
+                    projected_cost(F.col("b.cost_per_1m_tokens"), v).alias("projected_monthly_cost"),
+                    "n_eligible_candidates")
+
+
 def fallback(matrix: DataFrame, scenarios: DataFrame, top: int = 3) -> DataFrame:
     """For scenarios nobody satisfies, the ``top`` best candidates by accuracy (NULL last,
     ties by model).  Window partitions hold one scenario's candidates (<= #models rows)."""
-    rec = recommend(matrix, scenarios).select("scenario")
+    rec = recommend_asof(matrix, scenarios).select("scenario")
     open_sc = scenarios.join(rec, "scenario", "left_anti")
     c = candidates(matrix, open_sc)
     w = Window.partitionBy("scenario").orderBy(F.col("accuracy").desc_nulls_last(), F.col("model"))
@@ -78,7 +131,7 @@ def fallback(matrix: DataFrame, scenarios: DataFrame, top: int = 3) -> DataFrame
 
 def validation_report(matrix: DataFrame, scenarios: DataFrame) -> DataFrame:
     """One row per scenario; unsatisfiable -> ``NONE ...`` / ``-`` / NULL / 0."""
-    rec = recommend(matrix, scenarios)
+    rec = recommend_asof(matrix, scenarios)
     j = scenarios.join(rec, "scenario", "left")
     return j.select(
         "scenario", "task", "monthly_volume", "min_accuracy", "privacy_required",
@@ -111,7 +164,7 @@ def cost_curves(matrix: DataFrame, scenarios: DataFrame, reference: str = ROI_RE
     """Cumulative cost curves for scenarios whose recommendation is self-hosted: volumes
     0 .. x_max-1 in steps of max(x_max div points, 1), x_max = max(min_span, int(1.2 x volume));
     SLM = implied fine-tuning cost + variable cost, API = reference price x volume."""
-    rec = recommend(matrix, scenarios).filter(F.col("privacy_risk") == low_level)
+    rec = recommend_asof(matrix, scenarios).filter(F.col("privacy_risk") == low_level)
     ft = implied_fine_tuning_cost(matrix, reference).select("model", "task", "implied_fine_tuning_cost",
                                                             "reference_api_cost")
     j = rec.join(scenarios.select("scenario", "task", "monthly_volume"), "scenario") \

@@ -299,6 +299,12 @@ def d1_recommend(spark, sf):
     return D.recommend(fixture_matrix(spark, sf), fx.scenarios(spark))
 
 
+@register("d1_recommend_asof", decision_sql("SELECT * FROM rec"))
+def d1_recommend_asof(spark, sf):
+    """D1 as an as-of lookup on per-task staircases (no scenario x model rows)."""
+    return D.recommend_asof(fixture_matrix(spark, sf), fx.scenarios(spark))
+
+
 @register("d2_fallback", decision_sql(
     """SELECT scenario, rank, model, method, accuracy, cost_per_1m_tokens, privacy_risk FROM (
         SELECT *, (row_number() OVER (PARTITION BY scenario ORDER BY accuracy DESC NULLS LAST, model))::int AS rank

@@ -123,3 +123,20 @@ def test_incremental_two_runs_equal_one_batch(spark, sf):
         .select("doc_id", "prediction", "attempts", "status")
     assert first == prompts.filter("doc_id % 2 = 0").count()
     assert _rows(stream) == _rows(batch)
+
+
+def test_asof_recommendation_equals_join_form(spark, sf):
+    from evalspark.operators import decision as D
+    from evalspark.plans.benchmark import fixture_matrix
+
+    m = fixture_matrix(spark, sf)
+    sc = fx.scenarios(spark)
+    extra = spark.createDataFrame([("z0", "click", 0, 0.1, False), ("z1", "view", -5, 0.2, True),
+                                   ("z2", "error", None, 0.3, False), ("z3", "signup", 7, 0.0, True)],
+                                  sc.schema)
+    sc = sc.unionByName(extra)
+    a = D.recommend(m, sc)
+    b = D.recommend_asof(m, sc)
+    cols = sorted(a.columns)
+    assert cols == sorted(b.columns)
+    assert _rows(a.select(*cols)) == _rows(b.select(*cols))
