@@ -128,3 +128,22 @@ def test_read_runs_several_stores(spark):
     RS.append_runs(rec.withColumn("run_id", F.col("run_id") + 1), b)
     got = sorted((r.run_id, r.store, r.experiment, r.phase) for r in RS.read_runs(spark, a, b, store_names=["x", "y"]).collect())
     assert got == [(1, "x", "click", "phase2_benchmark"), (2, "y", "click", "phase2_benchmark")]
+
+
+def test_dedupe_latest_and_cut_lineage(spark):
+    from evalspark.session import cut_lineage
+    from evalspark.streaming.incremental import dedupe_latest
+
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "doc_id long, prediction string, attempts int")
+    got = sorted(tuple(r) for r in dedupe_latest(df, "doc_id").collect())
+    assert got == [(1, "b", 2), (2, "c", 1)]
+    cp = cut_lineage(df.filter("doc_id = 1"))
+    assert cp.count() == 2 and "LogicalRDD" in cp._jdf.queryExecution().logical().toString()
+
+
+def test_missing_cells_grid(spark):
+    from evalspark.operators import matrix as B
+
+    m = spark.createDataFrame([("a", "x"), ("b", "y")], "model string, task string")
+    got = sorted(tuple(r) for r in B.missing_cells(m, ["a", "b"], ["x", "y"]).collect())
+    assert got == [("a", "y"), ("b", "x")]
