@@ -35,35 +35,31 @@ def _fmeasure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def _gram_rows(base: DataFrame, keys, col: str, n: int, side: str) -> DataFrame:
-    """(keys, gram hash, side) per n-gram occurrence; the hash is computed after the explode,
-    in generated code, from the n words (no lambda, no n-gram string)."""
-    from evalspark.operators.prepare import ngram_windows
-
-    if n == 1:
-        g = base.select(*keys, F.explode(col).alias("w0"))
-        cols = [F.col("w0")]
-    else:
-        g = base.select(*keys, F.explode(ngram_windows(F.col(col), n)).alias("g"))
-        cols = [F.col(f"g.w{k}") for k in range(n)]
-    return g.select(*keys, F.xxhash64(*cols).alias("h"), F.lit(1 if side == "r" else 0).alias("r"),
-                    F.lit(0 if side == "r" else 1).alias("p"))
-
-
 def rouge_n(df: DataFrame, keys, reference: str = "reference", prediction: str = "prediction",
             n: int = 1, tokens=None) -> DataFrame:
     """ROUGE-N precision / recall / F per row of ``df`` (identified by ``keys``).
 
+    One pass: each row is tokenised once, its two sides are exploded (a 2-element array), then
+    each side's n-gram windows (``explode_outer`` keeps a row whose side has none); the gram
+    hash is computed from the n words in generated code.  One aggregation per (row, gram)
+    clips the counts, a second per row sums overlap and the per-side totals - no self-join.
     ``tokens`` (optional) = (ref_tokens_col, pred_tokens_col) already tokenised/stemmed."""
+    from evalspark.operators.prepare import ngram_windows
+
     keys = list(keys)
     rt, pt = tokens if tokens else (rouge_tokens(reference), rouge_tokens(prediction))
     base = df.select(*keys, rt.alias("_rt"), pt.alias("_pt"))
-    tot = base.select(*keys, F.greatest(F.size("_rt") - n + 1, F.lit(0)).alias("n_ref"),
-                      F.greatest(F.size("_pt") - n + 1, F.lit(0)).alias("n_pred"))
-    sides = _gram_rows(base, keys, "_rt", n, "r").unionByName(_gram_rows(base, keys, "_pt", n, "p"))
-    per_gram = sides.groupBy(*keys, "h").agg(F.sum("r").alias("cr"), F.sum("p").alias("cp"))
-    overlap = per_gram.groupBy(*keys).agg(F.sum(F.least("cr", "cp")).alias("overlap"))
-    j = tot.join(overlap, keys, "left").fillna({"overlap": 0})
+    sides = F.array(F.struct(F.lit(1).alias("r"), F.lit(0).alias("p"), ngram_windows(F.col("_rt"), n).alias("w")),
+                    F.struct(F.lit(0).alias("r"), F.lit(1).alias("p"), ngram_windows(F.col("_pt"), n).alias("w")))
+    x = base.select(*keys, F.explode(sides).alias("s"))
+    g = x.select(*keys, "s.r", "s.p", F.explode_outer("s.w").alias("g"))
+    present = F.col("g").isNotNull()
+    h = F.when(present, F.xxhash64(*[F.col(f"g.w{k}") for k in range(n)]))
+    g = g.select(*keys, h.alias("h"), F.when(present, F.col("r")).otherwise(0).alias("r"),
+                 F.when(present, F.col("p")).otherwise(0).alias("p"))
+    per_gram = g.groupBy(*keys, "h").agg(F.sum("r").alias("cr"), F.sum("p").alias("cp"))
+    j = per_gram.groupBy(*keys).agg(F.sum(F.least("cr", "cp")).alias("overlap"),
+                                    F.sum("cr").alias("n_ref"), F.sum("cp").alias("n_pred"))
     p = F.col("overlap") / F.greatest(F.col("n_pred"), F.lit(1))
     r = F.col("overlap") / F.greatest(F.col("n_ref"), F.lit(1))
     return j.select(*keys, p.alias("precision"), r.alias("recall"), _fmeasure(p, r).alias("f"))
