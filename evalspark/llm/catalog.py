@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from evalspark.llm import bpe, decontaminate, jaccard, substrings
+from evalspark.llm import bpe, decontaminate, jaccard, quality, substrings
 
-MODULES = [bpe, decontaminate, jaccard, substrings]
+MODULES = [bpe, decontaminate, jaccard, quality, substrings]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
