@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from evalspark.llm import bpe, decontaminate, jaccard, neighbours, quality, substrings, warc
+from evalspark.llm import bpe, decontaminate, jaccard, language, neighbours, quality, substrings, warc
 
-MODULES = [bpe, decontaminate, jaccard, neighbours, quality, substrings, warc]
+MODULES = [bpe, decontaminate, jaccard, language, neighbours, quality, substrings, warc]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
