@@ -43,11 +43,11 @@ FOREST_WORDS = 1_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 _SUFFIX = pa.schema([("prefix", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()),
-                     ("start", pa.int32()), ("n_windows", pa.int32())])
+                     ("start", pa.int32()), ("n_windows", pa.int32()), ("more", pa.list_(pa.int32()))])
 _STRETCH = pa.schema([("prefix", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()),
                       ("n_windows", pa.int32()), ("words", pa.binary())])
 _REPEAT = pa.schema([("prefix", pa.int64()), ("stretch", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
-_KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+_KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -61,7 +61,8 @@ def _hashes(texts: list[bytes | None]) -> list[np.ndarray]:
 
 def sparse_suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """Step 1 for (id, text) rows: prefix and stretch hashes, document, first owned window and
-    number of owned windows."""
+    number of owned windows.  A stretch that a document repeats (a run of one word, say) is one
+    row; ``more`` has its other places."""
     span = window - prefix + 1  # prefix starts in a window
 
     def suffixes(ids: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
@@ -82,8 +83,17 @@ def sparse_suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
         # the stretch: its words, and where in it the suffix starts
         stretch = mix(first.of(low, end) + mix(second.of(low, end) ^ (place - low).astype(U64)) + count.astype(U64))
         starts = np.cumsum(sizes) - sizes
-        return record(_SUFFIX, [order[place].view(np.int64), stretch.view(np.int64),
-                                np.array(ids, np.int64)[doc[low]], low - starts[doc[low]], count])
+        at, doc, by = low - starts[doc[low]], doc[low], order[place]
+        sort = np.lexsort((at, stretch, by, doc))
+        new = np.r_[True, (np.diff(doc[sort]) != 0) | (np.diff(by[sort]) != 0) | (np.diff(stretch[sort]) != 0)]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(sort)])
+        more = [None] * len(first)
+        for i in np.flatnonzero(size > 1):
+            more[i] = at[sort[first[i] + 1: first[i] + size[i]]]
+        rep = sort[first]
+        return record(_SUFFIX, [by[rep].view(np.int64), stretch[rep].view(np.int64), np.array(ids, np.int64)[doc[rep]],
+                                at[rep], count[rep], more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +217,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, prefix: int = PREFIX, grou
     if (large := reps.where(F.col("n_classes") > group_rows)).limit(1).count():
         repeats = repeats.unionByName(_long_prefixes(scratch(_stretches(rows, large, window), "large"), window))
 
-    copies = found.where("doc > smallest").select("doc", "start", (F.col("start") + F.col("n_windows")).alias("end"))
+    every = F.explode(F.concat(F.array("start"), F.coalesce("more", F.expr("array()")))).alias("start")
+    copies = found.where("doc > smallest").select("doc", "n_windows", every)
+    copies = copies.select("doc", "start", (F.col("start") + F.col("n_windows")).alias("end"))
+    own = own.select("prefix", "stretch", "doc", every)
     others = own.join(repeats, ["prefix", "stretch"]).select(
         "doc", (F.col("start") + F.col("first")).alias("start"),
         (F.col("start") + F.col("first") + F.col("n")).alias("end"))
