@@ -38,8 +38,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Minima under independent hashes, for the stars.
 MINIMA = 4
-#: Entries of the table of shingle counts (it fixes the order of shingles only).
-COUNTERS = 1 << 16
+#: Entries of the table of shingle counts (it fixes the order of shingles only), and the blocks
+#: in which tasks' tables are added up.
+COUNTERS = 1 << 20
+BLOCKS = 64
 #: Classes in one chunk of a tile.
 CHUNK_ROWS = 2000
 #: Members of one star that are verified in one task.
@@ -91,32 +93,34 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _profiles(docs: DataFrame, size: int, minima: int) -> DataFrame:
-    """Step 1: a row per document, and per task one row of shingle counts (counts not NULL)."""
-    ddl = "id long, n long, h1 long, h2 long, minima array<long>, bits binary, counts array<int>"
+    """Step 1: a row per document (block NULL), and per task its shingle counts in blocks."""
+    ddl = "id long, n long, h1 long, h2 long, minima array<long>, bits binary, block int"
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary(), pa.int32()]
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                          names=["id", "n", "h1", "h2", "minima", "bits", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), to_bytes(batch.column(1)), strict=True):
                 s = shingle_set(text, size)
-                counts += np.bincount((s >> U64(48)).astype(np.int64), minlength=COUNTERS) if len(s) > 4000 else 0
-                if 0 < len(s) <= 4000:
-                    np.add.at(counts, (s >> U64(48)).astype(np.int64), 1)
+                np.add.at(counts, _counter(s), 1)
                 low = [int(mix(s ^ salt).min().view(np.int64)) for salt in _SALTS[:minima]] if len(s) else []
                 rows.append((i, len(s), *_set_hash(s), low, signature(s), None))
-            yield _rows(rows)
-        yield _rows([(None, None, None, None, None, None, np.minimum(counts, 2**31 - 1).astype(np.int32))])
-
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                          names=["id", "n", "h1", "h2", "minima", "bits", "counts"])
+            yield rows_of(rows)
+        yield rows_of([(None,) * 5 + (part.tobytes(), k) for k, part in enumerate(counts.reshape(BLOCKS, -1))])
 
     return docs.mapInArrow(run, ddl)
 
 
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s >> U64(44)).astype(np.int64)
+
+
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
     a, b = mix(s), mix(s ^ _SALTS[-1])
     return tuple(int(mix(np.array([x + U64(len(s))], U64)).view(np.int64)[0]) for x in
@@ -125,11 +129,18 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 def _shingle_counts(profiles: DataFrame) -> np.ndarray:
     """The table of counts over all documents; its size is fixed."""
-    rows = profiles.where("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n"))
-    total = np.zeros(COUNTERS, np.int64)
-    for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
-        total[r["at"]] = r["n"]
-    return total
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(part, np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(
+            [x.tobytes() for x in sums.values()], pa.binary())], names=["block", "bits"])
+
+    parts = profiles.where("block IS NOT NULL").select("block", "bits").repartition(BLOCKS, "block")
+    got = {r["block"]: np.frombuffer(r["bits"], np.int64) for r in parts.mapInArrow(add, "block int, bits binary").collect()}
+    return np.concatenate([got[k] for k in range(BLOCKS)]) if got else np.zeros(COUNTERS, np.int64)
 
 
 def _band(n: str, percent: int) -> F.Column:
@@ -209,7 +220,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> D
                     continue
                 seen.add(key)
                 n = len(s) - -(-percent * len(s) // 100) + 1
-                rank = (order[s >> U64(48)] << U64(40)) | (s & U64((1 << 40) - 1))
+                rank = (order[_counter(s)] << U64(40)) | (s & U64((1 << 40) - 1))
                 tokens.append(s[np.argsort(rank, kind="stable")[:n]])  # equal ranks: by value, as s is sorted
                 ids.append(i)
                 many.append(n)
@@ -291,7 +302,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiles = scratch(_profiles(rows, size, minima), "profiles")
-    sets = profiles.where("counts IS NULL")
+    sets = profiles.where("block IS NULL")
     linkable = sets.where("n > 0 AND id IS NOT NULL")
     classes = scratch(linkable.groupBy("h1", "h2", "n", "minima", "bits").agg(F.min("id").alias("rep")), "classes")
     members = scratch(linkable.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(
@@ -309,9 +320,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
     where = scratch(component(members), "where")
     postings = _shared(_postings(rows, _shingle_counts(profiles), size, percent))
-    found = scratch(postings.join(where, "id").select("token", "rep", "comp"), "postings")
-    mixed = found.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    found = scratch(found.join(mixed.select("token"), "token").distinct(), "mixed")
+    found = scratch(postings.join(where, "id").select("token", "rep", "comp").distinct(), "postings")
+    # tokens of one shared passage stand in the same sets: one of them is enough for a tile
+    mixed = found.groupBy("token").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many"),
+        F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    mixed = mixed.where("low < high").groupBy("many", "low", "high", "x", "y").agg(F.min("token").alias("token"))
+    found = scratch(found.join(mixed.select("token"), "token"), "mixed")
     pairs = scratch(_tiles(found, classes, percent, chunk_rows), "pairs")
     late_links = scratch(_verified(pairs, rows, size, percent), "late-links")
 
