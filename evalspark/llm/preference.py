@@ -28,25 +28,28 @@ LAST = (1 << 63) - 1
 
 
 def _turns(rows: DataFrame) -> DataFrame:
-    """Cleaned rows, numbered within a turn number."""
-    rows = rows.where("pair_id IS NOT NULL").select(
+    return rows.where("pair_id IS NOT NULL").select(
         "pair_id", F.coalesce("turn", F.lit(LAST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("pair_id", "turn").orderBy("role", "text")
-    return rows.withColumn("k", F.row_number().over(order))
 
 
 def prompt_ends(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(pair_id, cut): the first turn number at which the sides differ; NULL if none does."""
-    a, b = (side.select("pair_id", "turn", "k", F.struct("role", "text").alias(name))
-            for side, name in ((chosen, "a"), (rejected, "b")))
-    both = a.join(b, ["pair_id", "turn", "k"], "full")
-    return both.groupBy("pair_id").agg(F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("turn"))).alias("cut"))
+    """(pair_id, cut): the first turn number at which the sides differ; NULL if none does.  Sides
+    are compared by counts and sums of 128-bit hashes of their rows, so no text is moved."""
+    hashes = [F.xxhash64("role", "text"), F.xxhash64("text", F.lit(1), "role")]
+    rows = None
+    for sign, side in ((1, chosen), (-1, rejected)):
+        part = side.select("pair_id", "turn", F.lit(sign).alias("n"), *[
+            (F.lit(sign) * h.cast("decimal(20,0)")).cast("decimal(21,0)").alias(f"h{i}") for i, h in enumerate(hashes)])
+        rows = part if rows is None else rows.unionByName(part)
+    turns = rows.groupBy("pair_id", "turn").agg(*[F.sum(c).alias(c) for c in ("n", "h0", "h1")])
+    differs = (F.col("n") != 0) | (F.col("h0") != 0) | (F.col("h1") != 0)
+    return turns.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("cut"))
 
 
 def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Segments of pairs given as two tables (pair_id, turn, role, text): pair_id, part (prompt,
-    chosen or rejected), turn, k, rendered, start_char and end_char in the part, and loss_start
+    chosen or rejected), turn, rendered, start_char and end_char in the part, and loss_start
     (from where the segment carries loss; NULL: nowhere)."""
     chosen, rejected = _turns(chosen), _turns(rejected)
     cuts = prompt_ends(chosen, rejected)
@@ -55,18 +58,18 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     theirs = rejected.join(cuts, "pair_id").where(after).withColumn("part", F.lit("rejected"))
     head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))
     rows = ours.unionByName(theirs).select(
-        "pair_id", "part", "turn", "k", F.concat(head, "text", F.lit("<|end|>\n")).alias("rendered"),
+        "pair_id", "part", "turn", "role", F.concat(head, "text", F.lit("<|end|>\n")).alias("rendered"),
         F.when((F.col("part") != "prompt") & (F.col("role") == "assistant"), F.length(head)).alias("head"),
         F.floor(F.col("turn") / BLOCK_TURNS).alias("block"))
     rows = rows.withColumn("size", F.length("rendered").cast("long"))
     before = Window.partitionBy("pair_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("pair_id", "part", "block").orderBy("turn", "k").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("pair_id", "part", "block").orderBy("turn", "role", "rendered").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("pair_id", "part", "block").agg(F.sum("size").alias("size"))
     blocks = blocks.select("pair_id", "part", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(blocks, ["pair_id", "part", "block"])
     start = F.col("base") + F.col("inner")
-    return rows.select("pair_id", "part", "turn", "k", "rendered", start.alias("start_char"),
+    return rows.select("pair_id", "part", "turn", "rendered", start.alias("start_char"),
                        (start + F.col("size")).alias("end_char"), (start + F.col("head")).alias("loss_start"))
 
 
@@ -106,8 +109,9 @@ ORACLE = {"op1_preference_format": f"""
          parts AS (SELECT a.*, CASE WHEN turn >= cut THEN 'chosen' ELSE 'prompt' END AS part FROM a JOIN cuts USING (pair_id)
                    UNION ALL SELECT b.*, 'rejected' FROM b JOIN cuts USING (pair_id) WHERE turn >= cut),
          shown AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered FROM parts),
-         placed AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, k) AS BIGINT) AS end_char
+         placed AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, rendered
+                                ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_char
                     FROM shown)
-    SELECT pair_id, part, turn, CAST(k AS INTEGER) AS k, rendered, end_char - length(rendered) AS start_char, end_char,
+    SELECT pair_id, part, turn, rendered, end_char - length(rendered) AS start_char, end_char,
            CASE WHEN part <> 'prompt' AND role = 'assistant' THEN end_char - length(rendered) + length(role) + 5 END AS loss_start
     FROM placed"""}
