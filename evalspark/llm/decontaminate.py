@@ -120,7 +120,7 @@ def _search(windows: Windows, terms: np.ndarray, first: np.ndarray, positions: n
     at = np.minimum(np.searchsorted(terms, windows.terms), len(terms) - 1)
     used = np.arange(windows.terms.shape[1]) < windows.lengths[:, None]
     found = (terms[at] == windows.terms) | ~used
-    count = np.where(used, np.diff(first)[at], np.iinfo(np.int64).max)
+    count = np.where(used, np.diff(first).astype(np.int64)[at], np.int64(1) << 62)
     alive = np.flatnonzero(found.all(axis=1))
     order = np.argsort(count[alive], axis=1, kind="stable")  # offsets, rarest term first
     at, count = at[alive], count[alive]
