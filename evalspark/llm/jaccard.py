@@ -5,8 +5,8 @@ is at least ``percent`` / 100.  Equal sets are one class from the start.  The re
 component of every document under links.  Links between copies or inside a component already
 found are not enumerated, but no link between different components is lost:
 
-1. *Profiles.*  One pass gives each set's size, 128-bit hash, bitmap signature (about a bit per
-   shingle) and a few minima under independent hashes.
+1. *Profiles.*  One pass gives each set's size, 128-bit hash, bitmap signature (four bits and more
+   per shingle) and a few minima under independent hashes.
 2. *Stars.*  Classes that share a minimum in the same or the next size band form a tile.  Every
    member is paired with the tile's first document only; the bitmap bound, then the exact
    intersection decide.  This joins the bulk of near copies at linear cost.
@@ -15,7 +15,8 @@ found are not enumerated, but no link between different components is lost:
    by counts of all shingles in a table of fixed size.  Documents that share such a shingle,
    are in compatible size bands and in different components meet in a tile.  A large tile is
    cut into chunks, and the chunks meet in pairs.  Signatures bound the overlap from above:
-   bits of A that B lacks are shingles that B lacks.  Survivors are verified exactly.
+   bits of A that B lacks are shingles that B lacks.  A pair is a candidate in one tile only,
+   that of its smallest shared token.  Survivors are verified exactly.
 
 Defined results: documents without words or text have an empty set and are linked with
 nothing; fewer words than a shingle are one shingle; rows with a NULL id link with nothing and
@@ -37,7 +38,7 @@ from evalspark.llm.graph import components
 SHINGLE = 5
 PERCENT = 80
 #: Minima under independent hashes, for the stars.
-MINIMA = 4
+MINIMA = 6
 #: Entries of the table of shingle counts (it fixes the order of shingles only), and the blocks
 #: in which tasks' tables are added up.
 COUNTERS = 1 << 20
@@ -65,8 +66,9 @@ def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """A bitmap with a bit for each shingle, as wide as the next power of two, 64 at least."""
-    width = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """A bitmap with a bit for each shingle, four times as wide as there are, or wider (a power of
+    two, so that bitmaps of other widths can be folded)."""
+    width = max(64, 1 << max(0, 4 * len(shingles) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(shingles >> U64(20)) & U64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -254,18 +256,19 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 def _tiles(rows: DataFrame, classes: DataFrame, percent: int, chunk_rows: int) -> DataFrame:
     """Candidate pairs (a, b) of rows (token, rep, comp) in different components."""
-    rows = rows.join(classes.select("rep", "n", "bits"), "rep").withColumn("band", _band("n", percent))
+    held = rows.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("tokens"))  # a set's own, few
+    rows = rows.join(classes.select("rep", "n", "bits"), "rep").join(held, "rep").withColumn("band", _band("n", percent))
     chunks = rows.groupBy("token").agg(F.ceil(F.count("*") / chunk_rows).alias("chunks"))
     rows = rows.join(chunks, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), "chunks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.withColumn("low", F.explode(F.array("band", F.col("band") - 1)))
     rows = rows.select("token", "low", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                       "mine", "band", "rep", "comp", "n", "bits")
+                       "mine", "band", "rep", "comp", "n", "bits", "tokens")
     tile = ["token", "low", "i", "j"]
 
     def pairs(key: tuple, group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         mine, band, rep, comp, n = (np.array(c) for c in list(zip(*group, strict=True))[4:9])
-        bits = [np.frombuffer(g[9], U64) for g in group]
+        bits, tokens = [np.frombuffer(g[9], U64) for g in group], [frozenset(g[10]) for g in group]
         width = min(map(len, bits))
         bits = np.array([fold(x, width) for x in bits])
         for k in range(0, len(rep), 32):
@@ -277,7 +280,9 @@ def _tiles(rows: DataFrame, classes: DataFrame, percent: int, chunk_rows: int) -
             p, q = np.nonzero(ok)
             p += k
             ok = may_link(bits[p], n[p], bits[q], n[q], percent)
-            yield rep[p[ok]], rep[q[ok]]
+            p, q = p[ok], q[ok]
+            here = np.array([min(tokens[i] & tokens[j]) == key[0] for i, j in zip(p.tolist(), q.tolist(), strict=True)], bool)
+            yield rep[p[here]], rep[q[here]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(group):
