@@ -184,13 +184,13 @@ def predict(docs: DataFrame, model: Regression | None, text_col: str = "text") -
     """``docs`` with lang_pred and score; columns of those names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            got = [model.predict(t) if model else (UNKNOWN, 0.0) for t in batch.column(1).to_pylist()]
+            got = [model.predict(t) if model else (UNKNOWN, 0.0) for t in batch.column(0).field(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=["row", "lang_pred", "score"])

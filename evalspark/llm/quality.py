@@ -37,7 +37,7 @@ CONTEXT = 2
 #: Most labelled rows that the network is fitted on.
 SAMPLE = 20_000
 #: Bytes of text handled at a time inside a task.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 300_000
 
 _SPACE, _MARK, _DIGIT, _LOWER, _UPPER = range(5)
 _CLASS = np.array([_SPACE if b <= 0x20 else _DIGIT if 0x30 <= b <= 0x39 else _UPPER if 0x41 <= b <= 0x5A
@@ -80,9 +80,9 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return at, sign
 
 
-def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
+def _chunks(column: pa.Array) -> Iterator[tuple[int, list]]:
     """Runs of rows of bounded size: (first row, texts)."""
-    texts, low, held = to_bytes(batch.column(column)), 0, 0
+    texts, low, held = to_bytes(column), 0, 0
     for i, t in enumerate(texts):
         held += len(t or b"") + 1
         if held >= CHUNK_BYTES or i == len(texts) - 1:
@@ -99,7 +99,7 @@ def word_vectors(texts: DataFrame, blocks: int = 32) -> np.ndarray:
         at, sign = _index_vectors()
         total = np.zeros(VOCABULARY * DIMENSIONS)
         for batch in batches:
-            for _, some in _chunks(batch, 0):
+            for _, some in _chunks(batch.column(0)):
                 codes, text = word_codes(some)
                 if not len(codes):
                     continue
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, sampl
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, texts in _chunks(batch, 1):
+            for low, texts in _chunks(batch.column(1)):
                 part = batch.slice(low, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(list(pool(texts, sent.value)), pa.list_(pa.float64()))],
@@ -247,13 +247,13 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, id_col:
     """``docs`` with the column score; a column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast((vectors, network))
     docs = docs.drop("score")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = sent.value
         for batch in batches:
-            for low, texts in _chunks(batch, 1):
+            for low, texts in _chunks(batch.column(0).field(text_col)):
                 p = network.probability(pool(texts, vectors)) if network else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), pa.array(p)],
                                                  names=["row", "score"])

@@ -234,14 +234,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     space).  Columns of ``docs`` with those names are replaced."""
     spans = scratch(repeated_spans(docs, window, id_col=id_col, text_col=text_col, **options), "spans")
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    mine = docs.select(F.col(id_col).cast("long").alias("__doc"), F.struct(*docs.columns).alias("__row"),
-                       F.col(text_col).alias("__text"))
+    mine = docs.select(F.col(id_col).cast("long").alias("__doc"), F.struct(*docs.columns).alias("__row"))
     schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, cuts in zip(to_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, cuts in zip(to_bytes(batch.column(0).field(text_col)), batch.column(1).to_pylist(), strict=True):
                 words, kept, at = text.split() if text else [], [], 0
                 for cut in cuts or ():
                     kept += words[at: max(at, cut["start"])]
@@ -252,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 pa.array([], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["__row", *schema.names])
 
-    joined = mine.join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").select("__row", "__text", "spans")
+    joined = mine.join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").select("__row", "spans")
     kind = joined.schema["__row"].dataType.simpleString()
     return joined.mapInArrow(run, f"__row {kind}, {_ddl(schema)}").select("__row.*", *schema.names)
 
