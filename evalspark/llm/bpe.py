@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from evalspark.llm.common import bound_batches, list_array, nonempty, table
 
 #: Pre-tokens whose ids one Python worker remembers; a full memory is emptied (speed only).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_characters() -> list[str]:
