@@ -2,7 +2,7 @@
 
 functions/   Column builders (text, labels, entities, hashing) - narrow, codegen-friendly
 operators/   DataFrame -> DataFrame operators (prepare, metrics, rouge, economics, matrix,
-             stats, decision, scoring, joins)
+             stats, decision, scoring)
 sources/     readers / writers (results CSV, labelled text, task datasets, run store,
              wide prediction logs)
 streaming/   incremental scoring with a file stream and a checkpointed Parquet sink

@@ -54,7 +54,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     ev = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
     return ev.select(
-        e.alias("run_id"), F.col("ts").alias("start_time"), (e % 2).alias("store"),
+        F.md5(e.cast("string")).alias("run_id"), F.col("ts").alias("start_time"), (e % 2).alias("store"),
         F.concat(F.lit("org"), (u % 2).cast("string"), F.lit("/m"), (u % 6).cast("string")).alias("model"),
         F.col("event_type").alias("task"),
         F.when(e % 3 == 0, "phase2_fine_tuning").when(e % 3 == 1, "phase2_benchmark")
@@ -138,19 +138,15 @@ def ner_pred(spark: SparkSession, sf: str) -> DataFrame:
     """Model answers for the ner view: kept span surfaces as ``{"PER": [...]}`` JSON, fenced for
     turn % 4 = 1, cut to 10 characters (invalid JSON on purpose) for turn % 4 = 3."""
     from evalspark.functions.entities import bio_spans
-    from evalspark.session import spread
 
-    t = spread(ner_tokens(spark, sf))
+    t = ner_tokens(spark, sf)
     sp = t.select("conv_id", "turn", F.explode(bio_spans("tokens", "tags")).alias("s")) \
-        .select("conv_id", "turn", F.col("s.pos").alias("pos"), F.col("s.surface").alias("surface")) \
-        .filter(F.col("surface").rlike("^[A-Za-z ]+$"))
-    # rank within the turn without a window: keep only keyed rows, collect per turn (bounded
-    # by the 400-character prefix that defines the view)
+        .select("conv_id", "turn", F.col("s.pos").alias("pos"), F.col("s.surface").alias("surface"))
+    # rank within the turn without a window: one turn's spans are collected (one turn's text)
     g = sp.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("s"))
     kept = F.transform(F.filter(F.transform(g["s"], lambda x, i: F.struct((i + 1).alias("rk"), x["surface"].alias("v"))),
                                 lambda y: y["rk"] % 3 != 0), lambda y: y["v"])
-    js = F.concat(F.lit('{"PER": ['), F.array_join(F.transform(kept, lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", "),
-                  F.lit("]}"))
+    js = F.concat(F.lit('{"PER": '), F.to_json(kept), F.lit("}"))
     resp = (F.when(F.col("turn") % 4 == 1, F.concat(F.lit("```json" + NL), js, F.lit(NL + "```")))
             .when(F.col("turn") % 4 == 3, F.substring(js, 1, 10))
             .otherwise(js))
@@ -164,18 +160,18 @@ def paired(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.avg("o_totalprice").alias("score"))
 
 
-SCENARIOS = [
-    ("s01", "click", 10000000, 0.30, False), ("s02", "error", 5000000, 0.20, True),
-    ("s03", "purchase", 50000000, 0.05, False), ("s04", "signup", 2000000, 0.25, True),
-    ("s05", "view", 1000000, 0.40, False), ("s06", "view", 1000000, 0.10, True),
-    ("s07", "purchase", 5000000, 1.50, True), ("s08", "click", 100000, 0.00, False),
-    ("s09", "error", 100000000, 0.35, False), ("s10", "signup", 20000000, 0.50, False),
-]
+SCENARIO_TASKS = ["click", "error", "purchase", "signup", "view"]
 
 
-def scenarios(spark: SparkSession, sf: str | None = None) -> DataFrame:
-    return spark.createDataFrame(
-        SCENARIOS, "scenario string, task string, monthly_volume bigint, min_accuracy double, privacy_required boolean")
+def scenarios(spark: SparkSession, sf: str) -> DataFrame:
+    """One deployment scenario per customer: volumes from 0 to 50M tokens a month, thresholds from
+    0 to 1.59 (above 1 nobody qualifies)."""
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    key = F.col("c_custkey")
+    task = F.element_at(F.array(*[F.lit(t) for t in SCENARIO_TASKS]), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    return c.select(F.concat(F.lit("s"), key.cast("string")).alias("scenario"), task.alias("task"),
+                    ((key * 7919) % 50000000).cast("bigint").alias("monthly_volume"),
+                    ((key % 160).cast("double") / 100).alias("min_accuracy"), (key % 3 == 0).alias("privacy_required"))
 
 
 # Fixture settings for the run-log matrix: the wide runs' prefixes stand for two APIs.

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalspark.config import ENTITY_TYPES
+from evalspark.functions.text import strip_ws
 
 
 def _c(x) -> Column:
@@ -13,19 +14,30 @@ def _c(x) -> Column:
 
 
 def _norm_set(arr: Column) -> Column:
-    return F.array_distinct(F.transform(arr, lambda e: F.lower(F.trim(e))))
+    return F.array_distinct(F.transform(arr, lambda e: F.lower(strip_ws(e))))
 
 
 def parse_entities(response, keys=ENTITY_TYPES) -> Column:
     """Model JSON answer -> flat, lower-cased, distinct entity array over ``keys``.
 
-    Code fences are removed first; text that is not a JSON object yields an empty array, and a
-    key whose value is not a list of strings counts as empty."""
-    clean = F.regexp_replace(F.regexp_replace(_c(response), r"```json|```", ""), r"^\s+|\s+$", "")
-    schema = ", ".join(f"{k} array<string>" for k in keys)
-    parsed = F.from_json(clean, schema, {"mode": "PERMISSIVE"})
-    parts = [F.coalesce(parsed.getField(k), F.array().cast("array<string>")) for k in keys]
-    return _norm_set(F.filter(F.flatten(F.array(*parts)), lambda e: e.isNotNull()))
+    Code fences are removed first.  The answer must be one JSON object and nothing more, and
+    every value under ``keys`` a list of strings; otherwise all of it counts as empty.  (A bare
+    string or an object in place of a list makes that key alone empty.)"""
+    clean = strip_ws(F.regexp_replace(_c(response), r"```json|```", ""))
+    # as the only element of a list, so that text after the object is an error
+    answer = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), clean, F.lit("]"))), "$", "array<variant>")
+    parsed = F.get(answer, 0)
+    whole = (F.size(answer) == 1) & F.schema_of_variant(parsed).startswith("OBJECT")
+    none = F.array().cast("array<variant>")
+    values = [F.try_variant_get(parsed, f"$.{k}", "variant") for k in keys]
+    kinds = [F.schema_of_variant(v) for v in values]
+    lists = [F.coalesce(F.try_variant_get(parsed, f"$.{k}", "array<variant>"), none) for k in keys]
+    every = F.flatten(F.array(*lists))
+    fits = F.forall(every, lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False)))
+    for kind in kinds:
+        fits = fits & (kind.isNull() | kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "STRING"))
+    names = F.transform(every, lambda e: F.try_variant_get(e, "$", "string"))
+    return F.when(F.coalesce(whole & fits, F.lit(False)), _norm_set(names)).otherwise(F.array().cast("array<string>"))
 
 
 def entity_set(entity_map) -> Column:

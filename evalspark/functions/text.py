@@ -12,9 +12,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The characters that Python's str.strip() and str.split() take for white space.
+WHITE = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+
+
 def strip_ws(x) -> Column:
-    """Remove leading/trailing whitespace of any kind (``str.strip()``), not only spaces."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    """Remove leading/trailing whitespace as ``str.strip()`` does, no-break spaces included."""
+    return F.regexp_replace(_c(x), rf"^[{WHITE}]+|[{WHITE}]+\z", "")
 
 
 def join_tokens(tokens, sep: str = " ") -> Column:
@@ -42,7 +46,7 @@ def short_model(model) -> Column:
 
 def token_set(text) -> Column:
     """Distinct lower-case whitespace tokens (empty text -> empty array)."""
-    return F.array_distinct(F.filter(F.split(F.lower(_c(text)), r"\s+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(_c(text)), f"[{WHITE}]+"), lambda t: t != ""))
 
 
 def word_tokens(text, pattern: str = r"[^a-z0-9]+") -> Column:
@@ -67,19 +71,3 @@ def clean_code(raw, prompt) -> Column:
     return (F.when(body.contains("def "), body)
             .when(sig.isNotNull(), F.concat(sig, F.lit("\n"), body))
             .otherwise(body))
-
-
-def ngram_strings(tokens, n: int) -> Column:
-    """Word n-grams of a token array as blank-joined strings (empty when fewer than ``n``).
-
-    Built from ``n`` shifted slices zipped together, so the token array is referenced a fixed
-    ``n`` times - never once per element inside a lambda, which would re-evaluate an inlined
-    tokeniser for every position (quadratic in document length)."""
-    t = _c(tokens)
-    if n == 1:
-        return t
-    m = F.size(t) - n + 1
-    parts = [F.slice(t, k + 1, F.greatest(m, F.lit(1))).alias(f"w{k}") for k in range(n)]
-    z = F.arrays_zip(*parts)
-    grams = F.transform(z, lambda s: F.concat_ws(" ", *[s[f"w{k}"] for k in range(n)]))
-    return F.when(m >= 1, grams).otherwise(F.array().cast("array<string>"))

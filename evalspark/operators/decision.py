@@ -1,13 +1,10 @@
 """Constraint-filtered recommendation and cost projections.
 
 All scenarios are decided at once: scenarios equi-join the benchmark matrix on ``task``
-(the matrix holds one row per (model, task), so it is broadcast behind a size check), the
-threshold / privacy predicates are residual filters, and the cheapest candidate per scenario
-is a ``min_by`` aggregate (partial aggregation, no sort of the group).  The candidate rows of
-a scenario (at most #models of its task) exist only inside one generated pipeline: the
-broadcast probe feeds the map-side partial aggregate directly, so one row per scenario and
-map task crosses the shuffle - never the scenario x model rows.  Scenario tables of any size
-(e.g. what-if sweeps) therefore scale linearly."""
+(one row per (model, task)); no join carries a hint, AQE picks the strategy by bytes.  D1, D2,
+D4, D5 and D8 look the answer up in per-task staircases instead (``asof``): scenarios keep their
+columns through one join on the task, are never grouped or joined back, and no scenario x
+model rows exist, so scenario tables of any size (e.g. what-if sweeps) scale linearly."""
 
 from __future__ import annotations
 
@@ -15,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.config import ROI_REFERENCE_API
-from evalspark.operators.joins import maybe_broadcast
 
 INF = float("inf")
 NONE_LABEL = "NONE (no model meets constraints)"
@@ -41,7 +37,7 @@ def projected_cost(cost_per_1m, volume) -> Column:
 
 def candidates(matrix: DataFrame, scenarios: DataFrame, low_level: str = "low") -> DataFrame:
     """Matrix rows of each scenario's task, privacy-filtered when the scenario requires it."""
-    m = maybe_broadcast(_clean_matrix(matrix).select(*[c for c in MATRIX_COLS if c in matrix.columns]))
+    m = _clean_matrix(matrix).select(*[c for c in MATRIX_COLS if c in matrix.columns])
     j = scenarios.join(m, "task")
     return j.filter(~F.col("privacy_required") | (F.col("privacy_risk") == low_level))
 
@@ -99,31 +95,34 @@ def staircase(matrix: DataFrame, low_level: str = "low") -> DataFrame:
     )).alias("steps"))
 
 
-def recommend_asof(matrix: DataFrame, scenarios: DataFrame, low_level: str = "low") -> DataFrame:
-    """D1 + D4 as an as-of lookup: each scenario joins its (task, privacy class) staircase (one
-    broadcast row) and takes the last step whose accuracy still meets its threshold, then the
-    best model for the sign of its volume.  No scenario x model rows exist at all, and scenarios
-    are never shuffled or grouped, so a task holding most of the scenarios is no hot spot.
-    Same output as ``recommend``."""
-    st = maybe_broadcast(staircase(matrix, low_level))
-    j = scenarios.join(st, ["task", "privacy_required"])
+def asof(matrix: DataFrame, scenarios: DataFrame, low_level: str = "low") -> DataFrame:
+    """Every scenario (all its columns) with its recommendation, NULL if unsatisfiable, and its
+    number of eligible candidates: a left join with the staircase of its (task, privacy class),
+    the last step whose accuracy still meets the threshold, and that step's best model for the
+    sign of the volume."""
+    j = scenarios.join(staircase(matrix, low_level), ["task", "privacy_required"], "left")
     hit = F.try_element_at(F.filter("steps", lambda x: x["accuracy"] >= F.col("min_accuracy")), F.lit(-1))
-    x = j.select("scenario", "monthly_volume", hit.alias("h")).filter(F.col("h").isNotNull())
+    x = j.select(*scenarios.columns, hit.alias("_h"))
     v = F.col("monthly_volume")
-    best = (F.when(v > 0, F.col("h.pos")).when(v < 0, F.col("h.neg")).when(v == 0, F.col("h.zero"))
-            .otherwise(F.col("h.null")))
-    x = x.select("scenario", "monthly_volume", best.alias("b"), F.col("h.n").alias("n_eligible_candidates"))
-    return x.select("scenario", *[F.col(f"b.{c}").alias(c) for c in _BEST_FIELDS],
-                    projected_cost(F.col("b.cost_per_1m_tokens"), v).alias("projected_monthly_cost"),
+    best = (F.when(v > 0, F.col("_h.pos")).when(v < 0, F.col("_h.neg")).when(v == 0, F.col("_h.zero"))
+            .otherwise(F.col("_h.null")))
+    x = x.select(*scenarios.columns, best.alias("_b"), F.coalesce("_h.n", F.lit(0).cast("bigint")).alias("n_eligible_candidates"))
+    return x.select(*scenarios.columns, *[F.col(f"_b.{c}").alias(c) for c in _BEST_FIELDS],
+                    projected_cost(F.col("_b.cost_per_1m_tokens"), v).alias("projected_monthly_cost"),
                     "n_eligible_candidates")
 
 
+def recommend_asof(matrix: DataFrame, scenarios: DataFrame, low_level: str = "low") -> DataFrame:
+    """D1 + D4 as an as-of lookup; the same output as ``recommend``."""
+    return asof(matrix, scenarios, low_level).filter("n_eligible_candidates > 0").select(
+        "scenario", *_BEST_FIELDS, "projected_monthly_cost", "n_eligible_candidates")
+
+
 def fallback(matrix: DataFrame, scenarios: DataFrame, top: int = 3) -> DataFrame:
     """For scenarios nobody satisfies, the ``top`` best candidates by accuracy (NULL last,
     ties by model).  Window partitions hold one scenario's candidates (<= #models rows)."""
-    rec = recommend_asof(matrix, scenarios).select("scenario")
-    open_sc = scenarios.join(rec, "scenario", "left_anti")
-    c = candidates(matrix, open_sc)
+    unmet = asof(matrix, scenarios).filter("n_eligible_candidates = 0").select(*scenarios.columns)
+    c = candidates(matrix, unmet)
     w = Window.partitionBy("scenario").orderBy(F.col("accuracy").desc_nulls_last(), F.col("model"))
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top) \
         .select("scenario", "rank", "model", "method", "accuracy", "cost_per_1m_tokens", "privacy_risk")
@@ -131,15 +130,13 @@ def fallback(matrix: DataFrame, scenarios: DataFrame, top: int = 3) -> DataFrame
 
 def validation_report(matrix: DataFrame, scenarios: DataFrame) -> DataFrame:
     """One row per scenario; unsatisfiable -> ``NONE ...`` / ``-`` / NULL / 0."""
-    rec = recommend_asof(matrix, scenarios)
-    j = scenarios.join(rec, "scenario", "left")
-    return j.select(
+    return asof(matrix, scenarios).select(
         "scenario", "task", "monthly_volume", "min_accuracy", "privacy_required",
         F.coalesce("model", F.lit(NONE_LABEL)).alias("recommended_model"),
         F.coalesce("method", F.lit("-")).alias("recommended_method"),
         F.round("accuracy", 4).alias("accuracy"),
         F.round("projected_monthly_cost", 2).alias("projected_monthly_cost_usd"),
-        F.coalesce("n_eligible_candidates", F.lit(0)).cast("int").alias("n_eligible_candidates"))
+        F.col("n_eligible_candidates").cast("int").alias("n_eligible_candidates"))
 
 
 def reference_api_cost(matrix: DataFrame, reference: str = ROI_REFERENCE_API) -> Column:
@@ -164,11 +161,10 @@ def cost_curves(matrix: DataFrame, scenarios: DataFrame, reference: str = ROI_RE
     """Cumulative cost curves for scenarios whose recommendation is self-hosted: volumes
     0 .. x_max-1 in steps of max(x_max div points, 1), x_max = max(min_span, int(1.2 x volume));
     SLM = implied fine-tuning cost + variable cost, API = reference price x volume."""
-    rec = recommend_asof(matrix, scenarios).filter(F.col("privacy_risk") == low_level)
+    rec = asof(matrix, scenarios).filter(F.col("privacy_risk") == low_level)
     ft = implied_fine_tuning_cost(matrix, reference).select("model", "task", "implied_fine_tuning_cost",
                                                             "reference_api_cost")
-    j = rec.join(scenarios.select("scenario", "task", "monthly_volume"), "scenario") \
-        .join(maybe_broadcast(ft), ["model", "task"], "left")
+    j = rec.join(ft, ["model", "task"], "left")
     x_max = F.greatest(F.lit(min_span).cast("bigint"), (F.col("monthly_volume") * 1.2).cast("bigint"))
     step = F.greatest(F.floor(x_max / points).cast("bigint"), F.lit(1).cast("bigint"))
     pts = j.select("scenario", "model", "cost_per_1m_tokens", "implied_fine_tuning_cost", "reference_api_cost",

@@ -1,14 +1,15 @@
 """Run log -> benchmark matrix.
 
-Latest-run selection uses ``max_by`` over a ``(start_time, -run_id)`` struct: a partial
-aggregate, so even a (model, task) key holding a third of the log is reduced map-side
-before the shuffle.  A ``row_number`` form is kept for parity checks (Spark turns its
+Latest-run selection is a ``min_by`` over a ``(-start_time, run_id)`` struct, for run ids of any
+type: a partial aggregate, so even a (model, task) key holding a third of the log is reduced
+map-side before the shuffle.  (Its struct buffer makes it a sort aggregate: the map side sorts.)  A ``row_number`` form is kept for parity checks (Spark turns its
 ``rn = 1`` filter into a per-partition WindowGroupLimit)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.config import (
     BENCHMARK_PHASES,
@@ -20,7 +21,6 @@ from evalspark.config import (
 )
 from evalspark.functions.text import short_model
 from evalspark.operators.economics import roi_breakeven
-from evalspark.operators.joins import maybe_broadcast
 
 MATRIX_COLUMNS = ["model", "task", "method", "accuracy", "latency_ms", "cost_per_1m_tokens",
                   "privacy_risk", "roi_breakeven_tokens"]
@@ -35,21 +35,26 @@ def flatten_run_log(runs: DataFrame, tags=("model", "task", "phase", "privacy_ri
     keep = [c for c in runs.columns if c not in ("tags", "params", "metrics")]
     cols = [F.col(c) for c in keep]
     # a tag already promoted to a top-level column (e.g. ``phase`` for pushdown) is read from it
-    cols += [F.try_element_at("tags", F.lit(t)).alias(t) for t in tags if t not in keep]
+    tag = {t: F.try_element_at("tags", F.lit(t)) for t in tags}
+    tag |= {t: F.coalesce(tag[t], F.lit("unknown")) for t in ("model", "task") if t in tag}  # runs without these tags
+    cols += [tag[t].alias(t) for t in tags if t not in keep]
     cols += [F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics if m not in keep]
     return runs.select(*cols)
 
 
 def latest(df: DataFrame, keys, time_col: str = "start_time", id_col: str = "run_id",
-           method: str = "max_by") -> DataFrame:
-    """B2: the latest row per key (ties on time -> smallest id)."""
+           method: str = "min_by") -> DataFrame:
+    """B2: the latest row per key (ties on time -> smallest id; no time at all comes last)."""
     keys = list(keys)
     if method == "window":
-        w = Window.partitionBy(*keys).orderBy(F.col(time_col).desc(), F.col(id_col).asc())
+        w = Window.partitionBy(*keys).orderBy(F.col(time_col).desc_nulls_last(), F.col(id_col).asc())
         return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     others = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(time_col).alias("t"), (-F.col(id_col)).alias("i"))
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r"))
+    time = F.col(time_col)
+    if isinstance(df.schema[time_col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)):
+        time = F.unix_micros(time.cast("timestamp"))
+    order = F.struct(time.isNull().alias("n"), (-time).alias("t"), F.col(id_col).alias("i"))
+    g = df.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_r"))
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
@@ -84,7 +89,7 @@ def api_rows(long_rows: DataFrame, task_col: str = "task", prices: dict = LLM_AP
 
 
 def latest_benchmark(runs: DataFrame, phases=BENCHMARK_PHASES, key=("model", "task"),
-                     per_store: bool = False, method: str = "max_by") -> DataFrame:
+                     per_store: bool = False, method: str = "min_by") -> DataFrame:
     """Latest benchmark run per key, benchmark phases only (the phase filter is an ``IN``
     predicate Spark pushes into the Parquet scan).  ``per_store`` = dedup inside each store."""
     r = flatten_run_log(runs).filter(F.col("phase").isin(*phases))
@@ -92,7 +97,7 @@ def latest_benchmark(runs: DataFrame, phases=BENCHMARK_PHASES, key=("model", "ta
     return latest(r, keys, method=method)
 
 
-def training_info(runs: DataFrame, phase: str = PHASE_FINE_TUNING, method: str = "max_by") -> DataFrame:
+def training_info(runs: DataFrame, phase: str = PHASE_FINE_TUNING, method: str = "min_by") -> DataFrame:
     """Latest fine-tuning run per (short model, task): method (default ``unknown``) and
     training hours (default 0.0)."""
     r = flatten_run_log(runs).filter(F.col("phase") == phase)
@@ -106,7 +111,7 @@ def enrich(bench: DataFrame, train: DataFrame, reference_api: str = ROI_REFERENC
            gpu_cost_per_hour: float = GPU_COST_PER_HOUR, prices: dict = LLM_API_COSTS) -> DataFrame:
     """With training info -> its method and ROI recomputed from training hours against the
     reference API; without -> logged method (default ``API``) and logged ROI.
-    ``train`` has one row per (model, task), so it is broadcast behind a size check."""
+    ``train`` has one row per (model, task)."""
     api_cost = float(prices[reference_api]["blended"])
     b = bench.withColumn("model_short", short_model("model"))
     if "roi_breakeven_tokens" not in b.columns:
@@ -116,7 +121,7 @@ def enrich(bench: DataFrame, train: DataFrame, reference_api: str = ROI_REFERENC
     t = train.select("model_short", "task", F.col("method").alias("t_method"),
                      F.col("training_hours").alias("t_hours"))
     b = b.drop("t_method", "t_hours")
-    j = b.join(maybe_broadcast(t), ["model_short", "task"], "left")
+    j = b.join(t, ["model_short", "task"], "left")
     has_train = F.col("t_method").isNotNull()
     ft_cost = F.col("t_hours") * float(gpu_cost_per_hour)
     roi_new = F.when(F.col("cost_per_1m_tokens").isNull(), F.lit(None).cast("double")) \
@@ -164,7 +169,7 @@ def short_name(df: DataFrame, col: str = "model") -> DataFrame:
 def compile_matrix(runs: DataFrame, runs_wide: DataFrame | None, prefixes: dict,
                    experiment_cols=("experiment",), accuracy_key="accuracy", task_col: str = "task",
                    per_store: bool = False, reference_api: str = ROI_REFERENCE_API,
-                   method: str = "max_by") -> DataFrame:
+                   method: str = "min_by") -> DataFrame:
     """Wide API runs (B1) + latest benchmark runs (B3) enriched with training info (B4, B5),
     unioned (B6) into the 8-column matrix, as one lazy plan."""
     bench = latest_benchmark(runs, per_store=per_store, method=method)
@@ -176,7 +181,13 @@ def compile_matrix(runs: DataFrame, runs_wide: DataFrame | None, prefixes: dict,
     return union_rows(api, slm)
 
 
-def experiment_task(experiment: Column | str, table: dict) -> Column:
-    """Experiment name -> task through a literal map (the wide-run registry)."""
-    m = F.create_map(*[x for e, (t, _) in table.items() for x in (F.lit(e), F.lit(t))])
-    return F.try_element_at(m, F.col(experiment) if isinstance(experiment, str) else experiment)
+def registry_rows(runs_wide: DataFrame, table: dict, prefixes: dict, experiment: str = "experiment",
+                  latency_key: str = "avg_latency_s") -> DataFrame:
+    """B1 by registry: wide runs of the registered experiments only (``table``: experiment ->
+    (task, accuracy metric)), each scored by its own accuracy metric; matrix rows of the APIs."""
+    task = F.create_map(*[x for e, (t, _) in table.items() for x in (F.lit(e), F.lit(t))])
+    metric = F.create_map(*[x for e, (_, m) in table.items() for x in (F.lit(e), F.lit(m))])
+    known = runs_wide.filter(F.col(experiment).isin(*table))
+    rows = wide_to_long(known, prefixes, (experiment,), accuracy_key=F.try_element_at(metric, F.col(experiment)),
+                        latency_key=latency_key)
+    return api_rows(rows.withColumn("task", F.try_element_at(task, F.col(experiment))))

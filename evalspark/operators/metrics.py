@@ -36,29 +36,22 @@ def mean_latency_ms(df: DataFrame, latency_s: str = "latency_s", by=("model", "t
 
 # --- M4 / M5: set overlap scores ----------------------------------------------------------
 
-def token_f1(truth_set, pred_set) -> Column:
-    """M4 per row: struct(precision, recall, f1) of two token sets; NULL when truth is empty
-    (such rows are skipped by the mean); empty prediction -> precision 0."""
-    t, p = _c(truth_set), _c(pred_set)
-    tp = F.size(F.array_intersect(t, p)).cast("double")
-    prec = F.when(F.size(p) > 0, tp / F.size(p)).otherwise(F.lit(0.0))
-    rec = tp / F.size(t)
-    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    ok = F.size(t) > 0
-    return F.when(ok, F.struct(prec.alias("precision"), rec.alias("recall"), f1.alias("f1")))
-
-
-def token_f1_scores(df: DataFrame, truth_set, pred_set, keep=()) -> DataFrame:
+def token_f1_scores(df: DataFrame, truth_set, pred_set, keep=(), drop_empty: bool = True) -> DataFrame:
     """M4 as staged projections: sets, then counts, then ratios.  Each stage is a separate
     projection whose columns are referenced several times, so Catalyst keeps it instead of
-    re-deriving the token sets inside every ratio.  Rows with an empty truth are dropped."""
+    re-deriving the token sets inside every ratio.  Rows with an empty truth are dropped, or
+    with ``drop_empty=False`` kept with NULL scores (which means skip)."""
     keep = list(keep)
     x = df.select(*keep, _c(truth_set).alias("_t"), _c(pred_set).alias("_p"))
     x = x.select(*keep, F.size("_t").alias("_nt"), F.size("_p").alias("_np"),
-                 F.size(F.array_intersect("_t", "_p")).cast("double").alias("_tp")).filter(F.col("_nt") > 0)
-    x = x.select(*keep, F.when(F.col("_np") > 0, F.col("_tp") / F.col("_np")).otherwise(F.lit(0.0)).alias("precision"),
-                 (F.col("_tp") / F.col("_nt")).alias("recall"))
-    return x.select(*keep, "precision", "recall", _f1("precision", "recall").alias("f1"))
+                 F.size(F.array_intersect("_t", "_p")).cast("double").alias("_tp"))
+    if drop_empty:
+        x = x.filter(F.col("_nt") > 0)
+    some = F.col("_nt") > 0
+    precision = F.when(F.col("_np") > 0, F.col("_tp") / F.col("_np")).otherwise(F.lit(0.0))
+    x = x.select(*keep, F.when(some, precision).alias("precision"), F.when(some, F.col("_tp") / F.col("_nt")).alias("recall"))
+    f1 = F.when(F.col("recall").isNotNull(), _f1("precision", "recall"))
+    return x.select(*keep, "precision", "recall", f1.alias("f1"))
 
 
 def _f1(p, r) -> Column:
@@ -79,22 +72,6 @@ def entity_prf_scores(df: DataFrame, truth_set, pred_set, keep=()) -> DataFrame:
     return x.select(*keep, "precision", "recall", _f1("precision", "recall").alias("f1"))
 
 
-def entity_prf(truth_set, pred_set) -> Column:
-    """M5 per sample: struct(precision, recall, f1) of entity sets; both empty -> 1, 1, 1;
-    zero denominators -> 0."""
-    t, p = _c(truth_set), _c(pred_set)
-    tp = F.size(F.array_intersect(t, p)).cast("double")
-    fp = F.size(F.array_except(p, t))
-    fn = F.size(F.array_except(t, p))
-    prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0))
-    rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))
-    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    both_empty = (F.size(t) == 0) & (F.size(p) == 0)
-    one = F.lit(1.0)
-    return F.when(both_empty, F.struct(one.alias("precision"), one.alias("recall"), one.alias("f1"))) \
-        .otherwise(F.struct(prec.alias("precision"), rec.alias("recall"), f1.alias("f1")))
-
-
 def entity_correct(f1, threshold: float = 0.5) -> Column:
     """1 when entity F1 >= threshold."""
     return (_c(f1) >= F.lit(threshold)).cast("int")
@@ -138,14 +115,14 @@ def greedy_pass(df: DataFrame, by=("model",), passed: str = "passed",
 
 def latency_profile(df: DataFrame, latency: str = "latency_s", sample: str = "sample_id",
                     by=("model",)) -> DataFrame:
-    """M8: mean, sample std, max (+ the first sample holding it), min.  ``max_by`` over
-    ``struct(latency, -sample)`` keeps the first maximum, as ``idxmax`` does."""
-    key = F.struct(F.col(latency), (-F.col(sample)).alias("neg"))
+    """M8: mean, sample std, max (+ the first sample holding it), min.  ``min_by`` over
+    ``struct(-latency, sample)`` keeps the first maximum, as ``idxmax`` does, for ids of any type."""
+    key = F.when(F.col(latency).isNotNull(), F.struct((-F.col(latency)).alias("l"), F.col(sample).alias("s")))
     return df.groupBy(*by).agg(
         F.avg(latency).alias("mean_latency"),
         F.stddev_samp(latency).alias("std_latency"),
         F.max(latency).alias("max_latency"),
-        F.max_by(sample, key).alias("max_latency_sample"),
+        F.min_by(sample, key).alias("max_latency_sample"),
         F.min(latency).alias("min_latency"),
         F.count(F.lit(1)).alias("n"))
 

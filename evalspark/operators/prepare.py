@@ -11,8 +11,6 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from evalspark.functions.hashing import h32, hash_bucket
 from evalspark.functions.text import join_tokens, render_prompt
-from evalspark.operators.joins import DEFAULT_BROADCAST_ROWS, join_small, maybe_broadcast
-from evalspark.session import spread
 
 
 def _c(x) -> Column:
@@ -92,8 +90,8 @@ def hashed_whitespace_ids(text, vocab: int = 50000) -> Column:
 
 
 def training_examples(df: DataFrame, prompt: str = "prompt", completion: str = "completion",
-                      max_length: int = 128, tokenize=None, eos_id: int | None = None) -> DataFrame:
-    """ids = tokens(prompt) ++ tokens(completion) (+ eos), capped at ``max_length``;
+                      max_length: int | None = None, tokenize=None, eos_id: int | None = None) -> DataFrame:
+    """ids = tokens(prompt) ++ tokens(completion) (+ eos), cut to ``max_length`` if given;
     labels = ids with prompt positions masked to -100; attention mask of ones.
 
     ``tokenize`` maps a Column of text to a Column of ``array<int>`` (default: hashed
@@ -102,7 +100,9 @@ def training_examples(df: DataFrame, prompt: str = "prompt", completion: str = "
     p_ids, c_ids = tok(_c(prompt)), tok(_c(completion))
     if eos_id is not None:
         c_ids = F.concat(c_ids, F.array(F.lit(int(eos_id))))
-    full = F.slice(F.concat(p_ids, c_ids), 1, max_length)
+    full = F.concat(p_ids, c_ids)
+    if max_length is not None:
+        full = F.slice(full, 1, max_length)
     out = df.withColumn("_plen", F.size(p_ids)).withColumn("input_ids", full)
     out = out.withColumn("labels", F.transform("input_ids", lambda x, i: F.when(i < F.col("_plen"), F.lit(-100)).otherwise(x)))
     out = out.withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
@@ -129,13 +129,6 @@ def words(text, pattern: str = WORD_PATTERN) -> Column:
     return F.filter(F.split(F.lower(_c(text)), pattern), lambda t: t != "")
 
 
-def word_ngrams(ws, n: int) -> Column:
-    """All word n-grams as strings; empty when there are fewer than ``n`` words."""
-    from evalspark.functions.text import ngram_strings
-
-    return ngram_strings(ws, n)
-
-
 def ngram_windows(ws, n: int) -> Column:
     """Array of ``struct(w0..w{n-1})``: every run of n consecutive words, built from n shifted
     slices zipped together (no lambda: lambdas are interpreted, zips and slices are not)."""
@@ -145,30 +138,28 @@ def ngram_windows(ws, n: int) -> Column:
 
 
 def _gram_keys(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, k1, k2) per n-gram occurrence: two independent hashes (xxhash64, murmur3) of the n
-    words, computed in a code-generated projection after the explode; no n-gram string is
-    built and only 12 bytes per gram cross the shuffle or the broadcast."""
-    # words are projected once; the window builder references them n times, so Catalyst keeps
-    # this projection instead of inlining the tokeniser into every slice
-    w = spread(df.select(id_col, text_col)).select(id_col, words(text_col).alias("_w"))
+    """(id, k1, k2) per n-gram occurrence: two independent hashes (xxhash64, murmur3) of n word
+    hashes, computed in a code-generated projection after the explode.  Each word is hashed
+    once; windows are structs of n longs, and only 12 bytes per gram cross the exchange."""
+    # word hashes are projected once; the window builder references them n times, so Catalyst
+    # keeps this projection instead of inlining the tokeniser into every slice
+    w = df.select(id_col, F.transform(words(text_col), lambda x: F.xxhash64(x)).alias("_w"))
     g = w.select(id_col, F.explode(ngram_windows(F.col("_w"), n)).alias("g"))
     cols = [F.col(f"g.w{k}") for k in range(n)]
     return g.select(id_col, F.xxhash64(*cols).alias("k1"), F.hash(*cols).alias("k2"))
 
 
 def ngram_overlap(docs: DataFrame, bench: DataFrame, n: int = 8, doc_id: str = "doc_id",
-                  item_id: str = "item_id", text: str = "text",
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  item_id: str = "item_id", text: str = "text") -> DataFrame:
     """P11 (passage overlap): documents sharing at least one word n-gram with a benchmark item,
     with the number of distinct items and distinct shared n-grams.
 
-    The benchmark side's n-gram keys are broadcast when their count is proven small (the
-    usual case: an evaluation suite), turning the join into a map-side filter of the
-    documents' n-grams — no shuffle of the large side.  Past the bound it falls back to a
-    shuffle join on the keys.  Only (id, key) pairs ever reach the exchange, never text."""
+    The join carries no hint: AQE broadcasts the benchmark's keys when their bytes allow it
+    (the usual case: an evaluation suite), which makes it a map-side filter of the documents'
+    n-grams.  Only (id, key) pairs ever reach the exchange, never text."""
     bk = _gram_keys(bench, item_id, text, n).distinct()
     dk = _gram_keys(docs.select(doc_id, text), doc_id, text, n)
-    j = dk.join(maybe_broadcast(bk, max_broadcast_rows), ["k1", "k2"])
+    j = dk.join(bk, ["k1", "k2"])
     return j.groupBy(doc_id).agg(F.count_distinct(item_id).alias("n_items"),
                                  F.count_distinct("k1", "k2").alias("n_shared_ngrams"))
 
@@ -180,12 +171,12 @@ def normalized_text_key(text) -> Column:
 
 def exact_overlap(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
                   text: str = "text") -> DataFrame:
-    """P11 (exact copies): (doc, item) pairs whose normalised texts are identical; an equi-join
-    on a 256-bit key.  The benchmark side is broadcast behind a size check, so the documents
-    are never shuffled by key - a text copied into a third of all documents is no hot spot."""
+    """P11 (exact copies): documents whose normalised text equals that of a benchmark item, with
+    the number of such items.  Items are counted per 256-bit key first, so a text with d document
+    copies and b item copies gives d rows, and AQE can split a key's documents over tasks."""
     d = docs.select(doc_id, normalized_text_key(text).alias("key"))
-    b = bench.select(item_id, normalized_text_key(text).alias("key"))
-    return join_small(d, b, "key").select(doc_id, item_id)
+    b = bench.groupBy(normalized_text_key(text).alias("key")).agg(F.count(item_id).alias("n_items"))
+    return d.join(b, "key").select(doc_id, "n_items")
 
 
 # --- P12: chat formatting -------------------------------------------------------------------

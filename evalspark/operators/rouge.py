@@ -1,12 +1,11 @@
 """ROUGE (M3a-d).
 
-* ROUGE-N (M3a) is native: n-grams are exploded with their pair id and *counted per
+* ROUGE-N (M3a) is native: rows are dealt by key once, n-grams are exploded and *counted per
   (pair, n-gram)* in one aggregation (both sides at once, no join); the clipped overlap is
-  then summed per pair.  The key includes the n-gram, so one long pair cannot pile onto one
-  reducer, and only (id, gram hash) pairs cross the shuffle.
+  then summed per pair.  Both aggregations run inside the row's partition.
 * ROUGE-L (M3b) needs a longest common subsequence: an Arrow ``pandas_udf`` over the two
   token arrays with a bit-parallel LCS (O(n * m / 64) machine-word operations per pair).
-* Stemming (M3d) is a Porter ``pandas_udf`` over distinct tokens, or memoised per batch.
+* Stemming (M3d) happens inside ROUGE: a Porter ``pandas_udf``, memoised per worker.
 """
 
 from __future__ import annotations
@@ -36,19 +35,21 @@ def _fmeasure(p: Column, r: Column) -> Column:
 
 
 def rouge_n(df: DataFrame, keys, reference: str = "reference", prediction: str = "prediction",
-            n: int = 1, tokens=None) -> DataFrame:
+            n: int = 1, stem: bool = False) -> DataFrame:
     """ROUGE-N precision / recall / F per row of ``df`` (identified by ``keys``).
 
-    One pass: each row is tokenised once, its two sides are exploded (a 2-element array), then
+    Both texts stand in one row, so rows are dealt by key before the explode: the two
+    aggregations need no further exchange, and no n-gram crosses one.  Each row is tokenised once, its two sides are exploded (a 2-element array), then
     each side's n-gram windows (``explode_outer`` keeps a row whose side has none); the gram
     hash is computed from the n words in generated code.  One aggregation per (row, gram)
-    clips the counts, a second per row sums overlap and the per-side totals - no self-join.
-    ``tokens`` (optional) = (ref_tokens_col, pred_tokens_col) already tokenised/stemmed."""
+    clips the counts, a second per row sums overlap and the per-side totals - no self-join."""
     from evalspark.operators.prepare import ngram_windows
 
     keys = list(keys)
-    rt, pt = tokens if tokens else (rouge_tokens(reference), rouge_tokens(prediction))
-    base = df.select(*keys, rt.alias("_rt"), pt.alias("_pt"))
+    rt, pt = rouge_tokens(reference), rouge_tokens(prediction)
+    if stem:
+        rt, pt = stem_tokens_udf(rt), stem_tokens_udf(pt)
+    base = df.select(*keys, rt.alias("_rt"), pt.alias("_pt")).repartition(*keys)
     sides = F.array(F.struct(F.lit(1).alias("r"), F.lit(0).alias("p"), ngram_windows(F.col("_rt"), n).alias("w")),
                     F.struct(F.lit(0).alias("r"), F.lit(1).alias("p"), ngram_windows(F.col("_pt"), n).alias("w")))
     x = base.select(*keys, F.explode(sides).alias("s"))
@@ -113,12 +114,6 @@ def _stem_cached(tok: str) -> str:
     return porter.stem(tok) if len(tok) > 3 else tok
 
 
-@F.pandas_udf(StringType())
-def stem_udf(s: pd.Series) -> pd.Series:
-    """Porter stem of single tokens longer than 3 characters (shorter ones unchanged)."""
-    return s.map(lambda t: None if t is None else _stem_cached(t))
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def stem_tokens_udf(s: pd.Series) -> pd.Series:
     """Porter-stem every token of each array (memoised per worker, so the cost follows the
@@ -126,13 +121,6 @@ def stem_tokens_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda xs: None if xs is None else [_stem_cached(t) for t in xs])
 
 
-def stem_vocabulary(df: DataFrame, tokens_col) -> DataFrame:
-    """M3d as a table: distinct tokens and their stems (stemming runs once per distinct
-    token; join back on ``token`` where occurrences are needed)."""
-    v = df.select(F.explode(_c(tokens_col)).alias("token")).distinct()
-    return v.select("token", stem_udf("token").alias("stem"))
-
-
 def mean_scores(scores: DataFrame, by, col: str = "f", out: str = "mean_f") -> DataFrame:
     """Mean score per group."""
     return scores.groupBy(*by).agg(F.avg(col).alias(out), F.count(F.lit(1)).alias("n"))

@@ -47,7 +47,9 @@ def _score_batches(predictor_factory: Callable[[], Callable[[list], list]], prom
             if batch_mode and n:
                 t0 = time.perf_counter()
                 try:
-                    out = predict(prompts)
+                    out = list(predict(prompts))
+                    if len(out) != n:  # rows could not be told apart
+                        raise ValueError(f"{len(out)} replies to {n} prompts")
                     per = (time.perf_counter() - t0) / n  # amortised: a batch call has one timer
                     for i in range(n):
                         preds[i], lats[i], atts[i], sizes[i] = out[i], per, 1, n
@@ -58,12 +60,15 @@ def _score_batches(predictor_factory: Callable[[], Callable[[list], list]], prom
                 for a in range(1, max_attempts + 1):
                     t0 = time.perf_counter()  # the timer restarts on every attempt
                     try:
-                        preds[i] = predict([prompts[i]])[0]
+                        one = list(predict([prompts[i]]))
+                        if len(one) != 1:
+                            raise ValueError(f"{len(one)} replies to 1 prompt")
+                        preds[i] = one[0]
                         lats[i], atts[i], stats[i], errs[i] = time.perf_counter() - t0, a, "ok", None
                         break
                     except Exception as e:  # noqa: BLE001
                         lats[i], atts[i], stats[i] = time.perf_counter() - t0, a, "error"
-                        errs[i], preds[i] = f"{type(e).__name__}: {e}"[:500], sentinel
+                        errs[i], preds[i] = f"{type(e).__name__}: {e}", sentinel
             out = pdf[keep].copy()
             out["prediction"], out["latency_s"], out["attempts"] = preds, lats, atts
             out["batch_size"] = sizes

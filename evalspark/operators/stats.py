@@ -1,10 +1,9 @@
 """Paired significance tests.
 
-T1 is a Spark aggregation: scores are pivoted to one row per pairing unit (one shuffle), and
-every (candidate, baseline) pair's mean, sample std and count of the paired difference are
-columns of one partial aggregate over the units - no pair rows are emitted per unit.
-T2 evaluates the Student-t tail on the *aggregated* rows only (one row per pair) with an
-Arrow ``pandas_udf``; no per-sample Python."""
+T1 joins candidate and baseline scores on the pairing unit inside one pipeline into a partial
+aggregate per (candidate, baseline): only the partial sums cross the shuffle, the plan does not
+grow with the number of models, and nothing is collected.  T2 evaluates the Student-t tail on
+the *aggregated* rows only (one row per pair) with an Arrow ``pandas_udf``."""
 
 from __future__ import annotations
 
@@ -16,54 +15,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Beyond so many degrees of freedom the normal limit is exact to about 1e-11.
+MANY_DEGREES = 200_000
 
-def _betacf(a: float, b: float, x: float, max_iter: int = 300, eps: float = 3e-16) -> float:
-    """Continued fraction of the regularised incomplete beta (modified Lentz method)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, max_iter + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t: I_{df/(df+t^2)}(df/2, 1/2)."""
-    if t is None or df is None or not np.isfinite(df) or df <= 0 or (isinstance(t, float) and math.isnan(t)):
-        return float("nan")
+
+def t_two_sided_p(t: float | None, df: float | None) -> float:
+    """Two-sided p-value of Student's t for whole degrees of freedom, where the integral of the
+    density is a finite sum in ``angle = atan(t / sqrt(df))``: substituting the angle leaves an
+    even or odd power of the cosine, which integration by parts takes down two at a time."""
+    if t is None or df is None or math.isnan(t) or math.isnan(df) or df < 1 or math.isinf(df):
+        return math.nan
     if math.isinf(t):
         return 0.0
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+    if df > MANY_DEGREES:
+        z = abs(t) * (1 - 1 / (4 * df)) / math.sqrt(1 + t * t / (2 * df))
+        return math.erfc(z / math.sqrt(2))
+    n, angle = int(df), math.atan(abs(t) / math.sqrt(df))
+    cos2 = math.cos(angle) ** 2
+    if n % 2:
+        k = np.arange(1, (n - 1) // 2)
+        terms = np.concatenate([[1.0], np.cumprod(2 * k / (2 * k + 1) * cos2)]) if n > 1 else np.zeros(1)
+        inside = 2 / math.pi * (angle + math.sin(angle) * math.cos(angle) * float(terms.sum()))
+    else:
+        k = np.arange(1, n // 2)
+        inside = math.sin(angle) * float(np.concatenate([[1.0], np.cumprod((2 * k - 1) / (2 * k) * cos2)]).sum())
+    return min(1.0, max(0.0, 1.0 - inside))
 
 
 @F.pandas_udf(DoubleType())
@@ -72,68 +48,42 @@ def t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
                       for a, b in zip(t, df)], dtype="float64")
 
 
-def _roles(scores: DataFrame, is_candidate: Column, model: str, candidates, baselines):
-    """Candidate / baseline model lists; when not given, read from the data (one row per model:
-    a tiny list, like the value discovery of a pivot without explicit values)."""
-    if candidates is not None and baselines is not None:
-        return list(candidates), list(baselines)
-    roles = scores.select(F.col(model).alias("m"), is_candidate.alias("c")).distinct().collect()
-    cands = sorted({r.m for r in roles if r.c})
-    bases = sorted({r.m for r in roles if not r.c})
-    return cands, bases
-
-
 def pair_stats(scores: DataFrame, is_candidate: Column, model: str = "model", unit: str = "unit",
-               score: str = "score", candidates=None, baselines=None) -> DataFrame:
+               score: str = "score") -> DataFrame:
     """Per (candidate, baseline): means over matched units, mean and sample std of the paired
-    difference, number of matched units.
-
-    One shuffle: ``groupBy(unit).pivot(model)`` gives one row per unit with a column per model;
-    every pair's statistics are then columns of a single partial (map-side) aggregate over the
-    units, unfolded into one row per pair at the end.  No per-unit pair rows are ever emitted,
-    so a unit shared by many models costs one row, not models^2 rows."""
-    cands, bases = _roles(scores, is_candidate, model, candidates, baselines)
-    models = cands + bases
-    if not cands or not bases:
-        schema = ("slm string, llm_baseline string, slm_mean_accuracy double, llm_mean_accuracy double, "
-                  "mean_difference double, sd_difference double, n_pairs bigint")
-        return scores.sparkSession.createDataFrame([], schema)
-    wide = scores.groupBy(unit).pivot(model, models).agg(F.avg(score))
-    wide = wide.toDF(unit, *[f"_m{k}" for k in range(len(models))])
-    aggs, rows = [], []
-    for i, c in enumerate(cands):
-        for j, b in enumerate(bases):
-            x, y = F.col(f"_m{i}"), F.col(f"_m{len(cands) + j}")
-            both = x.isNotNull() & y.isNotNull()
-            d = F.when(both, x - y)
-            tag = f"{i}_{j}"
-            aggs += [F.avg(F.when(both, x)).alias(f"sm_{tag}"), F.avg(F.when(both, y)).alias(f"lm_{tag}"),
-                     F.avg(d).alias(f"md_{tag}"), F.stddev_samp(d).alias(f"sd_{tag}"), F.count(d).alias(f"n_{tag}")]
-            rows.append(F.struct(F.lit(c).alias("slm"), F.lit(b).alias("llm_baseline"),
-                                 F.col(f"sm_{tag}").alias("slm_mean_accuracy"),
-                                 F.col(f"lm_{tag}").alias("llm_mean_accuracy"),
-                                 F.col(f"md_{tag}").alias("mean_difference"),
-                                 F.col(f"sd_{tag}").alias("sd_difference"),
-                                 F.col(f"n_{tag}").alias("n_pairs")))
-    g = wide.agg(*aggs)
-    return g.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.col("n_pairs") > 0)
+    difference, number of matched units.  A unit's scores of one model are averaged first."""
+    rows = scores.groupBy(model, unit).agg(F.avg(score).alias("x")).filter(F.col("x").isNotNull())
+    cands = rows.filter(is_candidate).select(F.col(model).alias("slm"), unit, "x")
+    bases = rows.filter(~is_candidate).select(F.col(model).alias("llm_baseline"), unit, F.col("x").alias("y"))
+    d = F.col("x") - F.col("y")
+    return cands.join(bases, unit).groupBy("slm", "llm_baseline").agg(
+        F.avg("x").alias("slm_mean_accuracy"), F.avg("y").alias("llm_mean_accuracy"),
+        F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("sd_difference"), F.count(d).alias("n_pairs"))
 
 
 def pair_grid(scores: DataFrame, is_candidate: Column, model: str = "model", unit: str = "unit",
-              score: str = "score", candidates=None, baselines=None) -> DataFrame:
+              score: str = "score") -> DataFrame:
     """T4: the candidate x baseline grid with the number of matched units per pair."""
-    return pair_stats(scores, is_candidate, model, unit, score, candidates, baselines) \
+    return pair_stats(scores, is_candidate, model, unit, score) \
         .select("slm", "llm_baseline", F.col("n_pairs").alias("n_units"))
 
 
 def paired_t(scores: DataFrame, is_candidate: Column, model: str = "model", unit: str = "unit",
-             score: str = "score", with_p: bool = True, alpha: float = 0.05, candidates=None,
-             baselines=None) -> DataFrame:
+             score: str = "score", with_p: bool = True, alpha: float = 0.05) -> DataFrame:
     """T1 (+T2, T3): paired t statistic per (candidate, baseline) over matched units."""
-    g = pair_stats(scores, is_candidate, model, unit, score, candidates, baselines)
+    g = pair_stats(scores, is_candidate, model, unit, score)
     t = F.try_divide(F.col("mean_difference"), F.col("sd_difference") / F.sqrt(F.col("n_pairs").cast("double")))
     g = g.withColumn("t_statistic", t)
     if with_p:
         g = g.withColumn("p_value", t_pvalue_udf(F.col("t_statistic"), (F.col("n_pairs") - 1).cast("double")))
         g = g.withColumn("significant_at_0_05", F.col("p_value") < F.lit(alpha))
     return g
+
+
+def significance_table(matrix: DataFrame, is_candidate: Column, alpha: float = 0.05) -> DataFrame:
+    """Benchmark matrix -> significance table: the task is the pairing unit, values are rounded to
+    4 decimals, significance is judged before rounding."""
+    g = paired_t(matrix, is_candidate, "model", "task", "accuracy", alpha=alpha)
+    means = ["slm_mean_accuracy", "llm_mean_accuracy", "mean_difference", "t_statistic", "p_value"]
+    return g.select("slm", "llm_baseline", *[F.round(c, 4).alias(c) for c in means],
+                    F.col("significant_at_0_05").alias("significant_at_0.05"), F.col("n_pairs").cast("int").alias("n_pairs"))

@@ -10,7 +10,7 @@ from evalspark.operators import decision as D
 from evalspark.operators import matrix as B
 from evalspark.operators import metrics as M
 from evalspark.operators.economics import roi_breakeven, slm_cost_per_1m, throughput, training_cost
-from evalspark.oracle import with_fixtures
+from evalspark.oracle import exact_mean_sql, with_fixtures
 from evalspark.plans.benchmark import fixture_matrix
 from evalspark.plans.catalog import register, round_report
 from evalspark.plans.scorecard import classification_scores, scorecard
@@ -91,9 +91,10 @@ def m9_latency_outliers(spark, sf):
 
 
 # ---------------------------------------------------------------- M11-M14, M17 on predictions
-_SC = [("g", f"""SELECT model, task, count(*) AS n_samples,
-        round(avg(CASE WHEN {_PL} = true_label THEN 1.0 ELSE 0.0 END), 4) AS accuracy,
-        round(avg(latency_s) * 1000, 2) AS latency_ms FROM predictions GROUP BY model, task"""),
+_SC = [("g", f"""SELECT model, task, count(*) AS n_samples, {exact_mean_sql("s", 10 ** 9, 4)} AS accuracy,
+        {exact_mean_sql("latency_s * 1000", 10 ** 3, 2)} AS latency_ms
+    FROM (SELECT *, CASE WHEN {_PL} = true_label THEN 1.0::double ELSE 0.0::double END AS s FROM predictions) q
+    GROUP BY model, task"""),
        ("t", "SELECT *, 32 / (latency_ms / 1000) AS tokens_per_second FROM g"),
        ("c", "SELECT *, round(2.5 / (tokens_per_second * 3600) * 1e6, 4) AS cost_per_1m_tokens FROM t")]
 
@@ -296,13 +297,13 @@ def decision_sql(body: str, extra=()) -> str:
 
 @register("d1_recommend", decision_sql("SELECT * FROM rec"))
 def d1_recommend(spark, sf):
-    return D.recommend(fixture_matrix(spark, sf), fx.scenarios(spark))
+    return D.recommend(fixture_matrix(spark, sf), fx.scenarios(spark, sf))
 
 
 @register("d1_recommend_asof", decision_sql("SELECT * FROM rec"))
 def d1_recommend_asof(spark, sf):
     """D1 as an as-of lookup on per-task staircases (no scenario x model rows)."""
-    return D.recommend_asof(fixture_matrix(spark, sf), fx.scenarios(spark))
+    return D.recommend_asof(fixture_matrix(spark, sf), fx.scenarios(spark, sf))
 
 
 @register("d2_fallback", decision_sql(
@@ -310,13 +311,13 @@ def d1_recommend_asof(spark, sf):
         SELECT *, (row_number() OVER (PARTITION BY scenario ORDER BY accuracy DESC NULLS LAST, model))::int AS rank
         FROM cand WHERE scenario NOT IN (SELECT scenario FROM rec)) q WHERE rank <= 3"""))
 def d2_fallback(spark, sf):
-    return D.fallback(fixture_matrix(spark, sf), fx.scenarios(spark))
+    return D.fallback(fixture_matrix(spark, sf), fx.scenarios(spark, sf))
 
 
 @register("d3_projected_cost", decision_sql(
     "SELECT scenario, model, cost_per_1m_tokens / 1e6 * monthly_volume AS projected_monthly_cost FROM cand"))
 def d3_projected_cost(spark, sf):
-    c = D.candidates(fixture_matrix(spark, sf), fx.scenarios(spark))
+    c = D.candidates(fixture_matrix(spark, sf), fx.scenarios(spark, sf))
     return c.select("scenario", "model", D.projected_cost("cost_per_1m_tokens", "monthly_volume")
                     .alias("projected_monthly_cost"))
 
@@ -325,7 +326,7 @@ def d3_projected_cost(spark, sf):
     """SELECT s.scenario, coalesce(r.n_eligible_candidates, 0) AS n_eligible_candidates
     FROM scenarios s LEFT JOIN rec r ON r.scenario = s.scenario"""))
 def d4_eligible_count(spark, sf):
-    return D.validation_report(fixture_matrix(spark, sf), fx.scenarios(spark)) \
+    return D.validation_report(fixture_matrix(spark, sf), fx.scenarios(spark, sf)) \
         .select("scenario", F.col("n_eligible_candidates").cast("bigint").alias("n_eligible_candidates"))
 
 
@@ -337,7 +338,7 @@ def d4_eligible_count(spark, sf):
         cast(coalesce(r.n_eligible_candidates, 0) AS int) AS n_eligible_candidates
     FROM scenarios s LEFT JOIN rec r ON r.scenario = s.scenario"""))
 def d5_validation_report(spark, sf):
-    return D.validation_report(fixture_matrix(spark, sf), fx.scenarios(spark))
+    return D.validation_report(fixture_matrix(spark, sf), fx.scenarios(spark, sf))
 
 
 _REF = "(SELECT min(cost_per_1m_tokens) FROM matrix WHERE model = 'gpt-4o')"
@@ -371,7 +372,7 @@ def d7_implied_fine_tuning_cost(spark, sf):
             greatest(greatest(20000000, cast(trunc(s.monthly_volume * 1.2) AS bigint)) // 100, 1))) AS volume) v
     WHERE r.privacy_risk = 'low'""", extra=[("implied", _IMPLIED)]))
 def d8_cost_curves(spark, sf):
-    return D.cost_curves(fixture_matrix(spark, sf), fx.scenarios(spark))
+    return D.cost_curves(fixture_matrix(spark, sf), fx.scenarios(spark, sf))
 
 
 @register("d9_ranked_candidates", matrix_sql(
@@ -387,7 +388,7 @@ def d9_ranked_candidates(spark, sf):
         (row_number() OVER (PARTITION BY scenario ORDER BY cost_per_1m_tokens / 1e6 * monthly_volume ASC NULLS LAST, model))::int AS rank
     FROM cand"""))
 def d10_cost_chart(spark, sf):
-    return D.cost_chart(fixture_matrix(spark, sf), fx.scenarios(spark))
+    return D.cost_chart(fixture_matrix(spark, sf), fx.scenarios(spark, sf))
 
 
 @register("d11_breakeven_verdict", matrix_sql(

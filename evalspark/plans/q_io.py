@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark import fixtures as fx
+from evalspark.config import PHASE1_EXPERIMENT_TASKS, PHASE1_MODEL_PREFIXES, PROMPT_TRUNCATE_CHARS
 from evalspark.functions.text import short_model
 from evalspark.operators import matrix as B
 from evalspark.operators import scoring as I
+from evalspark.operators.prepare import format_samples
 from evalspark.oracle import H, with_fixtures
 from evalspark.plans.benchmark import fixture_matrix
 from evalspark.plans.catalog import register
 from evalspark.plans.q_core import MATRIX_CTES
 from evalspark.schemas import MATRIX_SCHEMA
-from evalspark.session import read_table, scratch_path, spread
+from evalspark.session import read_table, scratch_path
 from evalspark.sources import datasets as S3
 from evalspark.sources import results_csv as CSV
 from evalspark.sources import runs as RS
@@ -45,17 +47,47 @@ def s2_labelled_text_file(spark, sf):
 
 
 # ---------------------------------------------------------------- S3
-def _registry(sf):
-    return {"doc_language": {"path": f"{sf}/documents.parquet", "input_col": "text", "label_col": "lang",
-                             "id_col": "doc_id"}}
+def _storage(sf):
+    """Documents stand for the tasks' data: one table (split 80/10/10), or a train and a test table
+    (validation carved out of train)."""
+    one = {"path": f"{sf}/documents.parquet", "input_col": "text", "label_col": "lang", "id_col": "doc_id"}
+    two = {"paths": {"train": f"{sf}/documents.parquet", "test": f"{sf}/conversations.parquet"}, "input_col": "text",
+           "label_col": "lang", "id_col": "doc_id"}
+    return {"doc_language": one, "financial_sentiment": one, "classification": two}
 
 
 @register("s3_load_task_dataset", "SELECT doc_id, lang, length(text)::int AS n_chars FROM documents")
 def s3_load_task_dataset(spark, sf):
-    df, cfg = S3.load_task_dataset(spark, "doc_language", _registry(sf))
+    df, cfg = S3.load_task_dataset(spark, "doc_language", _storage(sf))
     return df.select("doc_id", F.col(cfg["label_col"]).alias("lang"), F.length(cfg["input_col"]).alias("n_chars"))
 
 
+_S3_B1 = H("concat('42', ':', cast(doc_id AS varchar))") + " % 10000"
+_S3_B2 = H("concat('42:2', ':', cast(doc_id AS varchar))") + " % 10000"
+_S3_PROMPTS = {
+    "financial_sentiment": ("'Classify the sentiment of this financial statement (negative / neutral / positive):'", "'Sentiment:'"),
+    "classification": ("'Classify this news article into exactly one category (World / Sports / Business / Technology):'", "'Category:'")}
+
+
+def _register_split(task, split, where):
+    head, tail = _S3_PROMPTS[task]
+
+    @register(f"s3_{task}_{split}", f"""SELECT doc_id, concat({head}, chr(10), substr(text, 1, 400), chr(10), {tail}) AS prompt,
+        lang AS completion FROM documents WHERE {where}""")
+    def query(spark, sf):
+        """S3 + P1/P2 + P8: the split of a task's data, as prompts of its template."""
+        df, cfg = S3.load_task_dataset(spark, task, _storage(sf), split)
+        out = format_samples(df, cfg["prompt_template"], cfg["input_col"], F.col(cfg["label_col"]), PROMPT_TRUNCATE_CHARS)
+        return out.select("doc_id", "prompt", "completion")
+
+
+_register_split("financial_sentiment", "train", f"{_S3_B1} < 8000")
+_register_split("financial_sentiment", "validation", f"{_S3_B1} >= 8000 AND {_S3_B1} < 9000")
+_register_split("financial_sentiment", "test", f"{_S3_B1} >= 9000")
+_register_split("classification", "train", f"{_S3_B2} < 9000")
+_register_split("classification", "validation", f"{_S3_B2} >= 9000")
+
+
 # ---------------------------------------------------------------- S4-S7: run store
 def _write_store(spark, sf):
     r = fx.runs(spark, sf)
@@ -106,7 +138,7 @@ def s5_union_stores(spark, sf):
 # ---------------------------------------------------------------- I1-I4
 def _prompts(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    return spread(d)
+    return d
 
 
 _FIRST = r"string_split_regex(regexp_replace(prompt, '^\s+', ''), '\s+')[1]"
@@ -205,3 +237,32 @@ def b8_matrix_from_run_store(spark, sf):
     store = RS.read_runs(spark, _write_store(spark, sf)).drop("store")
     wide = fx.runs_wide(spark, sf, experiment_cols=("task",))
     return compile_matrix(store, wide, fx.API_PREFIXES, experiment_cols=("task",), accuracy_key=fx.API_TASK_METRIC)
+
+
+# ---------------------------------------------------------------- B1 by registry
+_REG_EXPERIMENTS = ["ag_news_baseline", "conll2003_baseline", "cnn_dailymail_baseline", "other_baseline", "humaneval_baseline"]
+_REG_SQL = """WITH e AS (SELECT md5(cast(event_id AS varchar)) AS run_id, ts, value,
+         (['ag_news_baseline', 'conll2003_baseline', 'cnn_dailymail_baseline', 'other_baseline', 'humaneval_baseline'])[cast(user_id % 5 AS int) + 1] AS experiment
+         FROM events),
+     w AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY ts DESC, run_id) AS rn FROM e),
+     r AS (SELECT *, CASE experiment WHEN 'ag_news_baseline' THEN 'classification' WHEN 'conll2003_baseline' THEN 'ner'
+               WHEN 'cnn_dailymail_baseline' THEN 'summarization' WHEN 'humaneval_baseline' THEN 'code_generation' END AS task
+           FROM w WHERE rn = 1 AND experiment <> 'other_baseline')
+    SELECT m.model, r.task, 'API' AS method, r.value / m.d AS accuracy, round(r.value / 100 * 1000, 2) AS latency_ms,
+        m.price AS cost_per_1m_tokens, 'high' AS privacy_risk, CAST(NULL AS double) AS roi_breakeven_tokens
+    FROM r CROSS JOIN (VALUES ('gpt-4o', 10.0::double, 1), ('claude-haiku-4-5', 3.0::double, 2)) AS m(model, price, d)"""
+
+
+@register("b1_registry_rows", _REG_SQL)
+def b1_registry_rows(spark, sf):
+    """B1 with the wide-run registry: registered experiments only, each by its own accuracy metric."""
+    ev = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    name = F.element_at(F.array(*[F.lit(x) for x in _REG_EXPERIMENTS]), (F.col("user_id") % 5 + 1).cast("int"))
+    metric = F.element_at(F.array(*[F.lit(PHASE1_EXPERIMENT_TASKS.get(x, ("", "accuracy"))[1]) for x in _REG_EXPERIMENTS]),
+                          (F.col("user_id") % 5 + 1).cast("int"))
+    value = F.col("value")
+    metrics = F.create_map(F.concat(F.lit("openai_"), metric), value, F.concat(F.lit("anthropic_"), metric), value / 2,
+                           F.lit("openai_avg_latency_s"), value / 100, F.lit("anthropic_avg_latency_s"), value / 100)
+    runs = ev.select(F.md5(F.col("event_id").cast("string")).alias("run_id"), F.col("ts").alias("start_time"),
+                     name.alias("experiment"), metrics.alias("metrics"))
+    return B.registry_rows(runs, PHASE1_EXPERIMENT_TASKS, PHASE1_MODEL_PREFIXES)

@@ -14,9 +14,11 @@ from evalspark.operators import metrics as M
 from evalspark.operators import prepare as P
 from evalspark.operators import rouge as R
 from evalspark.operators import stats as T
-from evalspark.oracle import H, with_fixtures
+from evalspark.oracle import H, exact_mean_sql, lcs_sql, stem_ctes, with_fixtures
+from evalspark.plans.benchmark import fixture_matrix
 from evalspark.plans.catalog import register, round_report
-from evalspark.session import read_table, spread
+from evalspark.plans.q_core import matrix_sql
+from evalspark.session import read_table
 
 NL = "\n"
 WS = r"'^\s+|\s+$'"
@@ -155,12 +157,28 @@ def p11_ngram_overlap(spark, sf):
     return P.ngram_overlap(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"), n=8)
 
 
-@register("p11_exact_copies", r"""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b
-    ON sha256(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g'))) = sha256(trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')))""")
+_COPIES = r"""SELECT d.doc_id, count(*) AS n_items FROM documents d JOIN {items} b
+    ON sha256(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g'))) = sha256(trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')))
+    GROUP BY d.doc_id"""
+
+
+@register("p11_exact_copies", _COPIES.format(items="benchmark"))
 def p11_exact_copies(spark, sf):
     return P.exact_overlap(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
 
 
+@register("p11_copies_of_turns", """WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), k AS (SELECT doc_id,
+        sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key FROM documents UNION ALL SELECT doc_id,
+        sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) FROM t), n AS (SELECT key, count(*) AS n_items FROM k GROUP BY key)
+    SELECT doc_id, n_items FROM k JOIN n USING (key)""")
+def p11_copies_of_turns(spark, sf):
+    """Exact copies within one collection (documents and single turns): every text with the size
+    of its group of copies."""
+    turns = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    texts = read_table(spark, sf, "documents").select("doc_id", "text").unionByName(turns)
+    return P.exact_overlap(texts, texts, item_id="doc_id")
+
+
 @register("p12_chat_format", """SELECT conv_id, string_agg(concat('<|', role, '|>', text, '<|end|>'), '' ORDER BY turn) AS chat,
         count(*)::int AS n_turns FROM conversations GROUP BY conv_id""")
 def p12_chat_format(spark, sf):
@@ -248,7 +266,7 @@ def n6_bio_spans_rowwise(spark, sf):
 
 def _truth_sets(spark, sf):
     """Per turn: N6 spans -> entity dict {type: [surface]} -> N7 flat set."""
-    t = spread(fx.ner_tokens(spark, sf)).select("conv_id", "turn", bio_spans("tokens", "tags").alias("spans"))
+    t = fx.ner_tokens(spark, sf).select("conv_id", "turn", bio_spans("tokens", "tags").alias("spans"))
     spans = F.col("spans")  # projected once: referenced once per entity type below
 
     def of_type(k):
@@ -352,7 +370,7 @@ _TF3 = "SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
 
 
 def _token_f1(spark, sf):
-    p = spread(fx.pairs(spark, sf))
+    p = fx.pairs(spark, sf)
     return M.token_f1_scores(p, token_set("reference"), token_set("prediction"), keep=["conv_id", "turn"])
 
 
@@ -407,23 +425,36 @@ def m3c_rouge1_mean(spark, sf):
     return round_report(g, ["mean_f"])
 
 
-@register("m3b_rouge_l")
+_RL_TOK = ("rlt", f"SELECT conv_id, turn, {_RTOK.format(x='reference')} AS r, {_RTOK.format(x='prediction')} AS p FROM pairs")
+_RL_STEM = [
+    ("rlw", "SELECT DISTINCT unnest(r || p) AS tok FROM rlt"), *stem_ctes("rlw"),
+    ("rlu", """SELECT conv_id, turn, 'r' AS side, unnest(r) AS tok, generate_subscripts(r, 1) AS i FROM rlt
+               UNION ALL SELECT conv_id, turn, 'p', unnest(p), generate_subscripts(p, 1) FROM rlt"""),
+    ("rls", """SELECT conv_id, turn, coalesce(list(stem ORDER BY i) FILTER (WHERE side = 'r'), []) AS r,
+               coalesce(list(stem ORDER BY i) FILTER (WHERE side = 'p'), []) AS p FROM rlu JOIN stems USING (tok) GROUP BY conv_id, turn"""),
+    ("rlj", "SELECT t.conv_id, t.turn, coalesce(s.r, []) AS r, coalesce(s.p, []) AS p FROM rlt t LEFT JOIN rls s USING (conv_id, turn)")]
+
+
+def _rouge_l_ctes(stemmed: bool) -> list:
+    source = "rlj" if stemmed else "rlt"
+    return [_RL_TOK, *(_RL_STEM if stemmed else []),
+            ("rll", f"SELECT conv_id, turn, len(r) AS nr, len(p) AS np, ({lcs_sql('r', 'p')})::int AS lcs FROM {source}"),
+            ("rlp", """SELECT conv_id, turn, lcs, CASE WHEN nr > 0 AND np > 0 THEN lcs / np ELSE 0.0 END AS precision,
+                CASE WHEN nr > 0 AND np > 0 THEN lcs / nr ELSE 0.0 END AS recall FROM rll"""),
+            ("rlf", """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f
+                FROM rlp""")]
+
+
+@register("m3b_rouge_l", with_fixtures("SELECT * FROM rlf", "pairs", extra=_rouge_l_ctes(False)))
 def m3b_rouge_l(spark, sf):
     return R.rouge_l(fx.pairs(spark, sf), ["conv_id", "turn"])
 
 
-@register("m3b_rouge_l_stemmed")
+@register("m3b_rouge_l_stemmed", with_fixtures("SELECT * FROM rlf", "pairs", extra=_rouge_l_ctes(True)))
 def m3b_rouge_l_stemmed(spark, sf):
     return R.rouge_l(fx.pairs(spark, sf), ["conv_id", "turn"], stem=True)
 
 
-@register("m3d_stem_vocabulary")
-def m3d_stem_vocabulary(spark, sf):
-    p = fx.pairs(spark, sf)
-    toks = p.select(F.concat(R.rouge_tokens("reference"), R.rouge_tokens("prediction")).alias("t"))
-    return R.stem_vocabulary(toks, "t")
-
-
 # ---------------------------------------------------------------- M6, M7, M10, M18 (generations)
 _PAK = """SELECT model, k, round(avg(pak), 6) AS pass_at_k, count(pak) AS n_problems FROM (
         SELECT model, k, CASE WHEN n < k THEN NULL WHEN n - c < k THEN 1.0
@@ -487,9 +518,43 @@ def t1_paired_t(spark, sf):
                         ["slm_mean_accuracy", "llm_mean_accuracy", "mean_difference", "sd_difference", "t_statistic"])
 
 
-@register("t2_t3_p_values")
+def _t_stats_sql(pairs: str) -> list:
+    """CTEs (name, sql) ending in ``tpv``: statistics with a two-sided p-value as a finite sum."""
+    odd = "list_sum(list_transform(range(0, greatest((df - 1) // 2, 0)), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda i: 2.0::double * i / (2 * i + 1) * c2)), 1.0)))"
+    even = "list_sum(list_transform(range(0, df // 2), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda i: (2.0::double * i - 1) / (2 * i) * c2)), 1.0)))"
+    return [
+        ("tst", f"""SELECT slm, llm_baseline, avg(slm_score) AS slm_mean_accuracy, avg(llm_score) AS llm_mean_accuracy,
+            avg(slm_score - llm_score) AS mean_difference, stddev_samp(slm_score - llm_score) AS sd_difference, count(*) AS n_pairs
+            FROM {pairs} GROUP BY slm, llm_baseline"""),
+        ("tsv", "SELECT *, mean_difference / nullif(sd_difference / sqrt(n_pairs), 0) AS t_statistic, n_pairs - 1 AS df FROM tst"),
+        ("tsa", "SELECT *, atan(abs(t_statistic) / sqrt(df)) AS a, pow(cos(atan(abs(t_statistic) / sqrt(df))), 2) AS c2 FROM tsv"),
+        ("tpv", f"""SELECT *, CASE WHEN t_statistic IS NULL OR df < 1 THEN NULL
+            WHEN df % 2 = 1 THEN 1 - 2 / pi() * (a + coalesce(sin(a) * cos(a) * {odd}, 0)) ELSE 1 - sin(a) * {even} END AS p_value FROM tsa""")]
+
+
+_STATS = ["slm_mean_accuracy", "llm_mean_accuracy", "mean_difference", "sd_difference", "t_statistic", "p_value"]
+
+
+@register("t2_t3_p_values", with_fixtures(
+    f"""SELECT slm, llm_baseline, {", ".join(f"round({c}, 6) AS {c}" for c in _STATS)}, n_pairs,
+        p_value < 0.05 AS significant_at_0_05 FROM tpv""", "paired", extra=[("tp", _T_PAIRS), *_t_stats_sql("tp")]))
 def t2_t3_p_values(spark, sf):
-    return T.paired_t(fx.paired(spark, sf), _is_cand(), with_p=True)
+    return round_report(T.paired_t(fx.paired(spark, sf), _is_cand(), with_p=True), _STATS)
+
+
+_SIG_PAIRS = """SELECT c.model AS slm, b.model AS llm_baseline, c.x AS slm_score, b.x AS llm_score
+    FROM (SELECT model, task, avg(accuracy) AS x FROM matrix WHERE model NOT IN ('gpt-4o', 'gemini-2.5-flash') GROUP BY 1, 2) c
+    JOIN (SELECT model, task, avg(accuracy) AS x FROM matrix WHERE model IN ('gpt-4o', 'gemini-2.5-flash') GROUP BY 1, 2) b USING (task)
+    WHERE c.x IS NOT NULL AND b.x IS NOT NULL"""
+
+
+@register("t_significance_table", matrix_sql(
+    f"""SELECT slm, llm_baseline, {", ".join(f"round({c}, 4) AS {c}" for c in _STATS if c != "sd_difference")},
+        p_value < 0.05 AS "significant_at_0.05", n_pairs::int AS n_pairs FROM tpv""",
+    extra=[("sigp", _SIG_PAIRS), *_t_stats_sql("sigp")]))
+def t_significance_table(spark, sf):
+    """B8 -> T1-T3: the compiled matrix as the nine-column significance table, unit = task."""
+    return T.significance_table(fixture_matrix(spark, sf), ~F.col("model").isin("gpt-4o", "gemini-2.5-flash"))
 
 
 # ---------------------------------------------------------------- M17 across tasks
@@ -504,48 +569,88 @@ def _lat_sql(model_sql, id_sql):
     return f"cast(100 + {H(f'concat(' + chr(39) + 'lat' + chr(39) + f', {model_sql}, cast({id_sql} AS varchar))')} % 12000 AS double) / 1000"
 
 
-_MT_ROWS = f"""SELECT model, 'classification' AS task,
+_NER_MODEL = "concat('fmt', cast(turn % 4 AS varchar))"
+_NER_LAT = _lat_sql(_NER_MODEL, "conv_id * 100 + turn")
+_SUM_MODEL = "concat('m', cast(conv_id % 3 AS varchar))"
+_MT_ROWS = f"""SELECT model, 'classification' AS task, 'label_match' AS match_mode,
         CASE WHEN coalesce(list_filter(['bad', 'good'], lambda l: contains(lower(prediction), lower(l)))[1], 'bad') = true_label
-             THEN 1.0 ELSE 0.0 END AS score, latency_s FROM predictions
-    UNION ALL SELECT concat('fmt', cast(turn % 4 AS varchar)) AS model, 'ner' AS task, f1 AS score,
-        {_lat_sql("concat('fmt', cast(turn % 4 AS varchar))", "conv_id * 100 + turn")} AS latency_s FROM scored
-    UNION ALL SELECT concat('m', cast(conv_id % 3 AS varchar)) AS model, 'summarization' AS task, f AS score,
-        {_lat_sql("concat('m', cast(conv_id % 3 AS varchar))", "conv_id * 100 + turn")} AS latency_s FROM rs
-    UNION ALL SELECT model, 'code_generation' AS task, passed::double AS score,
-        {_lat_sql("model", "sample_id")} AS latency_s FROM generations WHERE config = 'greedy'"""
+             THEN 1.0::double ELSE 0.0::double END AS score, latency_s FROM predictions
+    UNION ALL SELECT {_NER_MODEL}, 'ner', 'entity', f1::double, {_NER_LAT} FROM scored
+    UNION ALL SELECT {_NER_MODEL}, 'ner', 'token_set', f1::double, {_NER_LAT} FROM ntf3
+    UNION ALL SELECT {_SUM_MODEL}, 'summarization', 'rouge_l_stemmed', f::double, {_lat_sql(_SUM_MODEL, "conv_id * 100 + turn")} FROM rlf
+    UNION ALL SELECT model, 'code_generation', 'pass_at_1', c::double / n, lat FROM (
+        SELECT model, problem_id, count(*) AS n, sum(passed) AS c, min({_lat_sql("model", "sample_id")}) AS lat
+        FROM generations WHERE config = 'sampled' GROUP BY model, problem_id) z"""
+_NTF = [("ntf", f"""SELECT t.conv_id, t.turn, {_TS.format(x="array_to_string(list_sort(t.truth), ' ')")} AS t,
+            {_TS.format(x="coalesce(r.response, '')")} AS p FROM truth t LEFT JOIN ner_pred r USING (conv_id, turn)"""),
+        ("ntf1", "SELECT *, len(list_intersect(t, p)) AS tp FROM ntf"),
+        ("ntf2", """SELECT conv_id, turn, CASE WHEN len(t) > 0 THEN CASE WHEN len(p) > 0 THEN tp / len(p) ELSE 0.0 END END AS precision,
+            CASE WHEN len(t) > 0 THEN tp / len(t) END AS recall FROM ntf1"""),
+        ("ntf3", "SELECT *, CASE WHEN recall IS NULL THEN NULL WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM ntf2")]
 _MT_SC = [
     ("allrows", _MT_ROWS),
-    ("g", """SELECT model, task, count(*) AS n_samples, round(avg(score), 4) AS accuracy,
-        round(avg(latency_s) * 1000, 2) AS latency_ms FROM allrows GROUP BY model, task"""),
+    ("g", f"""SELECT model, task, match_mode, count(*) AS n_samples, {exact_mean_sql("score", 10 ** 9, 4)} AS accuracy,
+        {exact_mean_sql("latency_s * 1000", 10 ** 3, 2)} AS latency_ms FROM allrows GROUP BY model, task, match_mode"""),
     ("t", """SELECT *, CASE task WHEN 'classification' THEN 32 WHEN 'financial_sentiment' THEN 32 WHEN 'ner' THEN 64
         WHEN 'summarization' THEN 128 WHEN 'code_generation' THEN 256 END / (latency_ms / 1000) AS tokens_per_second FROM g"""),
     ("c", "SELECT *, round(2.5 / (tokens_per_second * 3600) * 1e6, 4) AS cost_per_1m_tokens FROM t"),
 ]
+_MT_CTES = _rouge_l_ctes(True) + _ENT_CTES + _NTF + _MT_SC
+
+
+def _multitask_scorecard(spark, sf):
+    """One plan, every task scored by its own metric (``match_mode``), then one scorecard.
+    A conversation's turn is scored in both NER modes from one row."""
+    from evalspark.plans.scorecard import classification_scores, scorecard
+
+    cls = classification_scores(fx.predictions(spark, sf), fx.PRED_LABELS).select(
+        "model", "task", F.lit("label_match").alias("match_mode"), "score", "latency_s")
+    ner_model = F.concat(F.lit("fmt"), (F.col("turn") % 4).cast("string"))
+    truth = _truth_sets(spark, sf).select("conv_id", "turn", "truth")
+    pred = fx.ner_pred(spark, sf).select("conv_id", "turn", "response", parse_entities("response").alias("pred"))
+    both = truth.join(pred, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "truth", F.coalesce("pred", F.array().cast("array<string>")).alias("pred"),
+        token_set(F.array_join(F.array_sort("truth"), " ")).alias("tt"), token_set(F.coalesce("response", F.lit(""))).alias("pt"))
+    modes = [M.entity_prf_scores(both, "truth", "pred", keep=["conv_id", "turn"]).withColumn("match_mode", F.lit("entity")),
+             M.token_f1_scores(both, "tt", "pt", keep=["conv_id", "turn"], drop_empty=False).withColumn("match_mode", F.lit("token_set"))]
+    ner = modes[0].unionByName(modes[1]).select(
+        ner_model.alias("model"), F.lit("ner").alias("task"), "match_mode", F.col("f1").alias("score"),
+        _lat(ner_model, F.col("conv_id") * 100 + F.col("turn")).alias("latency_s"))
+    sm_model = F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"))
+    summ = R.rouge_l(fx.pairs(spark, sf), ["conv_id", "turn"], stem=True).select(
+        sm_model.alias("model"), F.lit("summarization").alias("task"), F.lit("rouge_l_stemmed").alias("match_mode"),
+        F.col("f").alias("score"), _lat(sm_model, F.col("conv_id") * 100 + F.col("turn")).alias("latency_s"))
+    gen = fx.generations(spark, sf).filter(F.col("config") == "sampled").withColumn("lat", _lat(F.col("model"), F.col("sample_id")))
+    code = gen.groupBy("model", "problem_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("passed").alias("c"), F.min("lat").alias("latency_s"))
+    code = code.select("model", F.lit("code_generation").alias("task"), F.lit("pass_at_1").alias("match_mode"),
+                       (F.col("c").cast("double") / F.col("n")).alias("score"), "latency_s")
+    return scorecard(cls.unionByName(ner).unionByName(summ).unionByName(code), by=("model", "task", "match_mode"))
 
 
 @register("m17_multitask_scorecard", with_fixtures(
-    """SELECT model, task, n_samples, accuracy, latency_ms, tokens_per_second, cost_per_1m_tokens, 'low' AS privacy_risk,
+    """SELECT model, task, match_mode, n_samples, accuracy, latency_ms, tokens_per_second, cost_per_1m_tokens, 'low' AS privacy_risk,
         CASE WHEN 10.0 - cost_per_1m_tokens <= 0 THEN 'inf'::double
              ELSE round(0.0 / (10.0 - cost_per_1m_tokens) * 1e6, 0) END AS roi_breakeven_tokens
-    FROM c""", "predictions", "generations", "pairs", "ner_pred", extra=_rouge_sql(1) + _ENT_CTES + _MT_SC))
+    FROM c""", "predictions", "generations", "pairs", "ner_pred", extra=_MT_CTES))
 def m17_multitask_scorecard(spark, sf):
-    """One plan, every task scored by its own metric, then one scorecard."""
-    from evalspark.plans.scorecard import classification_scores, scorecard
+    return _multitask_scorecard(spark, sf)
 
-    cls = classification_scores(fx.predictions(spark, sf), fx.PRED_LABELS) \
-        .select("model", "task", "score", "latency_s")
-    ner_model = F.concat(F.lit("fmt"), (F.col("turn") % 4).cast("string"))
-    ner = _entity_scores(spark, sf).select(ner_model.alias("model"), F.lit("ner").alias("task"),
-                                           F.col("f1").alias("score"),
-                                           _lat(ner_model, F.col("conv_id") * 100 + F.col("turn")).alias("latency_s"))
-    sm_model = F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"))
-    summ = R.rouge_n(fx.pairs(spark, sf), ["conv_id", "turn"], n=1).select(
-        sm_model.alias("model"), F.lit("summarization").alias("task"), F.col("f").alias("score"),
-        _lat(sm_model, F.col("conv_id") * 100 + F.col("turn")).alias("latency_s"))
-    code = fx.generations(spark, sf).filter(F.col("config") == "greedy").select(
-        "model", F.lit("code_generation").alias("task"), F.col("passed").cast("double").alias("score"),
-        _lat(F.col("model"), F.col("sample_id")).alias("latency_s"))
-    return scorecard(cls.unionByName(ner).unionByName(summ).unionByName(code))
+
+@register("s7_scorecard_to_matrix", with_fixtures(
+    """SELECT regexp_replace(model, '^.*/', '') AS model, task, 'API' AS method, accuracy, latency_ms, cost_per_1m_tokens,
+        'low' AS privacy_risk, CASE WHEN 10.0 - cost_per_1m_tokens <= 0 THEN 'inf'::double
+             ELSE round(0.0 / (10.0 - cost_per_1m_tokens) * 1e6, 0) END AS roi_breakeven_tokens
+    FROM c WHERE match_mode <> 'entity'""", "predictions", "generations", "pairs", "ner_pred", extra=_MT_CTES))
+def s7_scorecard_to_matrix(spark, sf):
+    """Scorecard -> benchmark records (S7) -> matrix."""
+    from evalspark.operators.matrix import compile_matrix
+    from evalspark.plans.scorecard import benchmark_records
+
+    card = _multitask_scorecard(spark, sf).filter(F.col("match_mode") != "entity")
+    runs = benchmark_records(card, "phase2_evaluation", F.sha2(F.concat_ws("/", "model", "task"), 256),
+                             F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    return compile_matrix(runs, None, {})
 
 
 # ---------------------------------------------------------------- T1 at item level

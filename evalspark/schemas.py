@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType,
-    BooleanType,
     DoubleType,
-    IntegerType,
-    LongType,
     MapType,
     StringType,
     StructField,
@@ -22,20 +18,6 @@ MATRIX_SCHEMA = StructType([
     StructField("roi_breakeven_tokens", DoubleType()),
 ])
 
-SIGNIFICANCE_SCHEMA = StructType([
-    StructField("slm", StringType()), StructField("llm_baseline", StringType()),
-    StructField("slm_mean_accuracy", DoubleType()), StructField("llm_mean_accuracy", DoubleType()),
-    StructField("mean_difference", DoubleType()), StructField("t_statistic", DoubleType()),
-    StructField("p_value", DoubleType()), StructField("significant_at_0.05", BooleanType()),
-    StructField("n_pairs", IntegerType()),
-])
-
-SCENARIO_SCHEMA = StructType([
-    StructField("scenario", StringType()), StructField("task", StringType()),
-    StructField("monthly_volume", LongType()), StructField("min_accuracy", DoubleType()),
-    StructField("privacy_required", BooleanType()),
-])
-
 RUN_SCHEMA = StructType([
     StructField("run_id", StringType()), StructField("experiment", StringType()),
     StructField("start_time", TimestampType()),
@@ -43,13 +25,3 @@ RUN_SCHEMA = StructType([
     StructField("params", MapType(StringType(), StringType())),
     StructField("metrics", MapType(StringType(), DoubleType())),
 ])
-
-PREDICTION_SCHEMA = StructType([
-    StructField("task", StringType()), StructField("model", StringType()), StructField("sample_id", LongType()),
-    StructField("reference", StringType()), StructField("prediction", StringType()),
-    StructField("latency_s", DoubleType()),
-])
-
-NER_SCHEMA = StructType([
-    StructField("tokens", ArrayType(StringType())), StructField("ner_tags", ArrayType(IntegerType())),
-])

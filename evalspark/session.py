@@ -40,22 +40,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    Only when the session names none (local tests) do we pick one ourselves.
-    """
+    """The shared checkpoint folder that the cluster names (``spark.checkpoint.dir``).  Where none
+    is named, a folder in the warehouse, which executors share as well - never a local one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
-                               "(scratch tables and streaming checkpoints are written there)")
-        import tempfile
-
-        configured = tempfile.mkdtemp(prefix="evalspark-ckpt-")  # local mode only (tests)
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -75,18 +68,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, max_input_partitions: int = 8) -> DataFrame:
-    """Round-robin repartition a *small* input that arrives in very few partitions (e.g. one
-    file with one row group) before CPU-heavy per-row work, so one task is not the bottleneck.
-
-    Only inputs with at most ``max_input_partitions`` partitions are touched - a handful of
-    row groups, cheap to shuffle.  A table that already arrives in many splits is left alone
-    even when the cluster has more task slots: shuffling a large table only to raise
-    parallelism costs more than it saves."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n <= max_input_partitions and n < want:
-        return df.repartition(want)
-    return df

@@ -16,9 +16,23 @@ LATENCY_SUFFIXES = ("_latency_s", "_latency")
 
 
 def read_wide_log(spark: SparkSession, path: str) -> DataFrame:
-    """S1 for logs: header CSV read as strings (schemas differ by generation; typed later)."""
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    """S1 for logs: header CSV read as strings (schemas differ by generation; typed later).
+
+    Every file's header is read first; the files of one header are one generation, read by that
+    header and united by name, with NULL where a generation lacks a column.  (Multi-line values
+    keep a file in one task; write logs in many files.)"""
+    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    generations: dict[tuple, list] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        generations.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    logs = [reader.schema(", ".join(f"`{c}` string" for c in header)).csv(files) for header, files in generations.items() if header]
+    if not logs:
+        raise ValueError(f"no log with a header under {path}")
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log, allowMissingColumns=True)
+    return out
 
 
 def write_wide_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -27,11 +41,10 @@ def write_wide_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def _first_present(cols, prefix, suffixes):
-    for s in suffixes:
-        if prefix + s in cols:
-            return prefix + s
-    return None
+def _present(cols, prefix, suffixes):
+    """The provider's column under whichever names the generations gave it."""
+    found = [F.col(prefix + s) for s in suffixes if prefix + s in cols]
+    return F.coalesce(*found) if found else None
 
 
 def wide_to_long_predictions(log: DataFrame, providers: dict, id_cols=("sample_id",),
@@ -42,15 +55,15 @@ def wide_to_long_predictions(log: DataFrame, providers: dict, id_cols=("sample_i
     cols = set(log.columns)
     parts = []
     for prefix, model in providers.items():
-        pred = _first_present(cols, prefix, PRED_SUFFIXES)
+        pred = _present(cols, prefix, PRED_SUFFIXES)
         if pred is None:
             continue
-        lat = _first_present(cols, prefix, LATENCY_SUFFIXES)
+        lat = _present(cols, prefix, LATENCY_SUFFIXES)
         cor = prefix + "_correct" if prefix + "_correct" in cols else None
         parts.append(F.struct(
             F.lit(model).alias("model"),
-            F.col(pred).cast("string").alias("prediction"),
-            (F.col(lat).cast("double") if lat else F.lit(None).cast("double")).alias("latency_s"),
+            pred.cast("string").alias("prediction"),
+            (lat.cast("double") if lat is not None else F.lit(None).cast("double")).alias("latency_s"),
             (F.col(cor).cast("int") if cor else F.lit(None).cast("int")).alias("correct")))
     if not parts:
         raise ValueError(f"no provider columns found for {sorted(providers)}")

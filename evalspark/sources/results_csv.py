@@ -25,11 +25,3 @@ def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite", single_
      .option("positiveInf", "inf").option("negativeInf", "-inf").option("nanValue", "nan")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
-
-
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=()) -> None:
-    """Default sink."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)

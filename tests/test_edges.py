@@ -21,7 +21,7 @@ def test_latest_run_tie_broken_by_run_id(spark):
          (0, "2023-01-01 00:00:00", "m", "t", 0.0)],
         "run_id long, start_time string, model string, task string, accuracy double",
     ).withColumn("start_time", F.to_timestamp("start_time"))
-    for method in ("max_by", "window"):
+    for method in ("min_by", "window"):
         r = B.latest(df, ["model", "task"], method=method).collect()
         assert len(r) == 1 and r[0]["run_id"] == 1, method
 
@@ -44,16 +44,17 @@ def test_bio_spans_all_o_and_empty(spark):
 ])
 def test_entity_prf(spark, truth, pred, expect):
     df = spark.createDataFrame([(truth, pred)], "t array<string>, p array<string>")
-    r = df.select(M.entity_prf("t", "p").alias("s")).collect()[0]["s"]
+    r = M.entity_prf_scores(df, "t", "p").collect()[0]
     assert (r.precision, r.recall) == pytest.approx(expect[:2]) and r.f1 == pytest.approx(expect[2])
 
 
 def test_token_f1_skips_empty_truth_and_zero_precision_for_empty_pred(spark):
     df = spark.createDataFrame([("", "a b"), ("a b", ""), ("A b", "a c")], "t string, p string")
-    r = df.select(M.token_f1(token_set("t"), token_set("p")).alias("s")).collect()
-    assert r[0]["s"] is None
-    assert (r[1]["s"].precision, r[1]["s"].f1) == (0.0, 0.0)
-    assert r[2]["s"].f1 == pytest.approx(0.5)
+    r = M.token_f1_scores(df, token_set("t"), token_set("p"), keep=["t"], drop_empty=False).collect()
+    assert r[0].f1 is None and r[0].precision is None
+    assert (r[1].precision, r[1].f1) == (0.0, 0.0)
+    assert r[2].f1 == pytest.approx(0.5)
+    assert M.token_f1_scores(df, token_set("t"), token_set("p")).count() == 2
 
 
 @pytest.mark.parametrize("n,c,k,expect", [(10, 0, 10, 0.0), (10, 1, 10, 1.0), (10, 3, 1, 0.3),

@@ -130,7 +130,7 @@ def test_asof_recommendation_equals_join_form(spark, sf):
     from evalspark.plans.benchmark import fixture_matrix
 
     m = fixture_matrix(spark, sf)
-    sc = fx.scenarios(spark)
+    sc = fx.scenarios(spark, sf)
     extra = spark.createDataFrame([("z0", "click", 0, 0.1, False), ("z1", "view", -5, 0.2, True),
                                    ("z2", "error", None, 0.3, False), ("z3", "signup", 7, 0.0, True)],
                                   sc.schema)
