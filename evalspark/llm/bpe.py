@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,8 +139,14 @@ def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, id_col: str =
     return rows.mapInArrow(run, f"id {kind}, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+def _slices(batch: pa.RecordBatch, letters: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about so much text each (a longer text stands alone)."""
+    low, held = 0, 0
+    for i, size in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+        held += size or 0
+        if held >= letters or i == batch.num_rows - 1:
+            yield batch.slice(low, i + 1 - low)
+            low, held = i + 1, 0
 
 
 def decode(encoded: DataFrame, vocabulary: list[bytes], ids_col: str = "token_ids",

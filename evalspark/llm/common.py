@@ -6,6 +6,7 @@ another, two independent 64-bit values are compared (128 bits)."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,10 +36,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back: cuts lineage, and a
-    lost executor costs no recomputation of what stands before."""
-    path = scratch_path(df.sparkSession, name)
+    lost executor costs no recomputation of what stands before.  The shuffle files behind it are
+    not needed any more; Spark deletes them once the driver has collected its garbage, which is
+    asked for here, as a driver with a quiet heap would let them pile up."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def to_bytes(column: pa.Array) -> list[bytes | None]:
