@@ -17,11 +17,9 @@ def read_results_csv(spark: SparkSession, path: str, schema: StructType = MATRIX
             .option("mode", "FAILFAST").csv(path))
 
 
-def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
-    """Header CSV; ``inf`` written as ``inf`` so ``read_results_csv`` round-trips it.
-    ``single_file`` coalesces to one part - only for small report tables."""
-    out = df.coalesce(1) if single_file else df
-    (out.write.mode(mode).option("header", True)
+def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Header CSV; ``inf`` written as ``inf`` so ``read_results_csv`` round-trips it."""
+    (df.write.mode(mode).option("header", True)
      .option("positiveInf", "inf").option("negativeInf", "-inf").option("nanValue", "nan")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
