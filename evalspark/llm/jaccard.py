@@ -45,6 +45,8 @@ COUNTERS = 1 << 20
 BLOCKS = 64
 #: Classes in one chunk of a tile.
 CHUNK_ROWS = 2000
+#: 64-bit words of bitmaps gathered at a time.
+TILE_WORDS = 200_000
 #: Members of one star that are verified in one task.
 STAR_ROWS = 1000
 
@@ -279,7 +281,9 @@ def _tiles(rows: DataFrame, classes: DataFrame, percent: int, chunk_rows: int) -
                 ok &= mine[x, None] != mine
             p, q = np.nonzero(ok)
             p += k
-            ok = may_link(bits[p], n[p], bits[q], n[q], percent)
+            step = max(1, TILE_WORDS // width)  # bitmaps of so many pairs are compared at a time
+            ok = np.concatenate([may_link(bits[p[i: i + step]], n[p[i: i + step]], bits[q[i: i + step]], n[q[i: i + step]], percent)
+                                 for i in range(0, max(1, len(p)), step)])
             p, q = p[ok], q[ok]
             here = np.array([min(tokens[i] & tokens[j]) == key[0] for i, j in zip(p.tolist(), q.tolist(), strict=True)], bool)
             yield rep[p[here]], rep[q[here]]
