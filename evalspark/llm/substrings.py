@@ -217,15 +217,17 @@ def repeated_spans(docs: DataFrame, window: int = 50, prefix: int = PREFIX, grou
     if (large := reps.where(F.col("n_classes") > group_rows)).limit(1).count():
         repeats = repeats.unionByName(_long_prefixes(scratch(_stretches(rows, large, window), "large"), window))
 
-    every = F.explode(F.concat(F.array("start"), F.coalesce("more", F.expr("array()")))).alias("start")
-    copies = found.where("doc > smallest").select("doc", "n_windows", every)
-    copies = copies.select("doc", "start", (F.col("start") + F.col("n_windows")).alias("end"))
-    own = own.select("prefix", "stretch", "doc", every)
-    others = own.join(repeats, ["prefix", "stretch"]).select(
-        "doc", (F.col("start") + F.col("first")).alias("start"),
-        (F.col("start") + F.col("first") + F.col("n")).alias("end"))
-    return copies.unionByName(others).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(
-        "start", (F.col("end") + (window - 1)).alias("end")))).alias("spans"))
+    # a document's places of one stretch stay one row; spans are arrays until they meet by document
+    places = F.concat(F.array("start"), F.coalesce("more", F.expr("array()")))
+
+    def spans(first: F.Column, n: F.Column) -> F.Column:
+        return F.transform("places", lambda s: F.struct(
+            (s + first).alias("start"), (s + first + n + (window - 1)).alias("end"))).alias("spans")
+
+    copies = found.where("doc > smallest").withColumn("places", places).select("doc", spans(F.lit(0), F.col("n_windows")))
+    own = own.select("prefix", "stretch", "doc", places.alias("places"))
+    others = own.join(repeats, ["prefix", "stretch"]).select("doc", spans(F.col("first"), F.col("n")))
+    return copies.unionByName(others).groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text",
