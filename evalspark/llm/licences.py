@@ -2,8 +2,10 @@
 
 A text is cut into sentences, which are normalised (lower case, runs of other characters than
 letters, digits, dots and plus signs are one space).  Normalised sentences that are known become
-identifiers, runs of others one ``?``.  Ordered licence rules, each a sequence of identifiers,
-are then matched against the sequence; what a rule has matched is taken out before the next.
+identifiers, runs of others one ``?``.  A known sentence whose original words hold a sentence end
+('License, v. 2.0') stands in several pieces, which become one identifier.  Ordered licence
+rules, each a sequence of identifiers, are then matched against the sequence; what a rule has
+matched is taken out before the next.
 
 Defined results: NULL and empty texts have no sentences and no licences; a licence found several
 times is named once, in the order of the rules; rows with equal ids count each; texts of any
@@ -11,6 +13,8 @@ length are read whole; other columns play no part."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +63,18 @@ SENTENCES = {
     "all-rights": "all rights reserved",
 }
 
+_GPL = ("This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation{1} either version 3 of the License, or (at your option) any "
+        "later version.")
+
+# The original words of known sentences that hold sentence ends themselves.
+ORIGINALS = {
+    "gpl-free": [_GPL.format(a, b) for a in ":;" for b in ",;"],
+    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+                 "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+}
+
 # Licences and the identifier sequences that mean them, longer ones first.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
@@ -93,6 +109,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SENTENCE_END = "[.!?;:]+[ \t\r\n]"
 _OTHER = "[^a-z0-9.+\n]+"
 _BETWEEN = " ?\n[ \n]*"
+#: Between the words of one sentence of a text that is being searched.
+_GAP = " "
 
 
 def sentences(text: str = "text") -> F.Column:
@@ -102,6 +120,39 @@ def sentences(text: str = "text") -> F.Column:
     return F.filter(F.split(F.ltrim(t), _BETWEEN), lambda s: s != "")
 
 
+def _breaks(text: str) -> F.Column:
+    """A text, normalised, with a form feed for each sentence end and one line feed for each other
+    line break."""
+    t = F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
+    t = F.regexp_replace(F.translate(t, _UPPER + "\f", _LOWER + " "), _SENTENCE_END, "\f")
+    t = F.regexp_replace(t, "[^a-z0-9.+\n\f]+", " ")
+    return F.regexp_replace(F.regexp_replace(t, "[ \n]*\f[ \n\f]*", "\f"), "[ \n]*\n[ \n]*", "\n")
+
+
+def _searched(name: str, sentence: str) -> list[tuple[str, str]]:
+    """(words, pattern) of a known sentence in a text with breaks: the sentence ends are those of the original."""
+    cuts = []
+    for original in ORIGINALS[name] if name in ORIGINALS and sentence == SENTENCES[name] else []:
+        cut = re.sub("[^a-z0-9.+\n]+", " ", re.sub(_SENTENCE_END, "\n", original.lower() + "\n"))
+        cuts.append(re.sub(_BETWEEN, "\f", cut).strip("\f "))
+    return [(cut.replace("\f", " "), "(?<=[\n\f])" + "\f".join(_GAP.join(map(re.escape, x.split(" "))) for x in cut.split("\f")) +
+             "(?=[\n\f])") for cut in dict.fromkeys(cuts or [sentence])]
+
+
+def hits(known: dict[str, str]) -> F.Column:
+    """What to look for in a text of such ``words``: known sentences that stand there."""
+    search = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w"), F.lit(p).alias("p"))
+                       for name, s in sorted(known.items(), key=lambda x: -len(x[1])) for w, p in _searched(name, s)])
+    return F.filter(search, lambda k: F.contains(F.col("words"), k["w"]))
+
+
+def whole(text: str) -> F.Column:
+    """The sentences ``found`` in a text, but known ones that stand there in several pieces as one."""
+    joined = F.aggregate("hits", _breaks(text), lambda t, k: F.regexp_replace(t, k["p"], k["s"]))
+    pieces = F.filter(F.split(joined, "[\n\f]+"), lambda s: ~s.isin("", " "))
+    return F.when(F.size("hits") > 0, pieces).otherwise(F.col("found"))
+
+
 def identifiers(found: F.Column, known: dict[str, str]) -> F.Column:
     """Sentence identifiers as text, ``<id><id>``; runs of unknown sentences are one ``<?>``."""
     by_sentence = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, f"<{name}>")])
@@ -113,8 +164,9 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES
          text_col: str = "text") -> DataFrame:
     """(id, n_sentences, n_known, sequence, licences, n_unmatched): sequence of identifiers, the
     licences found (comma-joined), and the number of known sentences that no rule took."""
-    rows = docs.select(F.col(id_col), sentences(text_col).alias("found"))
-    rows = rows.select(id_col, F.size("found").cast("long").alias("n_sentences"), identifiers(F.col("found"), known).alias("sequence"))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), sentences(text_col).alias("found"))
+    rows = rows.withColumn("words", F.array_join("found", " ")).withColumn("hits", hits(known))
+    rows = rows.select(id_col, F.size("found").cast("long").alias("n_sentences"), identifiers(whole("text"), known).alias("sequence"))
     patterns = F.array(*[F.struct(F.lit("".join(f"<{i}>" for i in ids)).alias("p"), F.lit(name).alias("name")) for name, ids in rules])
     start = F.struct(F.col("sequence").alias("rest"), F.expr("cast(array() as array<string>)").alias("names"))
 

@@ -41,3 +41,48 @@ def test_awkward_rows(awkward):
 
 def test_empty_table(nothing):
     assert lic.scan(nothing).collect() == []
+
+
+NOTICES = [
+    ("MIT", MIT + AS_IS), ("MIT", MIT), ("MIT", MIT.split("\n\n")[0]), ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
+            "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+            "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                   "compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                         "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                         "or (at your option) any later version.\n\nThis program is distributed in the hope that it will be "
+                         "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR "
+                         "A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-3.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                         "General Public License as published by the Free Software Foundation; either version 3 of the License, "
+                         "or (at your option) any later version."),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "Released under CC0 1.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.")]
+
+
+def test_every_rule_finds_its_original_notice(spark):
+    assert {name for name, _ in NOTICES} == {name for name, _ in lic.RULES}
+    got = scan(spark, [f"Some prose.\n\n{text}\n\nMore prose." for _, text in NOTICES])
+    assert [got[i]["licences"] for i in range(len(NOTICES))] == [name for name, _ in NOTICES]
+    known = [got[i]["n_unmatched"] for i in range(len(NOTICES))]
+    assert not any(known) and got[8]["sequence"] == "<?><gpl-free><gpl-hope><?>"
+
+
+def test_pieces_of_a_sentence_alone_are_unknown(spark):
+    got = scan(spark, ["This program is free software. 2.0.", "Mozilla Public License, v. 2.0", "2.0\nwithout even the implied"])
+    assert all(r["n_known"] == 0 and r["licences"] == "" for r in got.values())
