@@ -3,9 +3,10 @@
 A text is cut into sentences, which are normalised (lower case, runs of other characters than
 letters, digits, dots and plus signs are one space).  Normalised sentences that are known become
 identifiers, runs of others one ``?``.  A known sentence whose original words hold a sentence end
-('License, v. 2.0') stands in several pieces, which become one identifier.  Ordered licence
-rules, each a sequence of identifiers, are then matched against the sequence; what a rule has
-matched is taken out before the next.
+('License, v. 2.0') stands in several pieces, which become one identifier; so do the lines of a known sentence that is
+wrapped, with or without comment marks (blank lines end sentences).  Ordered licence rules, each a
+sequence of identifiers, are then matched against the sequence; what a rule has matched is taken
+out before the next.  ``n_sentences`` counts the pieces between sentence ends and line ends.
 
 Defined results: NULL and empty texts have no sentences and no licences; a licence found several
 times is named once, in the order of the rules; rows with equal ids count each; texts of any
@@ -110,7 +111,11 @@ _SENTENCE_END = "[.!?;:]+[ \t\r\n]"
 _OTHER = "[^a-z0-9.+\n]+"
 _BETWEEN = " ?\n[ \n]*"
 #: Between the words of one sentence of a text that is being searched.
-_GAP = " "
+_GAP = "[ \n]"
+#: Every known sentence holds one of these, or else its longest word is looked for; texts without any are not searched.
+_ANCHORS = ("licen", "software", "warranty", "redistribution", "released", "reserved")
+#: What stands before the first word of a line (comment marks), and lines without words.
+_MARKS = "(?dm)^[^a-z0-9.+\n]*(?:(?:rem|dnl)[ \t\r]*)?$|^[^a-z0-9\n]*(?:(?:rem|dnl)[ \t][^a-z0-9\n]*)?(?=[a-z0-9])"
 
 
 def sentences(text: str = "text") -> F.Column:
@@ -121,12 +126,13 @@ def sentences(text: str = "text") -> F.Column:
 
 
 def _breaks(text: str) -> F.Column:
-    """A text, normalised, with a form feed for each sentence end and one line feed for each other
-    line break."""
+    """A text, normalised and without comment marks, with a form feed for each sentence end and blank
+    line and one line feed for each other line break."""
     t = F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
-    t = F.regexp_replace(F.translate(t, _UPPER + "\f", _LOWER + " "), _SENTENCE_END, "\f")
+    t = F.regexp_replace(F.translate(t, _UPPER + "\f", _LOWER + " "), _MARKS, "")
+    t = F.regexp_replace(F.regexp_replace(t, _SENTENCE_END, "\f"), "\n\n+", "\f")
     t = F.regexp_replace(t, "[^a-z0-9.+\n\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(t, "[ \n]*\f[ \n\f]*", "\f"), "[ \n]*\n[ \n]*", "\n")
+    return F.regexp_replace(F.regexp_replace(t, "[ \n]*\f[ \n\f]*", "\f"), " ?\n ?", "\n")
 
 
 def _searched(name: str, sentence: str) -> list[tuple[str, str]]:
@@ -139,6 +145,20 @@ def _searched(name: str, sentence: str) -> list[tuple[str, str]]:
              "(?=[\n\f])") for cut in dict.fromkeys(cuts or [sentence])]
 
 
+def _near(known: dict[str, str]) -> F.Column:
+    """Whether a text of such ``lines`` can hold a known sentence."""
+    anchors = {next((a for a in _ANCHORS if a in w), max(w.split(" "), key=len)) for name, s in known.items() for w, _ in _searched(name, s)}
+    return F.exists(F.array(*map(F.lit, sorted(anchors))), lambda a: F.contains(F.col("lines"), a))
+
+
+def _words() -> F.Column:
+    """All ``lines`` as one, without comment marks at their starts."""
+    t = F.concat(F.lit("\n"), F.col("lines"))
+    for mark in (". ", "rem ", "dnl "):
+        t = F.replace(t, F.lit(f"\n{mark}"), F.lit("\n"))
+    return F.translate(t, "\n", " ")
+
+
 def hits(known: dict[str, str]) -> F.Column:
     """What to look for in a text of such ``words``: known sentences that stand there."""
     search = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w"), F.lit(p).alias("p"))
@@ -165,7 +185,8 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES
     """(id, n_sentences, n_known, sequence, licences, n_unmatched): sequence of identifiers, the
     licences found (comma-joined), and the number of known sentences that no rule took."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), sentences(text_col).alias("found"))
-    rows = rows.withColumn("words", F.array_join("found", " ")).withColumn("hits", hits(known))
+    rows = rows.withColumn("lines", F.array_join("found", "\n"))
+    rows = rows.withColumn("words", F.when(_near(known), _words()).otherwise("")).withColumn("hits", hits(known))
     rows = rows.select(id_col, F.size("found").cast("long").alias("n_sentences"), identifiers(whole("text"), known).alias("sequence"))
     patterns = F.array(*[F.struct(F.lit("".join(f"<{i}>" for i in ids)).alias("p"), F.lit(name).alias("name")) for name, ids in rules])
     start = F.struct(F.col("sequence").alias("rest"), F.expr("cast(array() as array<string>)").alias("names"))

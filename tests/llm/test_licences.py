@@ -1,3 +1,7 @@
+import textwrap
+
+import pytest
+
 from evalspark.llm import licences as lic
 
 MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -86,3 +90,25 @@ def test_every_rule_finds_its_original_notice(spark):
 def test_pieces_of_a_sentence_alone_are_unknown(spark):
     got = scan(spark, ["This program is free software. 2.0.", "Mozilla Public License, v. 2.0", "2.0\nwithout even the implied"])
     assert all(r["n_known"] == 0 and r["licences"] == "" for r in got.values())
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; ", "! ", "-- ", "dnl ", "REM ", ".\\\" ", "    "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_notices(spark, mark, end):
+    texts = []
+    for width in (72, 40):
+        for _, text in NOTICES:
+            lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""]]
+            texts.append(end.join((mark + line).rstrip() for line in ["Copyright 2020 Somebody", *lines, "int main() {"]))
+    got = scan(spark, texts)
+    assert [got[i]["licences"] for i in range(len(texts))] == 2 * [name for name, _ in NOTICES]
+
+
+def test_lines_and_paragraphs(spark):
+    got = scan(spark, [
+        "Some heading\nReleased under the MIT License\nmore words", "Released under\n\nthe MIT License", "Released under\nthe MIT License too",
+        "Not released under\nthe MIT License", "All rights\nreserved\nLicensed under CC\nBY 4.0", "Licensed under the Apache License, Version 2.0\n"
+        "(the \"License\");", "/*\n * Licensed under the MIT\n * License.   */\nReleased under. The MIT License"])
+    assert [got[i]["licences"] for i in range(7)] == ["MIT", "", "", "", "CC-BY-4.0", "Apache-2.0", "MIT"]
+    assert [got[i]["n_sentences"] for i in range(7)] == [3, 2, 2, 2, 4, 2, 4]
+    assert got[4]["sequence"] == "<all-rights><cc-by>" and got[0]["sequence"] == "<?><mit-released><?>" and got[5]["sequence"] == "<apache-2-the>"
