@@ -7,7 +7,9 @@ query's, so probing the buckets that near retrieves every code within r; those a
 the exact Euclidean distance of the original vectors in double precision.
 
 The radius is measured: for a bounded number of queries the true neighbours are found by brute
-force over all rows, and r is the given quantile of their Hamming distances (``reach``).
+force over all rows, and r is the given quantile of their Hamming distances (``reach``).  Queries
+with fewer than k rows within r are searched again with a growing radius, up to the code's length,
+which covers every row; so each query gets k rows, or all there are.
 
 The index is a written table of segments, each a block of rows with the buckets of every
 substring.  Queries go against all segments in blocks of bounded size; each segment returns its
@@ -202,9 +204,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, reach: float =
     found = None
     for i in range(blocks):
         ids, x = arrays(wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else wanted)
-        if len(ids):
-            part = _search(index, ids, x, codes, k, radius)
+        near = radius
+        while len(ids):
+            part = scratch(_search(index, ids, x, codes, k, near), "neighbours")
+            short = np.zeros(len(ids), bool)
+            if near < codes.map.shape[1]:  # a radius of the code's length covers every row
+                full = {r["query_id"] for r in part.groupBy("query_id").count().where(F.col("count") >= k).collect()}
+                short = np.array([i not in full for i in ids.tolist()])
+            if short.any():
+                again = spark.createDataFrame([(i,) for i in ids[short].tolist()], "query_id long")
+                part = part.join(again, "query_id", "left_anti")
             found = part if found is None else found.unionByName(part)
+            ids, x, near = ids[short], x[short], min(2 * near + 1, codes.map.shape[1])
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

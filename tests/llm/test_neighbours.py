@@ -79,3 +79,17 @@ def test_copies_of_one_vector(spark):
     frame = spark.createDataFrame([(i, [1.0, float(i % 2), 0.0]) for i in range(300)], "vec_id long, embedding array<double>")
     got = by_query(neighbours.nearest(frame, frame.where("vec_id % 100 = 0"), segment_rows=64))
     assert [i for _, i in got[100]] == list(range(0, 20, 2)) and [i for _, i in got[0]] == list(range(2, 22, 2))
+
+
+def test_queries_far_from_all_rows_get_their_k(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    x = [c + 0.001 * rng.normal(size=32) for c in centres for _ in range(30)] + list(3 * rng.normal(size=(8, 32)))
+    ids = [*range(1, 1201), *range(9000, 9800, 100)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = by_query(neighbours.nearest(frame, frame.where("vec_id % 100 = 0"), segment_rows=300, block_queries=7))
+    assert {q: len(found) for q, found in got.items()} == {i: 10 for i in ids if i % 100 == 0}
+    few = frame.where("vec_id % 150 = 0 OR vec_id >= 9000")
+    got, rest = by_query(neighbours.nearest(few, few, k=40)), few.count() - 1
+    assert len(got) == rest + 1 and all(len(found) == rest for found in got.values())
