@@ -212,3 +212,46 @@ def always_failing_predictor():
         raise TimeoutError("model unavailable")
 
     return predict
+
+
+def first_word_predictor():
+    """First whitespace token of each prompt."""
+    return lambda prompts: [(p.split() or [""])[0] for p in prompts]
+
+
+def length_predictor():
+    """The number of letters of each prompt."""
+    return lambda prompts: [str(len(p)) for p in prompts]
+
+
+def impatient_predictor():
+    """First words, but a call within 25 ms of this worker's last one is refused."""
+    import time
+
+    from evalspark.operators.pacing import Refused
+
+    last, words = [0.0], first_word_predictor()
+
+    def predict(prompts):
+        now = time.time()
+        early, last[0] = now - last[0] < 0.025, now
+        if early:
+            raise Refused("too many calls")
+        return words(prompts)
+
+    return predict
+
+
+def refusing_predictor():
+    """First words; the calls that ``flaky_first_word_predictor`` fails are refused for 0.2 s."""
+    from evalspark.operators.pacing import Refused
+
+    flaky = flaky_first_word_predictor()
+
+    def predict(prompts):
+        try:
+            return flaky(prompts)
+        except RuntimeError as e:
+            raise Refused(str(e), retry_after=0.2) from e
+
+    return predict

@@ -111,6 +111,17 @@ def greedy_pass(df: DataFrame, by=("model",), passed: str = "passed",
         F.count(F.lit(1)).alias("n"))
 
 
+def problem_scores(df: DataFrame, by=("model",), problem: str = "problem_id", passed: str = "passed",
+                   latency_s: str = "latency_s") -> DataFrame:
+    """Per (group, problem): pass@1 over its solutions (c / n) and the mean latency of one solution.
+    Latencies are summed as whole microseconds, so no order of rows changes a digit."""
+    micros = F.floor(F.col(latency_s) * F.lit(1e6) + F.lit(0.5)).cast("decimal(20,0)")
+    g = df.groupBy(*by, problem).agg(F.count(F.lit(1)).alias("n"), F.sum(passed).alias("c"),
+                                     F.sum(micros).cast("double").alias("_us"), F.count(latency_s).alias("_timed"))
+    return g.select(*by, problem, (F.col("c").cast("double") / F.col("n")).alias("score"),
+                    (F.try_divide(F.col("_us"), F.col("_timed")) / F.lit(1e6)).alias("latency_s"))
+
+
 # --- M8 / M9 / M10 -------------------------------------------------------------------------
 
 def latency_profile(df: DataFrame, latency: str = "latency_s", sample: str = "sample_id",

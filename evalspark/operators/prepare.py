@@ -149,16 +149,42 @@ def _gram_keys(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return g.select(id_col, F.xxhash64(*cols).alias("k1"), F.hash(*cols).alias("k2"))
 
 
+def key_filter(keys: DataFrame, bits: int) -> Column:
+    """A bitmap of ``2 ** bits`` bits with two bits per key (k1, k2), as a scalar array of longs.
+    Tasks merge it word by word (a partial ``bit_or``), so its size never depends on the keys."""
+    places = keys.select(F.explode(F.array(*[_place(k, bits) for k in ("k1", "k2")])).alias("p"))
+    held = places.groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) AS int))")).alias("set"))
+    every = keys.sparkSession.range(2 ** bits // 64).select(F.col("id").cast("int").alias("word"))
+    dense = every.join(held, "word", "left").select("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "set"))), lambda x: x["set"]).alias("f")).scalar()
+
+
+def _place(key: str, bits: int) -> Column:
+    return F.col(key).cast("long").bitwiseAND(F.lit(2 ** bits - 1))
+
+
+def may_hold(found: Column, bits: int) -> Column:
+    """Whether both bits of (k1, k2) are set in a ``key_filter``."""
+    def bit(key: str) -> Column:
+        place = _place(key, bits)
+        return F.getbit(F.get(found, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
+
+    return bit("k1") & bit("k2")
+
+
 def ngram_overlap(docs: DataFrame, bench: DataFrame, n: int = 8, doc_id: str = "doc_id",
-                  item_id: str = "item_id", text: str = "text") -> DataFrame:
+                  item_id: str = "item_id", text: str = "text", filter_bits: int = 24) -> DataFrame:
     """P11 (passage overlap): documents sharing at least one word n-gram with a benchmark item,
     with the number of distinct items and distinct shared n-grams.
 
-    The join carries no hint: AQE broadcasts the benchmark's keys when their bytes allow it
-    (the usual case: an evaluation suite), which makes it a map-side filter of the documents'
-    n-grams.  Only (id, key) pairs ever reach the exchange, never text."""
+    A bitmap of the benchmark's keys (``2 ** filter_bits`` bits, 2 MB) drops almost all n-grams of
+    the documents inside the scan stage; only candidates reach the join, whether AQE broadcasts
+    the benchmark's keys or shuffles both sides.  Text never reaches an exchange.  The bitmap
+    only saves work: raise its size with the benchmark (16 bits a key leave one in 60)."""
     bk = _gram_keys(bench, item_id, text, n).distinct()
     dk = _gram_keys(docs.select(doc_id, text), doc_id, text, n)
+    dk = dk.where(may_hold(key_filter(bk.select("k1", "k2"), filter_bits), filter_bits))
     j = dk.join(bk, ["k1", "k2"])
     return j.groupBy(doc_id).agg(F.count_distinct(item_id).alias("n_items"),
                                  F.count_distinct("k1", "k2").alias("n_shared_ngrams"))

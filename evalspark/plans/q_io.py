@@ -8,7 +8,9 @@ from evalspark import fixtures as fx
 from evalspark.config import PHASE1_EXPERIMENT_TASKS, PHASE1_MODEL_PREFIXES, PROMPT_TRUNCATE_CHARS
 from evalspark.functions.text import short_model
 from evalspark.operators import matrix as B
+from evalspark.operators import progress as PG
 from evalspark.operators import scoring as I
+from evalspark.operators.pacing import AT_ONCE, RateLimit, Retry
 from evalspark.operators.prepare import format_samples
 from evalspark.oracle import H, with_fixtures
 from evalspark.plans.benchmark import fixture_matrix
@@ -125,6 +127,27 @@ def s4_search_runs(spark, sf):
                     F.col("metrics")["accuracy"].alias("accuracy"))
 
 
+_TOP_RUNS = """SELECT run_id, task AS experiment, model, accuracy FROM (SELECT *, row_number() OVER ({over}
+        ORDER BY accuracy DESC NULLS LAST, run_id) AS place FROM runs WHERE {where}) q WHERE place <= {n}"""
+
+
+def _searched(found):
+    return found.select("run_id", "experiment", F.col("tags")["model"].alias("model"), F.col("metrics")["accuracy"].alias("accuracy"))
+
+
+@register("s4_top_runs", with_fixtures(_TOP_RUNS.format(over="", where="task IN ('click', 'view') AND phase = 'phase2_benchmark'", n=25), "runs"))
+def s4_top_runs(spark, sf):
+    """Search with an order and a limit over the chosen experiments together."""
+    return _searched(RS.search_runs(spark, _write_store(spark, sf), experiments=["click", "view"], phase="phase2_benchmark",
+                                    order_by=["metrics.accuracy DESC"], max_results=25))
+
+
+@register("s4_top_runs_per_experiment", with_fixtures(_TOP_RUNS.format(over="PARTITION BY task", where="true", n=5), "runs"))
+def s4_top_runs_per_experiment(spark, sf):
+    return _searched(RS.search_runs(spark, _write_store(spark, sf), order_by=["metrics.accuracy DESC"], max_results=5,
+                                    per_experiment=True))
+
+
 @register("s5_union_stores", with_fixtures(
     "SELECT run_id, store, model, CASE WHEN store = 0 THEN NULL ELSE privacy_risk END AS privacy_risk FROM runs",
     "runs"))
@@ -149,17 +172,48 @@ _I1 = f"""SELECT doc_id, {_FIRST} AS prediction,
 
 @register("i1_score", _I1)
 def i1_score(spark, sf):
-    s = I.score(_prompts(spark, sf), fx.flaky_first_word_predictor, keep=["doc_id"])
+    s = I.score(_prompts(spark, sf), fx.flaky_first_word_predictor, keep=["doc_id"], retry=AT_ONCE)
     return s.select("doc_id", "prediction", "attempts", "status")
 
 
 @register("i1_score_failures", """SELECT doc_id, 'error' AS prediction, 3 AS attempts, 'error' AS status,
     'TimeoutError: model unavailable' AS error FROM documents""")
 def i1_score_failures(spark, sf):
-    s = I.score(_prompts(spark, sf), fx.always_failing_predictor, keep=["doc_id"], batch_mode=True)
+    s = I.score(_prompts(spark, sf), fx.always_failing_predictor, keep=["doc_id"], batch_mode=True, retry=AT_ONCE)
     return s.select("doc_id", "prediction", "attempts", "status", "error")
 
 
+@register("i1_rate_limited", f"""SELECT doc_id, {_FIRST} AS prediction, 1 AS attempts, 'ok' AS status
+    FROM (SELECT doc_id, text AS prompt FROM documents) q""")
+def i1_rate_limited(spark, sf):
+    """A provider that refuses calls in quick succession refuses none under its rate limit."""
+    s = I.score(_prompts(spark, sf), fx.impatient_predictor, keep=["doc_id"], batch_mode=True, rate=RateLimit(calls_per_s=20.0))
+    return s.select("doc_id", "prediction", "attempts", "status")
+
+
+@register("i1_refusals_waited", f"""SELECT doc_id, {_FIRST} AS prediction,
+        CASE WHEN {H('prompt')} % 17 = 0 THEN 2 ELSE 1 END AS attempts, 'ok' AS status
+    FROM (SELECT doc_id, text AS prompt FROM documents) q""")
+def i1_refusals_waited(spark, sf):
+    """Refusals name a wait of 0.2 s, which is kept before the next attempt."""
+    s = I.score(_prompts(spark, sf), fx.refusing_predictor, keep=["doc_id"], retry=Retry(wait_s=0.0))
+    return s.select("doc_id", "prediction", "attempts", "status")
+
+
+_TWO_RUNS = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_FIRST} ELSE cast(length(prompt) AS varchar) END AS prediction,
+    1 AS attempts, 'ok' AS status FROM (SELECT doc_id, text AS prompt FROM documents) q"""
+
+
+@register("i2_durable_chunks", _TWO_RUNS)
+def i2_durable_chunks(spark, sf):
+    """A job over half of the samples, then one over all with another model: what the first has
+    committed stays, chunk by chunk."""
+    folder, prompts = scratch_path(spark, "chunks"), _prompts(spark, sf)
+    PG.score_durably(prompts.filter(F.col("doc_id") % 2 == 0), fx.first_word_predictor, "doc_id", folder, keep=["doc_id"])
+    scored = PG.score_durably(prompts, fx.length_predictor, "doc_id", folder, keep=["doc_id"])
+    return scored.select("doc_id", "prediction", "attempts", "status")
+
+
 @register("i2_resume", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = d.doc_id AND x.doc_id % 2 = 0)")
 def i2_resume(spark, sf):
     prompts = _prompts(spark, sf)
@@ -204,9 +258,24 @@ def st1_incremental_scoring(spark, sf):
     schema = prompts.schema
     # first delivery: even ids; run; second delivery: odd ids; run again (only new files scored)
     prompts.filter(F.col("doc_id") % 2 == 0).write.mode("append").parquet(src)
-    run_incremental(spark, src, schema, sink, ckpt, fx.flaky_first_word_predictor, keep=["doc_id"])
+    run_incremental(spark, src, schema, sink, ckpt, fx.flaky_first_word_predictor, keep=["doc_id"], retry=AT_ONCE)
     prompts.filter(F.col("doc_id") % 2 == 1).write.mode("append").parquet(src)
-    run_incremental(spark, src, schema, sink, ckpt, fx.flaky_first_word_predictor, keep=["doc_id"])
+    run_incremental(spark, src, schema, sink, ckpt, fx.flaky_first_word_predictor, keep=["doc_id"], retry=AT_ONCE)
+    return read_scored(spark, sink).select("doc_id", "prediction", "attempts", "status")
+
+
+@register("st1_redelivery", _TWO_RUNS)
+def st1_redelivery(spark, sf):
+    """Samples delivered again (in one delivery and in a later one) keep their first score."""
+    from evalspark.streaming.incremental import read_scored, run_incremental
+
+    src, sink, ckpt = (scratch_path(spark, x) for x in ("st1-src", "st1-sink", "st1-ckpt"))
+    prompts = _prompts(spark, sf)
+    even = prompts.filter(F.col("doc_id") % 2 == 0)
+    for delivery, predictor in (([even, even], fx.first_word_predictor), ([prompts, even], fx.length_predictor)):
+        for part in delivery:
+            part.write.mode("append").parquet(src)
+        run_incremental(spark, src, prompts.schema, sink, ckpt, predictor, keep=["doc_id"], key="doc_id", retry=AT_ONCE)
     return read_scored(spark, sink).select("doc_id", "prediction", "attempts", "status")
 
 

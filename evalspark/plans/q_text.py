@@ -10,6 +10,7 @@ from evalspark.config import ENTITY_TYPES
 from evalspark.functions.entities import bio_spans, entity_set, parse_entities
 from evalspark.functions.labels import label_name
 from evalspark.functions.text import clean_code, cut_at_stop, token_set, truncate
+from evalspark.operators import chat as C
 from evalspark.operators import metrics as M
 from evalspark.operators import prepare as P
 from evalspark.operators import rouge as R
@@ -193,6 +194,33 @@ def p12_chat_segments(spark, sf):
     return P.chat_segments(read_table(spark, sf, "conversations"))
 
 
+_HEAD = """concat('<|begin_of_text|><|start_header_id|>system<|end_header_id|>', chr(10), chr(10), 'Cutting Knowledge Date: December 2023',
+    chr(10), 'Today Date: 26 Jul 2024', chr(10), chr(10), {system}, '<|eot_id|>')"""
+_HEADER_IDS = rf"""WITH n AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations),
+    s AS (SELECT conv_id, turn, concat(
+            CASE WHEN k = 1 AND role = 'system' THEN {_HEAD.format(system="body")} WHEN k = 1 THEN {_HEAD.format(system="''")} ELSE '' END,
+            CASE WHEN k = 1 AND role = 'system' THEN ''
+                 ELSE concat('<|start_header_id|>', role, '<|end_header_id|>', chr(10), chr(10), body, '<|eot_id|>') END,
+            CASE WHEN k = m THEN concat('<|start_header_id|>assistant<|end_header_id|>', chr(10), chr(10)) ELSE '' END) AS segment FROM n)
+    SELECT conv_id, turn, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS offset, segment FROM s"""
+
+
+@register("p12_header_template", _HEADER_IDS)
+def p12_header_template(spark, sf):
+    return C.render_segments(read_table(spark, sf, "conversations"), C.HEADER_IDS, add_generation_prompt=True)
+
+
+@register("p12_role_template", """SELECT conv_id, turn,
+        coalesce(sum(length(seg)) OVER (PARTITION BY conv_id ORDER BY turn
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS offset,
+        concat(seg, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN '<|assistant|>' ELSE '' END) AS segment
+    FROM (SELECT conv_id, turn, concat('<|', role, '|>', text, '<|end|>') AS seg FROM conversations) q""")
+def p12_role_template(spark, sf):
+    return C.render_segments(read_table(spark, sf, "conversations"), C.ROLE_MARKS, add_generation_prompt=True)
+
+
 # ---------------------------------------------------------------- N3, N4 (generated code)
 _STOPS_SQL = "list_min([" + ", ".join(
     f"nullif(instr(code, {s}), 0)" for s in
@@ -579,7 +607,7 @@ _MT_ROWS = f"""SELECT model, 'classification' AS task, 'label_match' AS match_mo
     UNION ALL SELECT {_NER_MODEL}, 'ner', 'token_set', f1::double, {_NER_LAT} FROM ntf3
     UNION ALL SELECT {_SUM_MODEL}, 'summarization', 'rouge_l_stemmed', f::double, {_lat_sql(_SUM_MODEL, "conv_id * 100 + turn")} FROM rlf
     UNION ALL SELECT model, 'code_generation', 'pass_at_1', c::double / n, lat FROM (
-        SELECT model, problem_id, count(*) AS n, sum(passed) AS c, min({_lat_sql("model", "sample_id")}) AS lat
+        SELECT model, problem_id, count(*) AS n, sum(passed) AS c, cast(sum(cast(floor({_lat_sql("model", "sample_id")} * 1e6 + 0.5) AS hugeint)) AS double) / count(*) / 1e6 AS lat
         FROM generations WHERE config = 'sampled' GROUP BY model, problem_id) z"""
 _NTF = [("ntf", f"""SELECT t.conv_id, t.turn, {_TS.format(x="array_to_string(list_sort(t.truth), ' ')")} AS t,
             {_TS.format(x="coalesce(r.response, '')")} AS p FROM truth t LEFT JOIN ner_pred r USING (conv_id, turn)"""),
@@ -598,10 +626,10 @@ _MT_SC = [
 _MT_CTES = _rouge_l_ctes(True) + _ENT_CTES + _NTF + _MT_SC
 
 
-def _multitask_scorecard(spark, sf):
-    """One plan, every task scored by its own metric (``match_mode``), then one scorecard.
-    A conversation's turn is scored in both NER modes from one row."""
-    from evalspark.plans.scorecard import classification_scores, scorecard
+def _multitask_scores(spark, sf):
+    """One plan, every task scored by its own metric (``match_mode``).  A conversation's turn
+    is scored in both NER modes from one row."""
+    from evalspark.plans.scorecard import classification_scores
 
     cls = classification_scores(fx.predictions(spark, sf), fx.PRED_LABELS).select(
         "model", "task", F.lit("label_match").alias("match_mode"), "score", "latency_s")
@@ -620,12 +648,16 @@ def _multitask_scorecard(spark, sf):
     summ = R.rouge_l(fx.pairs(spark, sf), ["conv_id", "turn"], stem=True).select(
         sm_model.alias("model"), F.lit("summarization").alias("task"), F.lit("rouge_l_stemmed").alias("match_mode"),
         F.col("f").alias("score"), _lat(sm_model, F.col("conv_id") * 100 + F.col("turn")).alias("latency_s"))
-    gen = fx.generations(spark, sf).filter(F.col("config") == "sampled").withColumn("lat", _lat(F.col("model"), F.col("sample_id")))
-    code = gen.groupBy("model", "problem_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("passed").alias("c"), F.min("lat").alias("latency_s"))
-    code = code.select("model", F.lit("code_generation").alias("task"), F.lit("pass_at_1").alias("match_mode"),
-                       (F.col("c").cast("double") / F.col("n")).alias("score"), "latency_s")
-    return scorecard(cls.unionByName(ner).unionByName(summ).unionByName(code), by=("model", "task", "match_mode"))
+    gen = fx.generations(spark, sf).filter(F.col("config") == "sampled").withColumn("latency_s", _lat(F.col("model"), F.col("sample_id")))
+    code = M.problem_scores(gen).select("model", F.lit("code_generation").alias("task"), F.lit("pass_at_1").alias("match_mode"),
+                                        "score", "latency_s")
+    return cls.unionByName(ner).unionByName(summ).unionByName(code)
+
+
+def _multitask_scorecard(spark, sf):
+    from evalspark.plans.scorecard import scorecard
+
+    return scorecard(_multitask_scores(spark, sf), by=("model", "task", "match_mode"))
 
 
 @register("m17_multitask_scorecard", with_fixtures(
@@ -637,6 +669,19 @@ def m17_multitask_scorecard(spark, sf):
     return _multitask_scorecard(spark, sf)
 
 
+@register("m17_scorecard_levels", with_fixtures(
+    f"""SELECT CASE WHEN grouping(model) = 0 AND grouping(task) = 0 THEN 'model, task' WHEN grouping(model) = 0 THEN 'model'
+            WHEN grouping(task) = 0 THEN 'task' ELSE 'total' END AS level, model, task, count(*) AS n_samples,
+        {exact_mean_sql("score", 10 ** 9, 4)} AS accuracy, {exact_mean_sql("latency_s * 1000", 10 ** 3, 2)} AS latency_ms
+    FROM allrows WHERE match_mode <> 'entity' GROUP BY GROUPING SETS ((model, task), (model), (task), ())""",
+    "predictions", "generations", "pairs", "ner_pred", extra=_MT_CTES))
+def m17_scorecard_levels(spark, sf):
+    """M17 over levels: model and task, each alone, and all rows, from one aggregate."""
+    from evalspark.plans.scorecard import scorecard_levels
+
+    return scorecard_levels(_multitask_scores(spark, sf).filter(F.col("match_mode") != "entity"))
+
+
 @register("s7_scorecard_to_matrix", with_fixtures(
     """SELECT regexp_replace(model, '^.*/', '') AS model, task, 'API' AS method, accuracy, latency_ms, cost_per_1m_tokens,
         'low' AS privacy_risk, CASE WHEN 10.0 - cost_per_1m_tokens <= 0 THEN 'inf'::double

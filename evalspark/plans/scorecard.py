@@ -59,6 +59,20 @@ def scorecard(scored: DataFrame, by=("model", "task"), score: str = "score", lat
                                       F.col("cost_per_1m_tokens")))
 
 
+def scorecard_levels(scored: DataFrame, by=("model", "task"), score: str = "score", latency_s: str = "latency_s") -> DataFrame:
+    """The scorecard's means for every combination of the keys in ``by``: all of them, each
+    subset, and ``total``; NULL stands for a key that a level sums over, and ``level`` says which
+    keys it has.  One aggregate: each row is expanded once per level and summed map-side."""
+    by = list(by)
+    sets = [[c for i, c in enumerate(by) if not mask >> (len(by) - 1 - i) & 1] for mask in range(2 ** len(by))]
+    timed = scored.select(*by, score, (F.col(latency_s) * 1000).alias("_ms"))
+    g = timed.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in by]).agg(
+        F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("n_samples"),
+        exact_mean(score, 10 ** 9, 4).alias("accuracy"), exact_mean("_ms", 10 ** 3, 2).alias("latency_ms"))
+    names = F.create_map(*[F.lit(x) for mask, keys in enumerate(sets) for x in (mask, ", ".join(keys) or "total")])
+    return g.select(F.element_at(names, F.col("_level").cast("int")).alias("level"), *by, "n_samples", "accuracy", "latency_ms")
+
+
 def benchmark_records(card: DataFrame, experiment: str, run_id, start_time, phase: str = "phase2_benchmark") -> DataFrame:
     """Scorecard rows as run-log records (S7): one benchmark run per (model, task)."""
     names = ["accuracy", "latency_ms", "cost_per_1m_tokens", "roi_breakeven_tokens"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins and coalesces partitions at runtime,
@@ -41,18 +42,36 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the cluster names (``spark.checkpoint.dir``).  Where none
-    is named, a folder in the warehouse, which executors share as well - never a local one."""
+    is named, a folder in the warehouse; on a cluster that must not be a folder of one machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        configured = qualified(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+        if configured.startswith("file:") and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it (``fs.defaultFS`` where it names none)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(hadoop).toString()
+
+
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a ``qualified`` path and the place in it, for use inside tasks."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        raise ValueError(f"{path} names no file system")
+    return fs.FileSystem.from_uri(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder (never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

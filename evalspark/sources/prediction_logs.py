@@ -2,8 +2,7 @@
 ``predictions`` rows, across log schema generations.
 
 Generations seen in practice: ``{p}_pred`` + ``{p}_latency`` (older) and ``{p}_pred`` +
-``{p}_correct`` + ``{p}_latency_s`` (newer).  The reader looks at the header only (no data
-job), picks per provider whichever columns exist, and unpivots with one ``explode`` of a
+``{p}_correct`` + ``{p}_latency_s`` (newer).  The reader picks per provider whichever columns exist, and unpivots with one ``explode`` of a
 literal array of structs - a narrow operation, no join, no shuffle."""
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.sources.csv_blocks import read_csv_blocks
+
 PRED_SUFFIXES = ("_pred", "_response", "_summary", "_code")
 LATENCY_SUFFIXES = ("_latency_s", "_latency")
 
@@ -18,21 +19,10 @@ LATENCY_SUFFIXES = ("_latency_s", "_latency")
 def read_wide_log(spark: SparkSession, path: str) -> DataFrame:
     """S1 for logs: header CSV read as strings (schemas differ by generation; typed later).
 
-    Every file's header is read first; the files of one header are one generation, read by that
-    header and united by name, with NULL where a generation lacks a column.  (Multi-line values
-    keep a file in one task; write logs in many files.)"""
-    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-    generations: dict[tuple, list] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):
-        generations.setdefault(tuple(reader.csv(file).columns), []).append(file)
-    logs = [reader.schema(", ".join(f"`{c}` string" for c in header)).csv(files) for header, files in generations.items() if header]
-    if not logs:
-        raise ValueError(f"no log with a header under {path}")
-    out = logs[0]
-    for log in logs[1:]:
-        out = out.unionByName(log, allowMissingColumns=True)
-    return out
+    Tasks read every file's header, and parse each file by the header it has, in blocks: values
+    with line ends inside do not keep a file in one task.  NULL where a generation lacks a
+    column."""
+    return read_csv_blocks(spark, path)
 
 
 def write_wide_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -6,7 +6,10 @@ are several paths read together, with a ``store`` column."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +48,55 @@ def read_runs(spark: SparkSession, *paths: str, store_names=None) -> DataFrame:
     return out
 
 
+_ORDER = re.compile(r"^(?:(metrics|params|tags)\.(.+?)|(\w+))(?:\s+(asc|desc))?$", re.I)
+
+
+def _ordering(order_by: Iterable[str]) -> list[Column]:
+    """``metrics.accuracy DESC``, ``tags.model`` or a top-level column; runs without a value come
+    last, equal ones by their id."""
+    out = []
+    for text in order_by:
+        m = _ORDER.match(text.strip())
+        if not m:
+            raise ValueError(f"cannot order by {text!r}")
+        column = F.try_element_at(F.col(m[1].lower()), F.lit(m[2].strip("`"))) if m[1] else F.col(m[3])
+        out.append(column.desc_nulls_last() if (m[4] or "").lower() == "desc" else column.asc_nulls_last())
+    return [*out, F.col("run_id").asc_nulls_last()]
+
+
+def search_runs(spark: SparkSession, *paths: str, experiments: Iterable[str] | None = None, phase: str | None = None,
+                since=None, until=None, tags: Mapping[str, str] | None = None, params: Mapping[str, str] | None = None,
+                order_by: Iterable[str] = ("start_time DESC",), max_results: int | None = None, per_experiment: bool = False,
+                store_names=None) -> DataFrame:
+    """The first ``max_results`` runs in an order, of all experiments together or of each.
+
+    Experiments prune partitions (files of others are never listed or opened); ``phase`` and the
+    time range ``[since, until)`` reach the Parquet reader, which skips row groups by their
+    statistics; ``tags`` and ``params`` are exact matches on what is left.  A limit over all runs
+    is a top-n in every task (no full sort); one per experiment is a window whose rank limit
+    Spark applies in every task before rows are shuffled, so an experiment that holds a third of
+    all runs sends ``max_results`` rows a task."""
+    runs = read_runs(spark, *paths, store_names=store_names)
+    if experiments is not None:
+        runs = runs.filter(F.col("experiment").isin(list(experiments)))
+    if phase is not None:
+        runs = runs.filter(F.col("phase") == phase)
+    if since is not None:
+        runs = runs.filter(F.col("start_time") >= F.lit(since))
+    if until is not None:
+        runs = runs.filter(F.col("start_time") < F.lit(until))
+    for column, wanted in (("tags", tags), ("params", params)):
+        for key, value in (wanted or {}).items():
+            runs = runs.filter(F.try_element_at(F.col(column), F.lit(key)) == value)
+    order = _ordering(order_by)
+    if max_results is None:
+        return runs
+    if not per_experiment:
+        return runs.orderBy(*order).limit(max_results)
+    place = F.row_number().over(Window.partitionBy("experiment").orderBy(*order))
+    return runs.withColumn("_place", place).filter(F.col("_place") <= max_results).drop("_place")
+
+
 def union_stores(*frames: DataFrame) -> DataFrame:
     """S5 for frames already loaded (schema generations may differ: missing columns -> NULL)."""
     out = frames[0]

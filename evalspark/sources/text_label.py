@@ -1,7 +1,7 @@
 """``<sentence>@<label>`` text lines (ISO-8859-1, CRLF) -> (sentence, label id).
 
-Read with the CSV reader: a one-column schema, a separator and quote that never occur, and the
-file's charset.  (``spark.read.text`` has no charset option and would corrupt accented text.)"""
+The text source hands over each line's bytes as they are, so they are decoded here by the file's
+charset.  No character but the line end has a meaning, and no line is lost."""
 
 from __future__ import annotations
 
@@ -12,26 +12,23 @@ from evalspark.config import FINANCIAL_LABEL_TO_ID
 from evalspark.functions.text import strip_ws
 
 LINE_RE = r"(?s)^(.*)@([^@]*)$"
-_SEP = "\u0001"
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """One row per line, decoded with ``encoding``; line ends (LF or CRLF) are removed."""
-    return (spark.read.schema("value string")
-            .option("sep", _SEP).option("quote", "\u0000").option("escape", "\u0000")
-            .option("encoding", encoding).option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .csv(path))
+    """One row per line, decoded with ``encoding`` (one that writes a line feed as one byte); line
+    ends (LF or CRLF) are removed."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.regexp_replace(F.decode(F.col("value").cast("binary"), encoding), r"\r\z", "").alias("value"))
 
 
 def write_lines(df: DataFrame, col: str, path: str, encoding: str = "ISO-8859-1", line_sep: str = "\r\n",
                 mode: str = "overwrite") -> None:
-    """Write one text column as lines in ``encoding`` (the counterpart of ``read_lines``)."""
-    (df.select(F.col(col).alias("value")).write.mode(mode)
-     .option("sep", _SEP).option("quote", "\u0000").option("escape", "\u0000")
-     .option("encoding", encoding).option("lineSep", line_sep)
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
+    """Write one text column as lines in ``encoding`` (the counterpart of ``read_lines``).
+    Characters that ISO-8859-1 lacks become question marks."""
+    text = F.col(col)
+    if encoding.upper() == "ISO-8859-1":
+        text = F.regexp_replace(text, r"[^\x00-\xFF]", "?")
+    df.select(F.encode(text, encoding).cast("string").alias("value")).write.mode(mode).option("lineSep", line_sep).text(path)
 
 
 def parse_label_lines(df: DataFrame, col: str = "value", keep=()) -> DataFrame:

@@ -1,12 +1,16 @@
 """ST1: incremental scoring with durable progress.
 
-New sample files dropped into a directory are scored exactly once per file by a Structured
-Streaming query (file source -> I1 ``mapInPandas`` -> Parquet sink with a checkpoint).
+New sample files dropped into a directory are scored by a Structured Streaming query.
 ``trigger(availableNow=True)`` processes whatever is new and stops, so the job can run on a
-schedule; aggregates are always a batch query over the whole sink.  Append-only: no state,
-no watermark.  A replayed micro-batch may call the predictor again; the sink's file log
-keeps each batch's output once, and ``dedupe_latest`` removes duplicates by key if a
-non-idempotent predictor ever writes twice."""
+schedule; aggregates are always a batch query over the whole sink.
+
+With a ``key``, every sample is scored exactly once: each micro-batch keeps one row per key,
+leaves out the keys that the sink holds, and commits its rows chunk by chunk
+(``operators.progress``).  A sample delivered again, a micro-batch replayed after a failure, or
+a task run twice calls the model for nothing that is already there.
+
+Without a ``key``, files are the unit: each file is scored once, by the file source's log and
+the file sink's; ``dedupe_latest`` gives a view with one row per key."""
 
 from __future__ import annotations
 
@@ -14,26 +18,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evalspark.operators.pacing import RateLimit, Retry
+from evalspark.operators.progress import score_durably
 from evalspark.operators.scoring import score
 
 
 def run_incremental(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
                     checkpoint_dir: str, predictor_factory, prompt_col: str = "prompt", keep=None,
-                    max_attempts: int = 3, max_files_per_trigger: int | None = None) -> None:
+                    max_attempts: int = 3, max_files_per_trigger: int | None = None, key=None, chunk_rows: int = 200,
+                    retry: Retry | None = None, rate: RateLimit | None = None) -> None:
     """Score every file in ``source_dir`` not yet processed; blocks until done."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    scored = score(stream, predictor_factory, prompt_col=prompt_col, keep=keep, max_attempts=max_attempts)
-    q = (scored.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append")
-         .trigger(availableNow=True).start())
+    options = {"prompt_col": prompt_col, "keep": keep, "max_attempts": max_attempts, "retry": retry, "rate": rate}
+    if key is None:
+        scored = score(stream, predictor_factory, **options)
+        writer = scored.writeStream.format("parquet").option("path", sink_dir).outputMode("append")
+    else:
+        def keyed(batch: DataFrame, _: int) -> None:
+            score_durably(batch, predictor_factory, key, sink_dir, chunk_rows=chunk_rows, **options)
+
+        writer = stream.writeStream.foreachBatch(keyed)
+    q = writer.option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def read_scored(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Everything scored so far (the sink's metadata log lists only committed files)."""
+    """Everything scored so far (only committed files are seen)."""
     return spark.read.parquet(sink_dir)
 
 
