@@ -32,8 +32,9 @@ def _log_cos(angle):
 def _tail(power: float, low: float) -> float:
     """The integral of (cos x / cos low) ** power from ``low`` to a right angle, by Gauss's rule up
     to where the integrand has fallen by exp(-40)."""
+    left = math.exp(-40.0 / power) if power > 0 else 0.0
     fall = -math.expm1(-80.0 / power) if power > 0 else 1.0
-    high = math.asin(math.sqrt(min(1.0, math.sin(low) ** 2 + math.cos(low) ** 2 * fall)))
+    high = math.atan2(math.sqrt(math.sin(low) ** 2 + math.cos(low) ** 2 * fall), math.cos(low) * left)
     x = low + (high - low) * (_NODES + 1) / 2
     return float((_WEIGHTS * np.exp(power * (_log_cos(x) - _log_cos(low)))).sum() * (high - low) / 2)
 

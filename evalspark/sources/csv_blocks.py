@@ -213,6 +213,9 @@ def read_csv_blocks(spark: SparkSession, paths: str | list[str], batch_rows: int
     make, titles = _Columns(headers, columns), layout.headers
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
 
+    piece_schema = pa.schema([("file", pa.int64()), ("start", pa.int64()), ("kind", pa.string()), ("header", pa.int32()),
+                              ("text", pa.string())])
+
     def parsed(records: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
         held = []
         for header, text in records:
@@ -241,7 +244,8 @@ def read_csv_blocks(spark: SparkSession, paths: str | list[str], batch_rows: int
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, start, kind, text in _pieces(batches, shared.value):
             if kind != "whole" and (number := shared.value.header(file)) >= 0:
-                yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "kind": [kind], "header": [number], "text": [text]})
+                yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "kind": kind, "header": number, "text": text}],
+                                                 schema=piece_schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from parsed((h, t) for b in batches for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
