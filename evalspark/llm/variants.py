@@ -136,7 +136,8 @@ def near_pairs(words: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     side and repeated for each tile on the other, so no task meets them all."""
     rows = scratch(signed(words), "signatures")
     many = rows.groupBy("sig").count().where(F.col("count") > tile_rows)
-    many = many.select("sig", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
+    # written first, so that its size is known and it is only broadcast if small
+    many = scratch(many.select("sig", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles")), "shared")
     rows = rows.join(many, "sig", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     left = rows.where("role <> 2").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
     right = rows.where("role <> 1").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
