@@ -14,7 +14,8 @@ what is broadcast has a fixed bound whatever the benchmark's size.
 
 Defined results: NULL and word-less texts have no words and match nothing; items shorter than
 a window are one window; an item or document given twice counts as two rows; documents with
-NULL ids are kept; other columns play no part."""
+NULL ids are kept; an item with a NULL id is found and counted as any other, but has no name in
+the digest; other columns play no part."""
 
 from __future__ import annotations
 
@@ -34,7 +35,7 @@ from evalspark.llm.common import (bound_batches, list_array, nonempty, scratch,
 SEGMENT_WORDS = 1_000_000
 #: Words of test windows broadcast at a time (8 bytes each).
 BLOCK_WORDS = 2_000_000
-#: Free positions between documents; longer than any window plus twice the slop.
+#: Free positions between documents, unless a window with its slop on both sides needs more.
 GAP = 64
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -51,9 +52,10 @@ INDEX_SCHEMA = ("segment long, ids array<string>, n_words array<int>, starts arr
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                segment_words: int = SEGMENT_WORDS) -> DataFrame:
+                segment_words: int = SEGMENT_WORDS, gap: int = GAP) -> DataFrame:
     """The positional index of ``docs``, one row per segment.  ``steps`` holds the positions of
-    all terms, term after term, as differences to the position before."""
+    all terms, term after term, as differences to the position before.  ``gap`` free positions
+    keep documents apart; a search must not reach over them (window + 2 x slop)."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,22 +66,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words = words_of(text)
                 ids.append(doc)
                 hashes.append(word_hashes(words, len(words)))
-                held += len(words) + GAP
+                held += len(words) + gap
                 if held >= segment_words:
-                    yield _segment(part << 32 | made, ids, hashes)
+                    yield _segment(part << 32 | made, ids, hashes, gap)
                     ids, hashes, held, made = [], [], 0, made + 1
         if ids:
-            yield _segment(part << 32 | made, ids, hashes)
+            yield _segment(part << 32 | made, ids, hashes, gap)
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     return scratch(rows.mapInArrow(run, INDEX_SCHEMA), "index")
 
 
-def _segment(number: int, ids: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+def _segment(number: int, ids: list, hashes: list[np.ndarray], gap: int) -> pa.RecordBatch:
     sizes = np.array([len(h) for h in hashes], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]])
+    starts = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
     flat = np.concatenate(hashes)
-    places = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)) * GAP, sizes)
+    places = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)) * gap, sizes)
     order = np.argsort(flat, kind="stable")
     terms, first = np.unique(flat[order], return_index=True)
     steps = np.diff(places[order], prepend=0)
@@ -185,7 +187,7 @@ def match(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                     [pa.array([batch.column(0)[i].as_py()] * len(slots), pa.int64()), pa.array(slots, pa.int32()),
                      pa.array([spans[d] for d in slots],
                               pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                     pa.array([sorted(found[d]) for d in slots], pa.list_(pa.string()))],
+                     pa.array([sorted(found[d], key=lambda x: (x is None, x or "")) for d in slots], pa.list_(pa.string()))],
                     names=["segment", "slot", "spans", "items"])
 
     columns = index.select("segment", "n_words", "starts", "terms", "term_starts", "steps")
@@ -208,7 +210,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_
          text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
          block_words: int = BLOCK_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """One row per document: id, n_words, the matched spans of words and the items found."""
-    index = build_index(docs, id_col, text_col, segment_words)
+    index = build_index(docs, id_col, text_col, segment_words, max(GAP, window + 2 * slop + 1))
     every = index.select("segment", F.posexplode(F.arrays_zip("ids", "n_words")).alias("slot", "doc")).select(
         "segment", "slot", F.col("doc.ids").alias("id"), F.col("doc.n_words").alias("n_words"))
     parts = [match(index, w, slop) for w in _blocks(items, item_col, item_text_col, window, block_words)]
