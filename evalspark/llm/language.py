@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import U64, bound_batches, mix, table
@@ -156,10 +156,9 @@ def fit(docs: DataFrame, train: F.Column | None = None, per_language: int = PER_
         return None
     total, df = document_frequencies(rows.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
-    chosen = None
-    for lang in sorted(size):  # bounded: per_language ids of each language
-        some = rows.where(F.col("lang") == lang).select("id", "lang").distinct().orderBy(F.xxhash64("id"), "id").limit(per_language)
-        chosen = some if chosen is None else chosen.unionByName(some)
+    ids = rows.select("id", "lang").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = ids.withColumn("place", place).where(F.col("place") <= per_language).select("id", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +167,12 @@ def fit(docs: DataFrame, train: F.Column | None = None, per_language: int = PER_
                 [batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()),
                  pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], names=["id", "lang", "at", "n"])
 
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
+    sample = rows.join(chosen, ["id", "lang"]).select("id", "lang", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(counted, f"id {kind}, lang string, at binary, n binary").where("octet_length(at) > 0").collect()
+    got = sample.mapInArrow(counted, f"id {kind}, lang string, at binary, n binary").where("octet_length(at) > 0")
+    # an id may stand in any number of rows
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "at", "n"))
+    got = got.withColumn("place", place).where(F.col("place") <= per_language).drop("place").collect()
     got = sorted(got, key=lambda r: (r["lang"], r["id"], r["at"], r["n"]))
     if not got:
         return None
