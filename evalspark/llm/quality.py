@@ -206,7 +206,7 @@ def fold(id_col: str, folds: int) -> F.Column:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, sample: int, train: F.Column | None) -> DataFrame:
-    """(id, text, label) of at most ``sample`` labelled documents."""
+    """(id, text, label) of at most ``sample`` labelled ids."""
     known = labels.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high"))
     known = known.where("label = high AND id IS NOT NULL").select("id", "label")
     if train is not None:
@@ -234,8 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, sampl
 
     got = _training_rows(rows, known, sample, train).withColumn("label", F.col("label").cast("double"))
     kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(got.mapInArrow(pooled, f"id {kind}, label double, x array<double>").collect(),
-                 key=lambda r: (r["id"], r["x"]))
+    got = got.mapInArrow(pooled, f"id {kind}, label double, x array<double>")
+    got = got.orderBy(F.xxhash64("id"), "id", "x").limit(sample)  # an id may stand in any number of rows
+    got = sorted(got.collect(), key=lambda r: (r["id"], r["x"]))
     if not got:
         return vectors, None
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got])
