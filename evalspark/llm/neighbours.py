@@ -15,8 +15,9 @@ The index is a written table of segments, each a block of rows with the buckets
 substring.  Queries go against all segments in blocks of bounded size; each segment returns its
 nearest few per query, and the best of those are kept.
 
-Defined results: vectors that are NULL, zero, of another length than most, or that hold a NULL
-or non-finite component take no part, nor do rows with a NULL id; an id counts as one row, at
+Defined results: vectors that are NULL, zero, or that hold a NULL or non-finite component take no
+part, nor do rows with a NULL id; vectors of different lengths have no distance, so each length
+is searched by itself; an id counts as one row, at
 its nearest vector, and as a query with its smallest vector; ties go to the smaller id; other
 columns play no part."""
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -120,18 +122,25 @@ class Segment:
         parts = batch.column("parts")[i].values
         self.parts = [tuple(np.asarray(p[c].values) for c in ("values", "starts", "rows")) for p in parts]
 
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """The whole code of every row, in row order."""
+        out = np.zeros((len(self.ids), len(self.parts)), np.int64)
+        for j, (values, starts, rows) in enumerate(self.parts):
+            out[rows, j] = np.repeat(values, np.diff(starts))
+        return out
+
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code is within ``radius`` of ``code``."""
+        """All rows whose code is within ``radius`` of ``code``: rows of buckets within the part's
+        share of the radius in any part; whole codes are compared for those rows only."""
         near = np.zeros(len(self.ids), bool)
-        apart = np.zeros(len(self.ids), np.int64)
         for (values, starts, rows), q in zip(self.parts, code, strict=True):
-            bits = np.bitwise_count(values ^ q).astype(np.int64)
-            size = np.diff(starts)
-            hit = np.flatnonzero(bits <= radius // len(self.parts))
-            within = np.arange(size[hit].sum()) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit])
-            near[rows[np.repeat(starts[hit], size[hit]) + within]] = True
-            apart[rows] += np.repeat(bits, size)
-        return np.flatnonzero(near & (apart <= radius))
+            hit = np.flatnonzero(np.bitwise_count(values ^ q) <= radius // len(self.parts))
+            size = starts[hit + 1] - starts[hit]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            near[rows[np.repeat(starts[hit], size) + within]] = True
+        rows = np.flatnonzero(near)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
 
     def nearest(self, rows: np.ndarray, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k nearest of ``rows`` to ``q``, each id once: (row, id, distance)."""
@@ -154,14 +163,11 @@ def _search(index: DataFrame, ids: np.ndarray, x: np.ndarray, codes: Codes, k: i
         for batch in batches:
             for i in range(batch.num_rows):
                 part = Segment(batch, i)
-                code = np.zeros((len(part.ids), len(part.parts)), np.int64)
-                for j, (values, starts, rows) in enumerate(part.parts):
-                    code[rows, j] = np.repeat(values, np.diff(starts))
                 every, out = np.arange(len(part.ids)), []
                 for query, q, c in zip(*sent.value, strict=True):
                     rows = every if radius is None else part.probe(c, radius)
                     rows, found, d = part.nearest(rows, query, q, k)
-                    out.append((np.full(len(found), query), found, d, np.bitwise_count(code[rows] ^ c).sum(1, dtype=np.int32)))
+                    out.append((np.full(len(found), query), found, d, np.bitwise_count(part.codes[rows] ^ c).sum(1, dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in zip(*out, strict=True)],
                                                  names=["query_id", "vec_id", "score", "bits"])
 
@@ -178,15 +184,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, reach: float =
     ``queries``, its own id left out."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, wanted = (_usable(v, id_col, vec_col) for v in (vectors, queries))
+    # vectors of different lengths have no distance: each length that is asked for has its index
+    widths = wanted.select(F.size("x").alias("w")).distinct().orderBy("w").collect()
+    for r in widths:
+        of = F.size("x") == r["w"]
+        part = _nearest_of(rows.where(of), wanted.where(of), r["w"], k, reach, sample, probes, segment_rows, block_queries)
+        found = part if len(widths) == 1 else found.unionByName(part)
+    return found
+
+
+def _nearest_of(rows: DataFrame, wanted: DataFrame, width: int, k: int, reach: float, sample: int, probes: int,
+                segment_rows: int, block_queries: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    spark = rows.sparkSession
     some = rows.orderBy(F.xxhash64("id"), "id", "x").limit(sample).collect()
-    sizes = [len(r["x"]) for r in some]
-    if not sizes:
-        return empty
-    width = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    rows, wanted = rows.where(F.size("x") == width), wanted.where(F.size("x") == width)
-    codes = Codes(np.array([r["x"] for r in some if len(r["x"]) == width]))
+    codes = Codes(np.array([r["x"] for r in some]))
     index = build_index(rows, codes, segment_rows)
     wanted = wanted.groupBy("id").agg(F.min("x").alias("x"))
 
@@ -195,8 +209,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, reach: float =
         return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got]).reshape(len(got), width)
 
     ids, x = arrays(wanted.orderBy(F.xxhash64("id")).limit(probes))
-    if not len(ids):
-        return empty
     true = [r["bits"] for r in _search(index, ids, x, codes, k, None).select("bits").collect()]
     radius = int(np.quantile(true, reach, method="higher")) if true else 0
 
