@@ -28,13 +28,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import bound_batches, scratch, table, to_bytes
-from evalspark.session import scratch_path
+from evalspark.session import open_folder, qualified, scratch_path
 
 MIN_BYTES = 100
 #: An archive file is closed beyond this size.
@@ -54,14 +53,6 @@ class Archive(NamedTuple):
     directory: DataFrame
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def url_key(url: str | None) -> str:
     """Reversed-host key: ``http://www.a.org:80/B?c`` is ``org,a,www)/B?c``.  Scheme, user, port
     and fragment are left out; the host is lower-cased."""
@@ -126,6 +117,7 @@ _DIRECTORY = "shard int, block int, first string, last string, file string, at l
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES,
                    id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes all pages; returns their captures (key, file, offset, length)."""
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     slim = rows.where((F.octet_length("html") >= min_bytes) & F.col("page").isNotNull()).select(
@@ -133,13 +125,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, ar
     first = slim.groupBy("digest").agg(F.min("page").alias("refers_to"), F.max("page").alias("last"))
     again = slim.join(first.where("refers_to < last"), "digest").where("page > refers_to")
     again = again.select("page", F.col("digest").alias("of"), "refers_to").distinct()
-    # an id that repeats with other html is a revisit only where the html is the same
-    joined = rows.join(again, "page", "left").withColumn(
-        "refers_to", F.when((F.sha2("html", 256) == F.col("of")) & (F.octet_length("html") >= min_bytes), F.col("refers_to")))
-    several = again.groupBy("page").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if several:  # ids that revisit several payloads: keep each row once, with its own payload's answer
-        joined = rows.withColumn("of", F.sha2("html", 256)).join(again, ["page", "of"], "left").withColumn(
-            "refers_to", F.when(F.octet_length("html") >= min_bytes, F.col("refers_to")))
+    # an id may repeat with other html, so each row is joined by its own payload's digest
+    joined = rows.withColumn("of", F.sha2("html", 256)).join(again, ["page", "of"], "left").withColumn(
+        "refers_to", F.when(F.octet_length("html") >= min_bytes, F.col("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_folder(folder)
@@ -172,6 +160,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, ar
 
 def write_index(captures: DataFrame, folder: str, shards: int, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Sorted, compressed blocks of captures, in ``shards`` ranges of keys; returns the directory."""
+    folder = qualified(captures.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_folder(folder)
@@ -212,6 +201,7 @@ def lookup(archive: Archive, wanted: DataFrame, folder: str, payload: bool = Fal
 
     Keys go to the shards that may hold them (a shard's bounds; there are as many as shards);
     there the directory and blocks are searched."""
+    folder = qualified(wanted.sparkSession, folder)
     ends = archive.directory.groupBy("shard").agg(F.min("first").alias("low"), F.max("last").alias("high"))
     ends = sorted((r["shard"], r["low"], r["high"]) for r in ends.collect())  # one row per shard
     lows, highs = [e[1] for e in ends], [e[2] for e in ends]
