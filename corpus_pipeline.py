@@ -25,9 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay; of rows that repeat an id (and so are one document) one stays."""
+    """Rows without an id stay; of rows that repeat an id (and so are one document) the one with the
+    smallest hash of its text stays, whatever the order of rows."""
     found = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
+    others = [c for c in docs.columns if c != "doc_id"]
+    rank = F.struct(F.sha2("text", 256).alias("text"), F.xxhash64(*others).alias("row"))
+    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*others), rank).alias("kept")).select("doc_id", "kept.*")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
