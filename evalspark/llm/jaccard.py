@@ -14,7 +14,7 @@ found are not enumerated, but no link between different components is lost:
    ``n - ceil(0.8 n) + 1`` of each, in any fixed order of shingles; here rare shingles come first,
    by counts of all shingles in a table of fixed size.  Documents that share such a shingle,
    are in compatible size bands and in different components meet in a tile.  A large tile is
-   cut into chunks, and the chunks meet in pairs.  Signatures bound the overlap from above:
+   cut into chunks, bounded by rows and by bytes, and the chunks meet in pairs.  Signatures bound the overlap from above:
    bits of A that B lacks are shingles that B lacks.  A pair is a candidate in one tile only,
    that of its smallest shared token.  Survivors are verified exactly.
 
@@ -43,8 +43,9 @@ MINIMA = 6
 #: in which tasks' tables are added up.
 COUNTERS = 1 << 20
 BLOCKS = 64
-#: Classes in one chunk of a tile.
+#: Classes, and bytes of their bitmaps and tokens, in one chunk of a tile.
 CHUNK_ROWS = 2000
+CHUNK_BYTES = 8 << 20
 #: 64-bit words of bitmaps gathered at a time.
 TILE_WORDS = 200_000
 #: Members of one star that are verified in one task.
@@ -173,15 +174,15 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection.  Pairs are gathered by ``a`` (and a salt,
-    so that no task has all members of a large star); texts travel once for each role."""
+    so that no task has all members of a large star).  A text travels once for each of its roles;
+    the join on ids is free to split an id with very many of them."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).alias("cuts"))
     pairs = pairs.join(sizes, "a").select("a", "b", F.pmod("salt", "cuts").alias("cut"))
     first = pairs.select("a", "cut").distinct().select(F.col("a").alias("id"), "a", "cut", F.lit(0).alias("role"))
     roles = pairs.select(F.col("b").alias("id"), "a", "cut", F.lit(1).alias("role")).unionByName(first)
-    roles = roles.groupBy("id").agg(F.collect_list(F.struct("a", "cut", "role")).alias("roles"))
-    sent = docs.join(roles, "id").select("id", "text", F.explode("roles").alias("r"))
-    sent = sent.select("r.a", "r.cut", "r.role", "id", "text").repartition("a", "cut").sortWithinPartitions("a", "cut", "role")
+    sent = docs.join(roles, "id").select("a", "cut", "role", "id", "text")
+    sent = sent.repartition("a", "cut").sortWithinPartitions("a", "cut", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, heads = None, []
@@ -256,66 +257,144 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long")
 
 
-def _tiles(rows: DataFrame, classes: DataFrame, percent: int, chunk_rows: int) -> DataFrame:
-    """Candidate pairs (a, b) of rows (token, rep, comp) in different components."""
-    held = rows.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("tokens"))  # a set's own, few
+def _tiles(rows: DataFrame, classes: DataFrame, percent: int, chunk_rows: int, chunk_bytes: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows (token, rep, comp) in different components.
+
+    A chunk is bounded by rows and by bytes.  A row carries those of its set's tokens that are
+    smaller than the tile's: sets that share one of them met in that one's tile."""
+    held = rows.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("tokens"))  # a set's own prefix
     rows = rows.join(classes.select("rep", "n", "bits"), "rep").join(held, "rep").withColumn("band", _band("n", percent))
-    chunks = rows.groupBy("token").agg(F.ceil(F.count("*") / chunk_rows).alias("chunks"))
+    weight = F.size("tokens") * 4 + F.length("bits") + 64  # half of the tokens, on average
+    chunks = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / chunk_rows), F.ceil(F.sum(weight) / chunk_bytes)).alias("chunks"))
     rows = rows.join(chunks, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), "chunks"))
+    rows = rows.withColumn("smaller", F.slice("tokens", F.lit(1), (F.array_position("tokens", F.col("token")) - 1).cast("int")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.withColumn("low", F.explode(F.array("band", F.col("band") - 1)))
     rows = rows.select("token", "low", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                       "mine", "band", "rep", "comp", "n", "bits", "tokens")
+                       "mine", "band", "rep", "comp", "n", "bits", "smaller")
     tile = ["token", "low", "i", "j"]
 
-    def pairs(key: tuple, group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        mine, band, rep, comp, n = (np.array(c) for c in list(zip(*group, strict=True))[4:9])
-        bits, tokens = [np.frombuffer(g[9], U64) for g in group], [frozenset(g[10]) for g in group]
-        width = min(map(len, bits))
-        bits = np.array([fold(x, width) for x in bits])
-        for k in range(0, len(rep), 32):
-            x = slice(k, k + 32)
-            ok = (comp[x, None] != comp) & (100 * np.minimum(n[x, None], n) >= percent * np.maximum(n[x, None], n))
-            ok &= (band[x, None] == key[1]) & ((band > key[1]) | (rep[x, None] < rep))  # each pair of bands once
-            if key[2] != key[3]:
-                ok &= mine[x, None] != mine
-            p, q = np.nonzero(ok)
-            p += k
-            step = max(1, TILE_WORDS // width)  # bitmaps of so many pairs are compared at a time
-            ok = np.concatenate([may_link(bits[p[i: i + step]], n[p[i: i + step]], bits[q[i: i + step]], n[q[i: i + step]], percent)
-                                 for i in range(0, max(1, len(p)), step)])
-            p, q = p[ok], q[ok]
-            here = np.array([min(tokens[i] & tokens[j]) == key[0] for i, j in zip(p.tolist(), q.tolist(), strict=True)], bool)
-            yield rep[p[here]], rep[q[here]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(group):
-            for a, b in pairs(group[0][:4], group) if len(group) > 1 else ():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()),
-                                                  pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-        group: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:4] != group[0][:4]:
-                    yield from close(group)
-                    group = []
-                group.append(row)
-        yield from close(group)
+        for key, parts in _tile_parts(batches):
+            if sum(map(len, parts)) > 1:
+                for a, b in _tile_pairs(key, pa.Table.from_batches(parts).combine_chunks(), percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()),
+                                                      pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
     return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct()
 
 
+def _tile_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """The rows of each tile (equal in the first four columns), as slices of the sorted batches."""
+    key, parts = None, []
+    for batch in nonempty(batches):
+        columns = [batch.column(c).to_numpy() for c in range(4)]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for low, high in zip([0, *edges], [*edges, len(batch)], strict=True):
+            here = tuple(int(c[low]) for c in columns)
+            if key != here:
+                if key is not None:
+                    yield key, parts
+                key, parts = here, []
+            parts.append(batch.slice(low, high - low))
+    if key is not None:
+        yield key, parts
+
+
+def _tile_pairs(key: tuple, tile: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a tile that may link and share no smaller token, in pieces."""
+    mine, band, rep, comp, n = (tile.column(c).to_numpy() for c in range(4, 9))
+    bits = [np.frombuffer(x.as_buffer(), U64) for x in tile.column(9).chunk(0)]
+    lists = tile.column(10).chunk(0)
+    tokens, at = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+    width = min(map(len, bits))
+    bits = np.array([fold(x, width) for x in bits])
+    for k in range(0, len(rep), 32):
+        x = slice(k, k + 32)
+        ok = (comp[x, None] != comp) & (100 * np.minimum(n[x, None], n) >= percent * np.maximum(n[x, None], n))
+        ok &= (band[x, None] == key[1]) & ((band > key[1]) | (rep[x, None] < rep))  # each pair of bands once
+        if key[2] != key[3]:
+            ok &= mine[x, None] != mine
+        p, q = np.nonzero(ok)
+        p += k
+        step = max(1, TILE_WORDS // width)  # bitmaps of so many pairs are compared at a time
+        ok = np.concatenate([may_link(bits[p[i: i + step]], n[p[i: i + step]], bits[q[i: i + step]], n[q[i: i + step]], percent)
+                             for i in range(0, max(1, len(p)), step)])
+        p, q = p[ok], q[ok]
+        for row in np.unique(p):
+            met = q[p == row]
+            met = met[_disjoint(tokens[at[row]: at[row + 1]], tokens, at, met)]
+            if len(met):
+                yield np.full(len(met), rep[row]), rep[met]
+
+
+def _disjoint(own: np.ndarray, tokens: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which of the rows' token lists (tokens[at[r]:at[r + 1]]) share nothing with the sorted ``own``."""
+    sizes = at[rows + 1] - at[rows]
+    if not len(own) or not sizes.any():
+        return np.ones(len(rows), bool)
+    start = np.cumsum(sizes) - sizes
+    flat = tokens[np.arange(sizes.sum()) + np.repeat(at[rows] - start, sizes)]
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    shared = np.r_[0, np.cumsum(hit)]
+    return shared[start + sizes] == shared[start]
+
+
+def _classes(docs: DataFrame, size: int, minima: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, classes, members): equal sets are one class, named by its smallest id."""
+    profiles = scratch(_profiles(docs, size, minima), "profiles")
+    linkable = profiles.where("block IS NULL AND n > 0 AND id IS NOT NULL")
+    classes = scratch(linkable.groupBy("h1", "h2", "n", "minima", "bits").agg(F.min("id").alias("rep")), "classes")
+    members = scratch(linkable.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(
+        "id", "rep").distinct(), "members")
+    return profiles, classes, members
+
+
+def _candidates(docs: DataFrame, profiles: DataFrame, classes: DataFrame, where: DataFrame, size: int, percent: int,
+                chunk_rows: int, chunk_bytes: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a prefix shingle and may link.
+    ``where`` has the class and component (id, rep, comp) of every document."""
+    postings = _shared(_postings(docs, _shingle_counts(profiles), size, percent))
+    found = scratch(postings.join(where, "id").select("token", "rep", "comp").distinct(), "postings")
+    # tokens of one shared passage stand in the same sets: one of them is enough for a tile
+    mixed = found.groupBy("token").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many"),
+        F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    mixed = mixed.where("low < high").groupBy("many", "low", "high", "x", "y").agg(F.min("token").alias("token"))
+    found = scratch(found.join(mixed.select("token"), "token"), "mixed")
+    return scratch(_tiles(found, classes, percent, chunk_rows, chunk_bytes), "pairs")
+
+
+def jaccard_pairs(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_rows: int = CHUNK_ROWS,
+                  chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: (a, b) for every two classes of equal sets that link, a < b, and (id, rep),
+    the class of every document.  Every link is evaluated; copies are not expanded into pairs."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    profiles, classes, members = _classes(rows, size, 0)
+    where = members.withColumn("comp", F.col("rep"))
+    pairs = _candidates(rows, profiles, classes, where, size, percent, chunk_rows, chunk_bytes)
+    return scratch(_verified(pairs, rows, size, percent), "links"), members
+
+
+def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, rep, n_links): how many documents with other texts or copies of its own a document
+    links with: the sizes of the linked classes, and the other members of its class."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("copies").alias("linked"))
+    counted = members.join(sizes, "rep").join(linked, F.col("rep") == F.col("a"), "left")
+    return counted.select("id", "rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, minima: int = MINIMA,
-                       chunk_rows: int = CHUNK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profiles = scratch(_profiles(rows, size, minima), "profiles")
+    profiles, classes, members = _classes(rows, size, minima)
     sets = profiles.where("block IS NULL")
-    linkable = sets.where("n > 0 AND id IS NOT NULL")
-    classes = scratch(linkable.groupBy("h1", "h2", "n", "minima", "bits").agg(F.min("id").alias("rep")), "classes")
-    members = scratch(linkable.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(
-        "id", "rep").distinct(), "members")
 
     stars = _bounded(_stars(classes, percent), classes, percent)
     star_links = scratch(_verified(stars, rows, size, percent), "star-links")
@@ -328,15 +407,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         return frame.join(found, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     where = scratch(component(members), "where")
-    postings = _shared(_postings(rows, _shingle_counts(profiles), size, percent))
-    found = scratch(postings.join(where, "id").select("token", "rep", "comp").distinct(), "postings")
-    # tokens of one shared passage stand in the same sets: one of them is enough for a tile
-    mixed = found.groupBy("token").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many"),
-        F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    mixed = mixed.where("low < high").groupBy("many", "low", "high", "x", "y").agg(F.min("token").alias("token"))
-    found = scratch(found.join(mixed.select("token"), "token"), "mixed")
-    pairs = scratch(_tiles(found, classes, percent, chunk_rows), "pairs")
+    pairs = _candidates(rows, profiles, classes, where, size, percent, chunk_rows, chunk_bytes)
     late_links = scratch(_verified(pairs, rows, size, percent), "late-links")
 
     edges = star_links.unionByName(late_links).unionByName(same_id)
