@@ -134,6 +134,16 @@ def nertok(spark: SparkSession, sf: str) -> DataFrame:
         .select("conv_id", "turn", "pos", F.col("z.tokens").alias("tok"), F.col("z.tags").alias("tag"))
 
 
+def ner_response(spans: str, turn: str = "turn"):
+    """The answer of ``ner_pred`` as an expression over one row's spans; NULL if there are none."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["pos"].alias("pos"), x["surface"].alias("surface"))))
+    ranked = F.transform(ordered, lambda x, i: F.struct((i + 1).alias("rk"), x["surface"].alias("v")))
+    kept = F.transform(F.filter(ranked, lambda y: y["rk"] % 3 != 0), lambda y: y["v"])
+    js = F.concat(F.lit('{"PER": '), F.to_json(kept), F.lit("}"))
+    return F.when(F.size(spans) > 0, F.when(F.col(turn) % 4 == 1, F.concat(F.lit("```json" + NL), js, F.lit(NL + "```")))
+                  .when(F.col(turn) % 4 == 3, F.substring(js, 1, 10)).otherwise(js))
+
+
 def ner_pred(spark: SparkSession, sf: str) -> DataFrame:
     """Model answers for the ner view: kept span surfaces as ``{"PER": [...]}`` JSON, fenced for
     turn % 4 = 1, cut to 10 characters (invalid JSON on purpose) for turn % 4 = 3."""

@@ -4,12 +4,15 @@
   (pair, n-gram)* in one aggregation (both sides at once, no join); the clipped overlap is
   then summed per pair.  Both aggregations run inside the row's partition.
 * ROUGE-L (M3b) needs a longest common subsequence: an Arrow ``pandas_udf`` over the two
-  token arrays with a bit-parallel LCS (O(n * m / 64) machine-word operations per pair).
+  token arrays.  Its cost follows the match points of a pair, or n * m / 64 machine-word
+  operations where that is less.
 * Stemming (M3d) happens inside ROUGE: a Porter ``pandas_udf``, memoised per worker.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -68,22 +71,70 @@ def rouge_n(df: DataFrame, keys, reference: str = "reference", prediction: str =
 
 # --- LCS -------------------------------------------------------------------------------------
 
+#: A match point costs the sparse form about as much as so many cells cost the dense one.
+CELLS_PER_MATCH = 2000
+
+
 def lcs_length(a: list, b: list) -> int:
-    """Bit-parallel LCS length (Allison-Dix / Hyyro): one big-int word per row of ``b``."""
+    """LCS length.  Common ends are cut off, and tokens that the other side lacks are left out.
+    Then the cheaper of two exact forms runs: over match points (cost follows the equal pairs of
+    tokens, so long texts of many words are cheap) or over bit rows (cost follows the cells)."""
+    low, high_a, high_b = 0, len(a), len(b)
+    while low < min(high_a, high_b) and a[low] == b[low]:
+        low += 1
+    while high_a > low and high_b > low and a[high_a - 1] == b[high_b - 1]:
+        high_a, high_b = high_a - 1, high_b - 1
+    ends = low + len(a) - high_a
+    shared = set(a[low:high_a]).intersection(b[low:high_b])
+    a, b = [t for t in a[low:high_a] if t in shared], [t for t in b[low:high_b] if t in shared]
     if not a or not b:
-        return 0
+        return ends
     if len(a) < len(b):
         a, b = b, a
-    masks: dict = {}
+    many = Counter(a)
+    matches = sum(many[t] * n for t, n in Counter(b).items())
+    return ends + (_lcs_sparse if matches * CELLS_PER_MATCH <= len(a) * len(b) else _lcs_bits)(a, b)
+
+
+def _lcs_sparse(a: list, b: list) -> int:
+    """Match points in the order of ``b``: ``ends[k]`` is the smallest place in ``a`` where a common
+    subsequence of k + 1 tokens can end (Hunt and Szymanski)."""
+    places: dict = {}
+    for i in range(len(a) - 1, -1, -1):  # descending, so a token of b extends no chain twice
+        places.setdefault(a[i], []).append(i)
+    ends: list[int] = []
+    for token in b:
+        for i in places[token]:
+            k = bisect_left(ends, i)
+            if k == len(ends):
+                ends.append(i)
+            else:
+                ends[k] = i
+    return len(ends)
+
+
+def _lcs_bits(a: list, b: list) -> int:
+    """One big-integer row per token of ``b`` (Allison-Dix / Hyyro).  The rows of a token's places
+    in ``a`` are kept for as many tokens as fit into 32 MB."""
+    places: dict = {}
     for i, tok in enumerate(a):
-        masks[tok] = masks.get(tok, 0) | (1 << i)
+        places.setdefault(tok, []).append(i)
+    kept: dict = {}
+    room = max(1, (1 << 28) // len(a))
     full = (1 << len(a)) - 1
     v = full
     for tok in b:
-        m = masks.get(tok, 0)
+        m = kept.get(tok)
+        if m is None:
+            row = bytearray((len(a) + 7) // 8)
+            for i in places[tok]:
+                row[i >> 3] |= 1 << (i & 7)
+            m = int.from_bytes(row, "little")
+            if len(kept) < room:
+                kept[tok] = m
         u = v & m
         v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
+    return len(a) - v.bit_count()
 
 
 @F.pandas_udf(IntegerType())

@@ -295,6 +295,18 @@ def n6_bio_spans_rowwise(spark, sf):
 def _truth_sets(spark, sf):
     """Per turn: N6 spans -> entity dict {type: [surface]} -> N7 flat set."""
     t = fx.ner_tokens(spark, sf).select("conv_id", "turn", bio_spans("tokens", "tags").alias("spans"))
+    return t.select("conv_id", "turn", _entities().alias("entities")).withColumn("truth", entity_set("entities"))
+
+
+def _truth_and_pred(spark, sf):
+    """Truth and model answer of a turn from its one row: no exchange, no join."""
+    t = fx.ner_tokens(spark, sf).select("conv_id", "turn", bio_spans("tokens", "tags").alias("spans"))
+    t = t.select("conv_id", "turn", entity_set(_entities()).alias("truth"), fx.ner_response("spans").alias("response"))
+    none = F.array().cast("array<string>")
+    return t.withColumn("pred", F.when(F.col("response").isNotNull(), F.coalesce(parse_entities("response"), none)).otherwise(none))
+
+
+def _entities():
     spans = F.col("spans")  # projected once: referenced once per entity type below
 
     def of_type(k):
@@ -303,7 +315,7 @@ def _truth_sets(spark, sf):
     per_type = [of_type(k) for k in range(len(ENTITY_TYPES))]
     ent = F.map_filter(F.map_from_arrays(F.array(*[F.lit(x) for x in ENTITY_TYPES]), F.array(*per_type)),
                        lambda k, v: F.size(v) > 0)
-    return t.select("conv_id", "turn", ent.alias("entities")).withColumn("truth", entity_set("entities"))
+    return ent
 
 
 _TRUTH_SQL = """SELECT c.conv_id, c.turn, coalesce(s.truth, []) AS truth FROM conversations c LEFT JOIN (
@@ -336,11 +348,7 @@ def n5_parse_entities(spark, sf):
 
 
 def _entity_scores(spark, sf):
-    truth = _truth_sets(spark, sf).select("conv_id", "turn", "truth")
-    pred = fx.ner_pred(spark, sf).select("conv_id", "turn", parse_entities("response").alias("pred"))
-    j = truth.join(pred, ["conv_id", "turn"], "left") \
-        .withColumn("pred", F.coalesce("pred", F.array().cast("array<string>")))
-    return M.entity_prf_scores(j, "truth", "pred", keep=["conv_id", "turn"])
+    return M.entity_prf_scores(_truth_and_pred(spark, sf), "truth", "pred", keep=["conv_id", "turn"])
 
 
 _PRF_SQL = """SELECT t.conv_id, t.turn, t.truth, coalesce(p.pred, []) AS pred,
@@ -634,10 +642,8 @@ def _multitask_scores(spark, sf):
     cls = classification_scores(fx.predictions(spark, sf), fx.PRED_LABELS).select(
         "model", "task", F.lit("label_match").alias("match_mode"), "score", "latency_s")
     ner_model = F.concat(F.lit("fmt"), (F.col("turn") % 4).cast("string"))
-    truth = _truth_sets(spark, sf).select("conv_id", "turn", "truth")
-    pred = fx.ner_pred(spark, sf).select("conv_id", "turn", "response", parse_entities("response").alias("pred"))
-    both = truth.join(pred, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "truth", F.coalesce("pred", F.array().cast("array<string>")).alias("pred"),
+    both = _truth_and_pred(spark, sf).select(
+        "conv_id", "turn", "truth", "pred",
         token_set(F.array_join(F.array_sort("truth"), " ")).alias("tt"), token_set(F.coalesce("response", F.lit(""))).alias("pt"))
     modes = [M.entity_prf_scores(both, "truth", "pred", keep=["conv_id", "turn"]).withColumn("match_mode", F.lit("entity")),
              M.token_f1_scores(both, "tt", "pt", keep=["conv_id", "turn"], drop_empty=False).withColumn("match_mode", F.lit("token_set"))]

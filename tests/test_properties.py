@@ -11,6 +11,7 @@ from evalspark.operators import metrics as M
 from evalspark.operators import prepare as P
 from evalspark.operators import rouge as R
 from evalspark.operators import scoring as I
+from evalspark.operators.pacing import AT_ONCE
 from evalspark.plans.catalog import QUERIES
 from evalspark.session import read_table, scratch_path
 
@@ -94,7 +95,7 @@ def test_scoring_retries_and_failures(spark, sf):
     stats = ok.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("attempts").alias("a")).collect()
     assert {r.status for r in stats} == {"ok"} and max(r.a for r in stats) <= 2
     assert ok.filter(F.col("latency_s") < 0).count() == 0
-    bad = I.score(d, fx.always_failing_predictor, keep=["doc_id"], max_attempts=3)
+    bad = I.score(d, fx.always_failing_predictor, keep=["doc_id"], max_attempts=3, retry=AT_ONCE)
     r = bad.agg(F.min("attempts"), F.max("attempts"), F.count_if(F.col("prediction") == "error")).collect()[0]
     assert tuple(r) == (3, 3, d.count())
 
