@@ -253,7 +253,7 @@ def impatient_predictor():
 
 
 def refusing_predictor():
-    """First words; the calls that ``flaky_first_word_predictor`` fails are refused for 0.2 s."""
+    """First words; the calls that ``flaky_first_word_predictor`` fails are refused for 20 ms."""
     from evalspark.operators.pacing import Refused
 
     flaky = flaky_first_word_predictor()
@@ -262,6 +262,6 @@ def refusing_predictor():
         try:
             return flaky(prompts)
         except RuntimeError as e:
-            raise Refused(str(e), retry_after=0.2) from e
+            raise Refused(str(e), retry_after=0.02) from e
 
     return predict

@@ -195,7 +195,7 @@ def i1_rate_limited(spark, sf):
         CASE WHEN {H('prompt')} % 17 = 0 THEN 2 ELSE 1 END AS attempts, 'ok' AS status
     FROM (SELECT doc_id, text AS prompt FROM documents) q""")
 def i1_refusals_waited(spark, sf):
-    """Refusals name a wait of 0.2 s, which is kept before the next attempt."""
+    """Refusals name a wait of 20 ms, which is kept before the next attempt."""
     s = I.score(_prompts(spark, sf), fx.refusing_predictor, keep=["doc_id"], retry=Retry(wait_s=0.0))
     return s.select("doc_id", "prediction", "attempts", "status")
 

@@ -168,15 +168,15 @@ def p11_exact_copies(spark, sf):
     return P.exact_overlap(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
 
 
-@register("p11_copies_of_turns", """WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), k AS (SELECT doc_id,
+@register("p11_copies_of_turns", """WITH t AS (SELECT concat(conv_id, '/', turn) AS doc_id, text FROM conversations), k AS (SELECT cast(doc_id AS varchar) AS doc_id,
         sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key FROM documents UNION ALL SELECT doc_id,
         sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) FROM t), n AS (SELECT key, count(*) AS n_items FROM k GROUP BY key)
     SELECT doc_id, n_items FROM k JOIN n USING (key)""")
 def p11_copies_of_turns(spark, sf):
     """Exact copies within one collection (documents and single turns): every text with the size
     of its group of copies."""
-    turns = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    texts = read_table(spark, sf, "documents").select("doc_id", "text").unionByName(turns)
+    turns = read_table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
+    texts = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(turns)
     return P.exact_overlap(texts, texts, item_id="doc_id")
 
 
