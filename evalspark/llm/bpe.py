@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.common import bound_batches, list_array, nonempty, table
+from evalspark.llm.common import bound_batches, list_array, nonempty, released, table
 
 #: Pre-tokens whose ids one Python worker remembers; a full memory is emptied (speed only).
 CACHE_ENTRIES = 200_000
@@ -139,6 +139,34 @@ def encode(docs: DataFrame, vocabulary: list[bytes], pattern: str, id_col: str =
     return rows.mapInArrow(run, f"id {kind}, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, vocabulary: list[bytes], pattern: str, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """(id, token_ids, decoded): ``encode`` and ``decode`` in one pass, so that a task keeps one
+    Python worker and ids are not handed over and back in between."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    sent = spark.sparkContext.broadcast((serialise_model(vocabulary), vocabulary))  # size fixed by the vocabulary
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(nonempty(batches))
+        first = next(batches, None)
+        if first is None:
+            return
+        model, entries = sent.value
+        of = _encoder(model, pattern)
+        for batch in chain([first], batches):
+            for part in _slices(batch):
+                ids, offsets = of(part.column(1).to_pylist())
+                flat = list(map(entries.__getitem__, ids.tolist()))
+                decoded = [b"".join(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids, offsets, pa.int32()), pa.array(decoded, pa.binary())],
+                                                 names=["id", "token_ids", "decoded"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(released(run), f"id {kind}, token_ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+
+
 def _slices(batch: pa.RecordBatch, letters: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about so much text each (a longer text stands alone)."""
     low, held = 0, 0
@@ -187,7 +215,7 @@ def default_vocabulary() -> tuple[list[bytes], str]:
 
 def encode_and_decode(docs: DataFrame) -> DataFrame:
     vocabulary, pattern = default_vocabulary()
-    return digests(decode(encode(docs, vocabulary, pattern), vocabulary))
+    return digests(round_trip(docs, vocabulary, pattern))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ another, two independent 64-bit values are compared (128 bits)."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run: Callable) -> Callable:
+    """A task function that gives the memory it has freed back to the system when it ends: its
+    Python worker lives on, and what it keeps for itself adds up over the stages of a job."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def to_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

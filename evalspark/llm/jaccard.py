@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import U64, bound_batches, mix, nonempty, record, scratch, table, to_bytes, word_hashes
+from evalspark.llm.common import U64, bound_batches, mix, nonempty, record, released, scratch, table, to_bytes, word_hashes
 from evalspark.llm.graph import components
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def _profiles(docs: DataFrame, size: int, minima: int) -> DataFrame:
             yield rows_of(rows)
         yield rows_of([(None,) * 5 + (part.tobytes(), k) for k, part in enumerate(counts.reshape(BLOCKS, -1))])
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(released(run), ddl)
 
 
 def _counter(s: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    return pairs.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     out.append((a, i))
             yield record(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [[x[0] for x in out], [x[1] for x in out]])
 
-    return sent.mapInArrow(run, "a long, b long").distinct()
+    return sent.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _stars(classes: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)),
                                               pa.array(np.repeat(np.array(ids, np.int64), many))], names=["token", "id"])
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, "token long, id long")
+    return docs.where("id IS NOT NULL").mapInArrow(released(run), "token long, id long")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def _shared(postings: DataFrame) -> DataFrame:
         if held is not None and held[0] == last:
             yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["token", "id"])
 
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long")
+    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(released(run), "token long, id long")
 
 
 def _tiles(rows: DataFrame, classes: DataFrame, percent: int, chunk_rows: int, chunk_bytes: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _tiles(rows: DataFrame, classes: DataFrame, percent: int, chunk_rows: int, c
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()),
                                                       pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
-    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _tile_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import U64, RunningHash, bound_batches, mix, table, to_bytes
+from evalspark.llm.common import U64, RunningHash, bound_batches, mix, released, table, to_bytes
 
 #: Hashed vocabulary and dimensions of word vectors (a matrix of 2 MB, also what a task adds up).
 VOCABULARY = 1 << 14
@@ -127,7 +127,7 @@ def word_vectors(texts: DataFrame, blocks: int = 32) -> np.ndarray:
     schema = "block long, part binary"
     out = np.zeros((VOCABULARY, DIMENSIONS))
     # a task's blocks add up within it; a fixed 4 MB reach the driver
-    for r in texts.mapInArrow(gather, schema).repartition(blocks, "block").mapInArrow(add, schema).collect():
+    for r in texts.mapInArrow(released(gather), schema).repartition(blocks, "block").mapInArrow(released(add), schema).collect():
         out[r["block"] * rows: (r["block"] + 1) * rows] = np.frombuffer(r["part"], np.int64).reshape(rows, DIMENSIONS)
     out[0] = 0
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, sampl
 
     got = _training_rows(rows, known, sample, train).withColumn("label", F.col("label").cast("double"))
     kind = rows.schema["id"].dataType.simpleString()
-    got = got.mapInArrow(pooled, f"id {kind}, label double, x array<double>")
+    got = got.mapInArrow(released(pooled), f"id {kind}, label double, x array<double>")
     got = got.orderBy(F.xxhash64("id"), "id", "x").limit(sample)  # an id may stand in any number of rows
     got = sorted(got.collect(), key=lambda r: (r["id"], r["x"]))
     if not got:
@@ -259,7 +259,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, id_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), pa.array(p)],
                                                  names=["row", "score"])
 
-    return rows.mapInArrow(run, f"row {kind}, score double").select("row.*", "score")
+    return rows.mapInArrow(released(run), f"row {kind}, score double").select("row.*", "score")
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

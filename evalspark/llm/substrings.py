@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import U64, RunningHash, bound_batches, mix, record, scratch, table, to_bytes, word_hashes
+from evalspark.llm.common import U64, RunningHash, bound_batches, mix, record, released, scratch, table, to_bytes, word_hashes
 
 PREFIX = 12
 #: Classes of one prefix that may meet in one tree (each some 80 words of 8 bytes).
@@ -109,7 +109,7 @@ def sparse_suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             if ids:
                 yield suffixes(ids, hashes)
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, _ddl(_SUFFIX))
+    return docs.where("id IS NOT NULL").mapInArrow(released(run), _ddl(_SUFFIX))
 
 
 def _stretches(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _stretches(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
                          if o["start"] + o["n_windows"] + window - 1 <= len(h)]  # a repeated id's other text
             yield record(_STRETCH, [list(c) for c in zip(*rows, strict=True)] or [[]] * 5)
 
-    return wanted.join(docs.withColumnRenamed("id", "doc"), "doc").mapInArrow(run, _ddl(_STRETCH))
+    return wanted.join(docs.withColumnRenamed("id", "doc"), "doc").mapInArrow(released(run), _ddl(_STRETCH))
 
 
 def _deep_nodes(flat: np.ndarray, window: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def _trees(stretches: DataFrame, window: int) -> DataFrame:
         if rows:
             yield _forest(rows, window)
 
-    return stretches.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, _ddl(_REPEAT))
+    return stretches.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(released(run), _ddl(_REPEAT))
 
 
 def _long_prefixes(stretches: DataFrame, window: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _long_prefixes(stretches: DataFrame, window: int) -> DataFrame:
                 a, b = (RunningHash(h, base).of(at, at + window).view(np.int64) for base in _BASES[1:])
                 yield record(schema, [a, b, np.full(n, p), np.full(n, s), np.full(n, d), at])
 
-    suffixes = stretches.mapInArrow(run, _ddl(schema))
+    suffixes = stretches.mapInArrow(released(run), _ddl(schema))
     nodes = suffixes.groupBy("a", "b").agg(F.min("doc").alias("smallest"))
     return suffixes.join(nodes, ["a", "b"]).where("smallest < doc").select(
         "prefix", "stretch", "first", F.lit(1).alias("n"))
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
     joined = mine.join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").select("__row", "spans")
     kind = joined.schema["__row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"__row {kind}, {_ddl(schema)}").select("__row.*", *schema.names)
+    return joined.mapInArrow(released(run), f"__row {kind}, {_ddl(schema)}").select("__row.*", *schema.names)
 
 
 def removal(docs: DataFrame) -> DataFrame:

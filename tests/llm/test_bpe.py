@@ -48,3 +48,11 @@ def test_small_vocabulary_merges_lowest_rank_first(spark):
     got = {r["doc_id"]: r["token_ids"] for r in bpe.encode(rows, vocabulary, r"\S+|\s+").collect()}
     # "bc" merges first, and then "a" with "bc"
     assert got == {1: [258], 2: [257, 257], 3: []}
+
+
+def test_one_pass_equals_encode_and_decode(spark, awkward, nothing):
+    vocabulary, pattern = bpe.default_vocabulary()
+    for docs in (awkward, nothing):
+        one = bpe.round_trip(docs, vocabulary, pattern)
+        two = bpe.decode(bpe.encode(docs, vocabulary, pattern), vocabulary)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
