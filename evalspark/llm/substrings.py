@@ -11,13 +11,19 @@ also start in a document with a smaller id; all words of repeated occurrences ar
    in one document only cannot repeat and go.  Equal stretches of a prefix are one class, by
    partial aggregation; all of a class's occurrences beyond its smallest document are repeats
    without further work, so copies never reach a tree.
-3. *Subtrees.*  For each prefix, the stretches of its classes (one representative each) form
-   a suffix tree, built by prefix doubling as ranks of all stretches' suffixes: suffixes with
-   equal ranks at depth ``window`` stand below the same deep internal node.  The smallest
-   document below a node decides.  Adjacent repeated windows join into maximal repeats.
-4. *Longer prefixes.*  A prefix with more than ``group_rows`` classes would not fit one task;
-   its suffixes are split by prefixes of the full ``window`` words instead.  Such a prefix is a
-   deep node itself, and its smallest document is a partial aggregate.
+3. *Longer prefixes.*  The trees of a group must fit in a task.  A group of more than ``group_rows``
+   stretches is split by longer prefixes: its suffixes are told apart by how many words before the
+   selected place they start, in two halves, and those of a half by all the words that they must
+   have in common.  Each step halves again, for the groups that are still too large; at the end
+   the prefix is the whole window, which is a deep node itself, whose smallest document is a
+   partial aggregate.
+4. *Subtrees.*  The suffixes of a group are sorted, with the length of the common prefix of each
+   with its neighbour.  Runs of neighbours that share at least so many words are the internal
+   nodes of the suffix tree; those of ``window`` words and more are its deep nodes.  For each
+   suffix the deepest node that also holds a smaller document gives its longest repeat; repeats
+   that continue one which starts a word before go, so what is left is maximal.
+
+A repeat longer than a stretch comes in pieces, which meet when its document's spans are joined.
 
 Defined results: NULL text has no words; documents shorter than a window lose nothing; rows
 with NULL ids take no part in comparison and lose nothing; rows that repeat an id count as
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import U64, RunningHash, bound_batches, mix, record, released, scratch, table, to_bytes, word_hashes
 
 PREFIX = 12
-#: Classes of one prefix that may meet in one tree (each some 80 words of 8 bytes).
+#: Stretches of one prefix that may meet in one tree (each some 80 words of 8 bytes).
 GROUP_ROWS = 20_000
 #: Words of the stretches for which one task builds trees at a time.
 FOREST_WORDS = 1_000_000
@@ -44,8 +50,10 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 _SUFFIX = pa.schema([("prefix", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()),
                      ("start", pa.int32()), ("n_windows", pa.int32()), ("more", pa.list_(pa.int32()))])
-_STRETCH = pa.schema([("prefix", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()),
-                      ("n_windows", pa.int32()), ("words", pa.binary())])
+_GROUP = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("low", pa.int32()), ("high", pa.int32()),
+                    ("prefix", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()), ("first", pa.int32()),
+                    ("n_windows", pa.int32()), ("words", pa.binary())])
+_SIZED = _GROUP.append(pa.field("n_rows", pa.int64()))
 _REPEAT = pa.schema([("prefix", pa.int64()), ("stretch", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 _KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
 
@@ -112,58 +120,110 @@ def sparse_suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return docs.where("id IS NOT NULL").mapInArrow(released(run), _ddl(_SUFFIX))
 
 
-def _stretches(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
-    """The representatives with their stretches' word hashes."""
-    wanted = reps.groupBy("doc").agg(F.collect_list(F.struct("prefix", "stretch", "start", "n_windows")).alias("own"))
+def _stretches(docs: DataFrame, reps: DataFrame, window: int, span: int) -> DataFrame:
+    """The representatives with their stretches' word hashes, in groups by prefix."""
+    wanted = reps.groupBy("doc").agg(F.collect_list(F.struct("prefix", "stretch", "start", "n_windows", "n_classes")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, own, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                    _hashes(to_bytes(batch.column(2))), strict=True):
-                rows += [(o["prefix"], o["stretch"], doc, o["n_windows"],
-                          h[o["start"]: o["start"] + o["n_windows"] + window - 1].tobytes()) for o in own
+                rows += [(o["prefix"], 0, 0, span, o["prefix"], o["stretch"], doc, 0, o["n_windows"],
+                          h[o["start"]: o["start"] + o["n_windows"] + window - 1].tobytes(), o["n_classes"]) for o in own
                          if o["start"] + o["n_windows"] + window - 1 <= len(h)]  # a repeated id's other text
-            yield record(_STRETCH, [list(c) for c in zip(*rows, strict=True)] or [[]] * 5)
+            yield record(_SIZED, [list(c) for c in zip(*rows, strict=True)] or [[]] * len(_SIZED))
 
-    return wanted.join(docs.withColumnRenamed("id", "doc"), "doc").mapInArrow(released(run), _ddl(_STRETCH))
+    return wanted.join(docs.withColumnRenamed("id", "doc"), "doc").mapInArrow(released(run), _ddl(_SIZED))
 
 
-def _deep_nodes(flat: np.ndarray, window: int) -> np.ndarray:
-    """For every place the rank of the ``window`` words from there (prefix doubling); equal
-    ranks are suffixes below one internal node of that depth."""
-    rank, depth = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
-    while depth < window:
-        step = min(depth, window - depth)
-        next_rank = np.zeros_like(rank)
-        next_rank[:-step] = rank[step:] + 1
-        rank, depth = np.unique(rank * (len(rank) + 2) + next_rank, return_inverse=True)[1].astype(np.int64), depth + step
-    return rank
+def _lengthened(groups: DataFrame, window: int, prefix: int) -> DataFrame:
+    """Step 3, once: a group holds the suffixes that start ``low`` to ``high - 1`` words before the
+    selected place.  Those of each half share ``window - size of the half + 1`` words, the new prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, _, low, high, p, s, d, first, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(words, U64)
+                at = np.arange(len(h) - prefix + 1)
+                place = int((RunningHash(h, _BASES[0]).of(at, at + prefix).view(np.int64) == p).argmax())
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle, high)) if high - low > 1 else ((low, high),):
+                    begin, end = max(0, place - b + 1), min(n, place - a + 1)
+                    if begin < end:
+                        common = np.array([place - a]), np.array([place - b + 1 + window])
+                        key, check = (int(mix(RunningHash(h, base).of(*common) + U64(a << 32 | b)).view(np.int64)[0])
+                                      for base in _BASES[1:])
+                        rows.append((key, check, a, b, p, s, d, first + begin, end - begin,
+                                     words[8 * begin: 8 * (end + window - 1)]))
+            yield record(_GROUP, [list(c) for c in zip(*rows, strict=True)] or [[]] * len(_GROUP))
+
+    return groups.mapInArrow(released(run), _ddl(_GROUP))
+
+
+def _sorted_suffixes(flat: np.ndarray, wanted: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places ``wanted`` in the order of the suffixes of ``flat`` there, and how many words each
+    shares with the one before (0 for the first).  Prefix doubling; a stretch ends with a word of its
+    own, so no two suffixes agree beyond it and none longer than ``longest`` words."""
+    ranks, depth = [flat.astype(np.int32)], 1
+    while depth < longest:
+        rank = ranks[-1].astype(np.int64)
+        behind = np.zeros_like(rank)
+        behind[:-depth] = rank[depth:] + 1
+        ranks.append(np.unique(rank * (len(rank) + 2) + behind, return_inverse=True)[1].astype(np.int32))
+        depth *= 2
+    order = wanted[np.argsort(ranks[-1][wanted], kind="stable")]
+    left, right = order[:-1].copy(), order[1:].copy()
+    for step in range(len(ranks) - 1, -1, -1):
+        equal = ranks[step][left] == ranks[step][right]
+        left[equal] += 1 << step
+        right[equal] += 1 << step
+    return order, np.r_[0, left - order[:-1]][: len(order)]
+
+
+def _repeat_lengths(doc: np.ndarray, shared: np.ndarray, window: int) -> np.ndarray:
+    """For sorted suffixes of the documents ``doc``, which share ``shared`` words with the one
+    before: the depth of the deepest internal node above each that also holds a suffix of a
+    smaller document; 0 where no such node has ``window`` words."""
+    length = np.zeros(len(doc), np.int64)
+    below, link = np.arange(len(doc)), shared  # suffixes below nodes of the depth reached
+    for depth in np.unique(shared[shared >= window]):
+        new = link < depth
+        new[0] = True
+        first, node = np.flatnonzero(new), np.cumsum(new) - 1
+        smallest = np.minimum.reduceat(doc[below], first)
+        length[below[smallest[node] < doc[below]]] = depth
+        keep = (np.diff(np.r_[first, len(below)]) > 1)[node]
+        below, link = below[keep], link[keep]
+    return length
 
 
 def _forest(rows: list[tuple], window: int) -> pa.RecordBatch:
-    """Repeated windows of the representatives ``rows`` whose prefixes are all here."""
-    prefix, stretch, doc, count = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-    flat = np.frombuffer(b"".join(r[4] for r in rows), U64)
-    starts = np.cumsum(count + window - 1) - (count + window - 1)
+    """Step 4: maximal repeats in the stretches ``rows``, whose groups are all here; as the runs of
+    windows (first, n) that they cover."""
+    prefix, stretch, doc, base, count = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[1:6])
+    size = count + window - 1
+    words = np.unique(np.frombuffer(b"".join(r[6] for r in rows), U64), return_inverse=True)[1]
+    flat = np.insert(words, np.cumsum(size), words.max() + 1 + np.arange(len(rows)))  # ends of their own
+    starts = np.cumsum(size + 1) - (size + 1)
     owner = np.repeat(np.arange(len(rows)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    node = _deep_nodes(flat, window)[starts[owner] + offset]
-    smallest = np.full(node.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, node, doc[owner])
-    return _runs(prefix, stretch, owner, offset, smallest[node] < doc[owner])
-
-
-def _runs(prefix, stretch, owner, offset, repeated) -> pa.RecordBatch:
-    """Adjacent repeated windows of one representative as (first, n)."""
-    owner, offset = owner[repeated], offset[repeated]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)][: len(owner)]
-    at = np.flatnonzero(new)
-    return record(_REPEAT, [prefix[owner[at]], stretch[owner[at]], offset[at], np.diff(np.r_[at, len(owner)])])
-
-
-def _trees(stretches: DataFrame, window: int) -> DataFrame:
-    """Step 3: prefixes are whole within a task; trees are built for some of them at a time."""
+    place = starts[owner] + offset
+    order, shared = _sorted_suffixes(flat, place, int(size.max()) + 1)
+    suffix = np.empty(len(flat), np.int64)
+    suffix[place] = np.arange(len(place))
+    suffix = suffix[order]
+    length = np.zeros(len(place), np.int64)
+    length[suffix] = _repeat_lengths(doc[owner[suffix]], shared, window)
+    goes_on = np.r_[False, (owner[1:] == owner[:-1]) & (length[:-1] == length[1:] + 1)]
+    at = np.flatnonzero((length > 0) & ~goes_on)
+    mine = owner[at]
+    return record(_REPEAT, [prefix[mine], stretch[mine], base[mine] + offset[at], length[at] - (window - 1)])
+
+
+def _trees(groups: DataFrame, window: int) -> DataFrame:
+    """Groups are whole within a task; trees are built for some of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -173,29 +233,32 @@ def _trees(stretches: DataFrame, window: int) -> DataFrame:
                     yield _forest(rows, window)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[4]) // 8
+                held += len(row[6]) // 8
         if rows:
             yield _forest(rows, window)
 
-    return stretches.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(released(run), _ddl(_REPEAT))
-
-
-def _long_prefixes(stretches: DataFrame, window: int) -> DataFrame:
-    """Step 4: every suffix by its first ``window`` words, as 128 bits."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("prefix", pa.int64()), ("stretch", pa.int64()),
-                        ("doc", pa.int64()), ("first", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, s, d, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, at = np.frombuffer(words, U64), np.arange(n)
-                a, b = (RunningHash(h, base).of(at, at + window).view(np.int64) for base in _BASES[1:])
-                yield record(schema, [a, b, np.full(n, p), np.full(n, s), np.full(n, d), at])
-
-    suffixes = stretches.mapInArrow(released(run), _ddl(schema))
-    nodes = suffixes.groupBy("a", "b").agg(F.min("doc").alias("smallest"))
-    return suffixes.join(nodes, ["a", "b"]).where("smallest < doc").select(
-        "prefix", "stretch", "first", F.lit(1).alias("n"))
+    return groups.select("key", "prefix", "stretch", "doc", "first", "n_windows", "words").repartition(
+        "key").sortWithinPartitions("key").mapInArrow(released(run), _ddl(_REPEAT))
+
+
+def _repeats(groups: DataFrame, window: int, prefix: int, group_rows: int) -> DataFrame:
+    """Steps 3 and 4.  Each step of 3 writes only what is still too large; there are as many as
+    halvings of ``window - prefix + 1``."""
+    fits, whole = F.col("n_rows") <= group_rows, F.col("high") == F.col("low") + 1
+    trees, nodes = groups.where(fits), []
+    large = groups.where(~fits)
+    while large.limit(1).count():
+        halves = scratch(_lengthened(large.select(*_GROUP.names), window, prefix), "halves")
+        sized = halves.join(halves.groupBy("key").agg(F.count("*").alias("n_rows")), "key").select(*_SIZED.names)
+        trees = trees.unionByName(sized.where(fits))
+        nodes.append(sized.where(~fits & whole))
+        large = sized.where(~fits & ~whole)
+    repeats = _trees(trees, window)
+    for node in nodes:  # the prefix is the window
+        smallest = node.groupBy("key", "check").agg(F.min("doc").alias("smallest"))
+        repeats = repeats.unionByName(node.join(smallest, ["key", "check"]).where("smallest < doc").select(
+            "prefix", "stretch", "first", F.lit(1).alias("n")))
+    return repeats
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, prefix: int = PREFIX, group_rows: int = GROUP_ROWS,
@@ -212,10 +275,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, prefix: int = PREFIX, grou
 
     own = found.where("doc = smallest AND n_classes > 1")
     reps = own.groupBy("prefix", "stretch", "doc", "n_windows", "n_classes").agg(F.min("start").alias("start"))
-    stretches = scratch(_stretches(rows, reps.where(F.col("n_classes") <= group_rows), window), "stretches")
-    repeats = _trees(stretches, window)
-    if (large := reps.where(F.col("n_classes") > group_rows)).limit(1).count():
-        repeats = repeats.unionByName(_long_prefixes(scratch(_stretches(rows, large, window), "large"), window))
+    groups = scratch(_stretches(rows, reps, window, window - prefix + 1), "stretches")
+    repeats = _repeats(groups, window, prefix, group_rows)
 
     # a document's places of one stretch stay one row; spans are arrays until they meet by document
     places = F.concat(F.array("start"), F.coalesce("more", F.expr("array()")))

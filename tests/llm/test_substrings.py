@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,41 @@ def test_many_documents_around_one_passage(spark):
         got = substrings.remove_repeats(frame, **options).withColumn("h", F.sha2("kept_text", 256)).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["h"]) for r in got} == {
             i: (n, cut, sha(kept)) for i, (n, cut, kept) in want.items()}
+
+
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_give_maximal_repeats(seed):
+    """Runs of a forest against all pairs of suffixes: no run is inside another, and each is the longest repeat of its place."""
+    rng, window = np.random.default_rng(seed), 4
+    rows, texts = [], []
+    for i in range(40):
+        n = int(rng.integers(1, 12))
+        words = rng.integers(0, 2 + seed, n + window - 1).astype(np.uint64)
+        doc, base = int(rng.integers(0, 9)), int(rng.integers(0, 3))
+        rows.append((7, 7, i, doc, base, n, words.tobytes()))
+        texts.append((doc, base, words.tolist()))
+    want = set()
+    for i, (doc, base, words) in enumerate(texts):
+        longest = [max((common(words[o:], other[k:]) for d, _, other in texts if d < doc for k in range(len(other))), default=0)
+                   for o in range(len(words) - window + 1)]
+        want |= {(7, i, base + o, n - window + 1) for o, n in enumerate(longest)
+                 if n >= window and not (o and longest[o - 1] == n + 1)}
+    got = list(zip(*substrings._forest(rows, window).to_pydict().values(), strict=True))
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_prefixes_are_lengthened_until_groups_fit(spark):
+    """One word's long runs, and passages that start alike, with groups of one to a few stretches."""
+    rows = [(i, " ".join(["w"] * (40 + i % 5 * 20) + [f"p{k % (3 + i % 4)}" for k in range(80)] + ["w"] * (i % 3 * 30))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removal(rows)
+    for options in ({"group_rows": 1}, {"group_rows": 4}, {}):
+        got = substrings.remove_repeats(frame, **options).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
