@@ -47,6 +47,9 @@ def test_empty_table(nothing):
     assert lic.scan(nothing).collect() == []
 
 
+BSD_2 = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+         "disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+         "the following disclaimer in the documentation and/or other materials provided with the distribution.")
 NOTICES = [
     ("MIT", MIT + AS_IS), ("MIT", MIT), ("MIT", MIT.split("\n\n")[0]), ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -76,17 +79,89 @@ NOTICES = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "Released under CC0 1.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain.")]
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                         "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+                         "or (at your option) any later version.\n\nThis program is distributed in the hope that it will be "
+                         "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR "
+                         "A PARTICULAR PURPOSE.  See the GNU General Public License for more details."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                          "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                          "License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                          "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                          "License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                          "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                          "License, or (at your option) any later version."),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                     "Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+                     "Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"), ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0+"),
+    ("Apache-2.0", "Apache License\n\nVersion 2.0, January 2004".replace("\n\n", " ")),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+                     "that the following conditions are met:\n\n" + BSD_2 + "\n\n3. Neither the name of the copyright holder nor "
+                     "the names of its contributors may be used to endorse or promote products derived from this software without "
+                     "specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+                     "that the following conditions are met:\n\n" + BSD_2),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International Public License"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+             "it and redistribute it freely, subject to the following restrictions:"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.")]
+GENERATED = [(name, text) for ids, texts in lic._MORE.items() for name, rule in [next(r for r in lic.RULES if r[1] == [ids])]
+             for text in {texts[0], texts[-1]}]
+GENERATED = [(name, text.replace("{what}", "program")) for name, text in GENERATED]
 
 
 def test_every_rule_finds_its_original_notice(spark):
-    assert {name for name, _ in NOTICES} == {name for name, _ in lic.RULES}
+    assert {name for name, _ in NOTICES + GENERATED} == {name for name, _ in lic.RULES}
     got = scan(spark, [f"Some prose.\n\n{text}\n\nMore prose." for _, text in NOTICES])
     assert [got[i]["licences"] for i in range(len(NOTICES))] == [name for name, _ in NOTICES]
     known = [got[i]["n_unmatched"] for i in range(len(NOTICES))]
     assert not any(known) and got[8]["sequence"] == "<?><gpl-free><gpl-hope><?>"
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_generated_notices(spark, mark):
+    for width in (72, 40, 300):
+        texts = ["\n".join(mark + line for line in ["Copyright 2020 Somebody", "", *textwrap.wrap(text, width), "int main() {"])
+                 for _, text in GENERATED]
+        got = scan(spark, texts)
+        assert [got[i]["licences"] for i in range(len(texts))] == [name for name, _ in GENERATED]
+
+
+def test_oracle_on_one_line_notices(spark):
+    """Each notice of one line, between other lines and alone, by SQL too."""
+    import duckdb
+    import pandas as pd
+    texts = [x for _, t in NOTICES + GENERATED for x in (t, f"Some prose.\n{t}\nMore prose.", f"Not {t}") if "\n\n" not in t]
+    documents = pd.DataFrame({"doc_id": range(len(texts) + 2), "text": [*texts, None, ""]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = {r[0]: r for r in con.sql(lic.ORACLE["op7_licence_scan"]).fetchall()}
+    rows = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r) for r in lic.scan(rows).collect()}
+    assert got == want and len(got) == len(texts) + 2
+
+
+def test_runs_of_lines_at_their_first_and_longest(spark):
+    known = {"ab": "a b", "abc": "a b c", "bc": "b c", "xy": ["x\fy"], "x": "q x"}
+    got = scan(spark, ["a\nb\nc", "a\nb\nd", "z\na b\nc\nb c\nz", "x. y. y. x", "a b c d", "a\nb c. x: y", "q\nx\ny"],
+               known=known, rules=[])
+    assert [got[i]["sequence"] for i in range(7)] == ["<abc>", "<ab><?>", "<?><abc><bc><?>", "<xy><?>", "<?>", "<abc><xy>", "<x><?>"]
+
+
+def test_long_text_of_many_lines(spark):
+    got = scan(spark, ["just a line\n" * 50_000 + "Licensed under the MIT License\n" * 200 + "word " * 200_000])
+    assert got[0]["licences"] == "MIT" and got[0]["n_known"] == 200
+
+
 def test_pieces_of_a_sentence_alone_are_unknown(spark):
     got = scan(spark, ["This program is free software. 2.0.", "Mozilla Public License, v. 2.0", "2.0\nwithout even the implied"])
     assert all(r["n_known"] == 0 and r["licences"] == "" for r in got.values())
