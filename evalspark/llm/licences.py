@@ -292,7 +292,8 @@ def identifiers(units: F.Column, known: dict) -> F.Column:
     if many:
         joined = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("name")) for p, n in many])
         names = F.aggregate(joined, names, lambda t, k: F.replace(t, k["p"], k["name"]))
-    return F.regexp_replace(names, r"(<\?>|<#[0-9]+>)+", "<?>")
+    # two steps, as a repeated choice would recurse once for each sentence
+    return F.regexp_replace(F.regexp_replace(names, "<#[0-9]+>", "<?>"), r"(<\?>)+", "<?>")
 
 
 def scan(docs: DataFrame, known: dict = KNOWN, rules: list = RULES, id_col: str = "doc_id",

@@ -162,6 +162,11 @@ def test_long_text_of_many_lines(spark):
     assert got[0]["licences"] == "MIT" and got[0]["n_known"] == 200
 
 
+def test_long_text_of_many_sentences(spark):
+    got = scan(spark, ["One sentence. Mit. " * 60_000 + "Licensed under the MIT License. " * 200])
+    assert got[0]["licences"] == "MIT" and got[0]["n_known"] == 200 and got[0]["sequence"].startswith("<?><mit-licensed>")
+
+
 def test_pieces_of_a_sentence_alone_are_unknown(spark):
     got = scan(spark, ["This program is free software. 2.0.", "Mozilla Public License, v. 2.0", "2.0\nwithout even the implied"])
     assert all(r["n_known"] == 0 and r["licences"] == "" for r in got.values())
