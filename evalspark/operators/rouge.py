@@ -3,19 +3,26 @@
 * ROUGE-N (M3a) is native: rows are dealt by key once, n-grams are exploded and *counted per
   (pair, n-gram)* in one aggregation (both sides at once, no join); the clipped overlap is
   then summed per pair.  Both aggregations run inside the row's partition.
-* ROUGE-L (M3b) needs a longest common subsequence: an Arrow ``pandas_udf`` over the two
+* ROUGE-L (M3b) needs a longest common subsequence: an ``arrow_udf`` over the two
   token arrays.  Its cost follows the match points of a pair, or n * m / 64 machine-word
   operations where that is less.
-* Stemming (M3d) happens inside ROUGE: a Porter ``pandas_udf``, memoised per worker.
+* Stemming (M3d) happens inside ROUGE: a Porter ``arrow_udf``, memoised per worker; ROUGE-L
+  stems in the task that takes the subsequence, so its tokens cross to Python once.
+
+A batch stays in Arrow and is worked on in runs of rows: only the distinct tokens of a run and the
+tokens of one pair at a time become Python objects.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -137,21 +144,68 @@ def _lcs_bits(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x) if x is not None else [], list(y) if y is not None else [])
-                      for x, y in zip(a, b)], dtype="int32")
+def _flat(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all rows in one array, and the place where each row begins (a null has none)."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0)
+    return tokens.flatten(), np.concatenate([[0], np.cumsum(sizes, dtype="int64")])
+
+
+#: Tokens of a batch that are worked on at once (more where one row has more).
+TOKENS_AT_ONCE = 1 << 18
+
+
+def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring rows of at most ``TOKENS_AT_ONCE`` tokens, or of one row."""
+    low, end = 0, len(at) - 1
+    while low < end:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + TOKENS_AT_ONCE, "right")) - 1)
+        yield low, min(high, end)
+        low = high
+
+
+def _numbered(words: pa.Array, numbers: dict, stem: bool) -> np.ndarray:
+    """Each token as the number of its text, or of its stem's; each distinct one is looked up once."""
+    coded = words.dictionary_encode(null_encoding="encode")
+    known = coded.dictionary.to_pylist()
+    to = [numbers.setdefault(_stem_cached(t) if stem else t, len(numbers)) for t in known]
+    return np.array(to, "int64")[coded.indices.to_numpy()]
+
+
+def _lcs_lengths(a: pa.Array, b: pa.Array, stem: bool) -> pa.Array:
+    """LCS length of each row.  Tokens are numbered run by run; one pair at a time is two lists."""
+    (x, at_x), (y, at_y) = _flat(a), _flat(b)
+    lengths = np.zeros(len(a), "int32")
+    for low, high in _runs(at_x + at_y):
+        numbers: dict = {}
+        from_x, from_y = at_x[low], at_y[low]
+        p = _numbered(x[from_x: at_x[high]], numbers, stem)
+        q = _numbered(y[from_y: at_y[high]], numbers, stem)
+        for i in range(low, high):
+            lengths[i] = lcs_length(p[at_x[i] - from_x: at_x[i + 1] - from_x].tolist(),
+                                    q[at_y[i] - from_y: at_y[i + 1] - from_y].tolist())
+    return pa.array(lengths)
+
+
+@F.arrow_udf(IntegerType())
+def lcs_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _lcs_lengths(a, b, stem=False)
+
+
+@F.arrow_udf(IntegerType())
+def lcs_of_stems_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``lcs_udf`` of ``stem_tokens_udf`` of both sides in one Python worker, without a way back to
+    the JVM between them (Spark runs a function of two Python functions in two workers a task)."""
+    return _lcs_lengths(a, b, stem=True)
 
 
 def rouge_l(df: DataFrame, keys, reference: str = "reference", prediction: str = "prediction",
             stem: bool = False) -> DataFrame:
-    """ROUGE-L precision / recall / F per row; empty side -> 0, 0, 0."""
+    """ROUGE-L precision / recall / F per row; empty side -> 0, 0, 0.  A token has one stem, so
+    stems leave the sizes as they are."""
     rt, pt = rouge_tokens(reference), rouge_tokens(prediction)
-    if stem:
-        rt, pt = stem_tokens_udf(rt), stem_tokens_udf(pt)
     base = df.select(*keys, rt.alias("_rt"), pt.alias("_pt"))
     x = base.select(*keys, F.size("_rt").alias("n_ref"), F.size("_pt").alias("n_pred"),
-                    lcs_udf("_rt", "_pt").alias("lcs"))
+                    (lcs_of_stems_udf if stem else lcs_udf)("_rt", "_pt").alias("lcs"))
     ok = (F.col("n_ref") > 0) & (F.col("n_pred") > 0)
     p = F.when(ok, F.col("lcs") / F.col("n_pred")).otherwise(F.lit(0.0))
     r = F.when(ok, F.col("lcs") / F.col("n_ref")).otherwise(F.lit(0.0))
@@ -160,16 +214,24 @@ def rouge_l(df: DataFrame, keys, reference: str = "reference", prediction: str =
 
 # --- stemming ----------------------------------------------------------------------------------
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 16)
 def _stem_cached(tok: str) -> str:
     return porter.stem(tok) if len(tok) > 3 else tok
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_tokens_udf(s: pd.Series) -> pd.Series:
+def _stems(words: pa.Array) -> pa.Array:
+    """The stem of every token; each distinct one is looked up once."""
+    coded = words.dictionary_encode()
+    return pa.array([_stem_cached(t) for t in coded.dictionary.to_pylist()], words.type).take(coded.indices)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def stem_tokens_udf(tokens: pa.Array) -> pa.Array:
     """Porter-stem every token of each array (memoised per worker, so the cost follows the
     vocabulary)."""
-    return s.map(lambda xs: None if xs is None else [_stem_cached(t) for t in xs])
+    words, at = _flat(tokens)
+    stems = [_stems(words[k: k + TOKENS_AT_ONCE]) for k in range(0, len(words), TOKENS_AT_ONCE)]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.concat_arrays(stems or [words]), mask=tokens.is_null())
 
 
 def mean_scores(scores: DataFrame, by, col: str = "f", out: str = "mean_f") -> DataFrame:
