@@ -12,6 +12,11 @@ many words from its place (proximity match); ``slop`` = 0 gives exact phrases.
 The test side is taken in blocks of at most ``block_words`` words, each broadcast by itself, so
 what is broadcast has a fixed bound whatever the benchmark's size.
 
+Memory of a task has a bound too, however many documents it is given: a row of the index is
+megabytes, so its writer closes a page and a row group by bytes after each row (Parquet waits for
+100 rows otherwise, which is hundreds of them here), and a search holds a bounded number of windows
+and candidate starts at a time.
+
 Defined results: NULL and word-less texts have no words and match nothing; items shorter than
 a window are one window; an item or document given twice counts as two rows; documents with
 NULL ids are kept; an item with a NULL id is found and counted as any other, but has no name in
@@ -29,14 +34,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import (bound_batches, list_array, nonempty, scratch, table, to_bytes,
-                                  word_hashes)
+                                  released, word_hashes)
 
-#: Words of one index segment (about 20 MB in a worker while it is built).
-SEGMENT_WORDS = 1_000_000
+#: Words of one index segment (about 3 MB as a row, 15 MB in a worker while it is built).
+SEGMENT_WORDS = 250_000
 #: Words of test windows broadcast at a time (8 bytes each).
 BLOCK_WORDS = 2_000_000
 #: Free positions between documents, unless a window with its slop on both sides needs more.
 GAP = 64
+#: How the index is written: after each segment a page of 1 MB is closed, a row group of 16 MB.
+INDEX_OPTIONS = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(1 << 20),
+                 "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+#: Windows, and candidate starts (those of one window, if they are more), of a search at a time.
+SEARCH_WINDOWS = 20_000
+SEARCH_STARTS = 1 << 18
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
                for b in range(256))
@@ -74,7 +85,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _segment(part << 32 | made, ids, hashes, gap)
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return scratch(rows.mapInArrow(run, INDEX_SCHEMA), "index")
+    return scratch(rows.mapInArrow(released(run), INDEX_SCHEMA), "index", INDEX_OPTIONS)
 
 
 def _segment(number: int, ids: list, hashes: list[np.ndarray], gap: int) -> pa.RecordBatch:
@@ -98,50 +109,58 @@ def _segment(number: int, ids: list, hashes: list[np.ndarray], gap: int) -> pa.R
 
 class Windows:
     """Test windows: term hashes (one row per window, unused places at the end), their lengths,
-    and the item each belongs to."""
+    and the name of the item each belongs to, by number."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
-        rows, self.items, lengths = [], [], []
+        rows, named, lengths, numbers = [], [], [], {}
         for item, text in items:
             words = words_of(text)
             h = word_hashes(words, len(words))
             for i in range(max(len(h) - window, 0) + 1 if len(h) else 0):
                 rows.append(np.pad(h[i: i + window], (0, max(0, window - len(h)))))
                 lengths.append(min(window, len(h)))
-                self.items.append(item)
+                named.append(numbers.setdefault(item, len(numbers)))
+        self.names, self.named = list(numbers), np.array(named, np.int64)
         self.terms = np.array(rows, np.uint64).reshape(len(rows), window)
         self.lengths = np.array(lengths, np.int64)
 
 
 def _search(windows: Windows, terms: np.ndarray, first: np.ndarray, positions: np.ndarray,
-            slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all matches in one segment.  A match starts where the window's first
-    word stands or, with slop, would stand as seen from the rarest term."""
-    if not len(terms) or not len(windows.lengths):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(terms, windows.terms), len(terms) - 1)
-    used = np.arange(windows.terms.shape[1]) < windows.lengths[:, None]
-    found = (terms[at] == windows.terms) | ~used
-    count = np.where(used, np.diff(first).astype(np.int64)[at], np.int64(1) << 62)
-    alive = np.flatnonzero(found.all(axis=1))
-    order = np.argsort(count[alive], axis=1, kind="stable")  # offsets, rarest term first
-    at, count = at[alive], count[alive]
-    row = np.arange(len(alive))
-    rarest = order[:, 0] if len(alive) else np.zeros(0, np.int64)
-    many = count[row, rarest]
-    which = np.repeat(row, many)
-    within = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-    start = positions[first[at[row, rarest]][which] + within] - rarest[which]
+            slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, start) of all matches in one segment, in portions.  A match starts where the
+    window's first word stands or, with slop, would stand as seen from the rarest term."""
+    if not len(terms):
+        return
     lists = np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(first)) << 32 | positions  # sorted
-    for k in range(1, windows.terms.shape[1]):
-        offset = order[which, k]
-        there = offset < windows.lengths[alive[which]]
-        key = (at[which, offset].astype(np.int64) << 32) + start + offset
-        low = np.searchsorted(lists, key - slop)
-        hit = lists[np.minimum(low, len(lists) - 1)]
-        keep = ~there | (low < len(lists)) & (hit >= key - slop) & (hit <= key + slop)
-        which, start = which[keep], start[keep]
-    return alive[which], start
+    width = windows.terms.shape[1]
+    for begin in range(0, len(windows.lengths), SEARCH_WINDOWS):
+        wanted, lengths = (x[begin: begin + SEARCH_WINDOWS] for x in (windows.terms, windows.lengths))
+        at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+        used = np.arange(width) < lengths[:, None]
+        found = (terms[at] == wanted) | ~used
+        count = np.where(used, np.diff(first).astype(np.int64)[at], np.int64(1) << 62)
+        alive = np.flatnonzero(found.all(axis=1))
+        at, count, lengths = at[alive], count[alive], lengths[alive]
+        order = np.argsort(count, axis=1, kind="stable")  # offsets, rarest term first
+        rarest = order[:, 0]
+        many = count[np.arange(len(alive)), rarest]
+        ends = np.cumsum(many)
+        low = 0
+        while low < len(alive):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] - many[low] + SEARCH_STARTS, side="right")))
+            which = np.repeat(np.arange(low, high), many[low:high])
+            within = np.arange(len(which)) - np.repeat(ends[low:high] - many[low:high] - (ends[low] - many[low]), many[low:high])
+            start = positions[first[at[which, rarest[which]]] + within] - rarest[which]
+            for k in range(1, width):
+                offset = order[which, k]
+                there = offset < lengths[which]
+                key = (at[which, offset].astype(np.int64) << 32) + start + offset
+                near = np.searchsorted(lists, key - slop)
+                hit = lists[np.minimum(near, len(lists) - 1)]
+                keep = ~there | (near < len(lists)) & (hit >= key - slop) & (hit <= key + slop)
+                which, start = which[keep], start[keep]
+            yield begin + alive[which], start
+            low = high
 
 
 def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,17 +189,22 @@ def match(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                 sizes, starts, terms, first, steps = (batch.column(c)[i].values.to_numpy(zero_copy_only=False)
                                                       for c in range(1, 6))
                 w = sent.value
-                which, at = _search(w, terms.view(np.uint64), first, np.cumsum(steps, dtype=np.int64), slop)
-                if not len(which):
+                hits, pairs = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+                for which, at in _search(w, terms.view(np.uint64), first, np.cumsum(steps, dtype=np.int64), slop):
+                    if not len(which):
+                        continue
+                    doc = np.searchsorted(starts, at + slop, side="right") - 1
+                    low = np.maximum(at - slop - starts[doc], 0)
+                    high = np.minimum(at + w.lengths[which] + slop - starts[doc], sizes[doc])
+                    hits = np.array(_merged(*np.concatenate([hits, [doc, low, high]], axis=1)))
+                    pairs = np.union1d(pairs, doc << 32 | w.named[which])
+                if not len(pairs):
                     continue
-                doc = np.searchsorted(starts, at + slop, side="right") - 1
-                low = np.maximum(at - slop - starts[doc], 0)
-                high = np.minimum(at + w.lengths[which] + slop - starts[doc], sizes[doc])
-                found: dict[int, set] = {}
-                for d, x in {*zip(doc.tolist(), which.tolist(), strict=True)}:
-                    found.setdefault(d, set()).add(w.items[x])
+                found: dict[int, list] = {}
+                for d, x in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True):
+                    found.setdefault(d, []).append(w.names[x])
                 spans: dict[int, list] = {}
-                for d, a, b in zip(*(x.tolist() for x in _merged(doc, low, high)), strict=True):
+                for d, a, b in zip(*hits.tolist(), strict=True):
                     spans.setdefault(d, []).append({"start": a, "end": b})
                 slots = sorted(found)
                 yield pa.RecordBatch.from_arrays(
@@ -191,7 +215,7 @@ def match(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                     names=["segment", "slot", "spans", "items"])
 
     columns = index.select("segment", "n_words", "starts", "terms", "term_starts", "steps")
-    return columns.mapInArrow(run, MATCH_SCHEMA)
+    return columns.mapInArrow(released(run), MATCH_SCHEMA)
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Windows]:
